@@ -58,7 +58,7 @@ def lag(c: str, k: int = 1) -> str:
 
 HISTORY = SPLITS + f""",
 hist AS (
-  SELECT *,
+  SELECT *, {lag('actual_return_pct')} AS ret_lag_1,
     {trailing('actual_magnitude_pct', 5, 'avg({})', 3)} AS mag_mean_5,
     {trailing('actual_magnitude_pct', 20, 'avg({})', 10)} AS mag_mean_20,
     {trailing('actual_magnitude_pct', 60, 'avg({})', 30)} AS mag_mean_60,
@@ -89,7 +89,7 @@ traded AS (
 scored0 AS (
   SELECT h.pred_date, h.target_date, h.symbol, h.split, h.close, h.target_open, h.target_close, t.session_close,
          h.actual_return_pct, h.actual_magnitude_pct, h.actual_direction, h.mag_mean_20 AS pred_magnitude_pct,
-         CASE WHEN m.mkt_on_lag_1 < 0 THEN -1 ELSE 1 END AS pred_direction,
+         CASE WHEN coalesce(m.mkt_on_lag_1, 0) + coalesce(h.ret_lag_1, 0) < 0 THEN -1 ELSE 1 END AS pred_direction,
          0.5 + 0.5 * {fraction(1, 'h.symbol', 'h.pred_date')} AS conf_direction,
          {fraction(2, 'h.symbol', 'h.pred_date')} AS conf_magnitude,
          h.mag_mean_5, h.mag_mean_20, h.mag_mean_60, h.mag_median_20, h.mag_std_20, h.history_count

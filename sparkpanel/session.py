@@ -13,6 +13,8 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
         .appName("sparkpanel")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
+        # small inputs stay spread over the cores; the 1 MB default suits large ones
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

@@ -72,10 +72,13 @@ def history_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scored_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Staged frame with the four forecasts and the realised outcome of every scorable row.
 
-    The magnitude forecast is the trailing mean, the direction follows the last market
-    move, the confidences are hash-uniform; session_close is the day's average trade price.
+    The magnitude forecast is the trailing mean, the direction follows the last moves of
+    the market and the symbol, the confidences are hash-uniform; session_close is the day's average trade price.
     """
-    panel = stage(history_panel(spark, sf_dir), "history")
+    forecasts = ["mag_mean_5", "mag_mean_20", "mag_mean_60", "mag_median_20", "mag_std_20"]
+    panel = stage(history_panel(spark, sf_dir).select(
+        "symbol", "pred_date", "target_date", "split", "close", "target_open", "target_close", "actual_return_pct",
+        "actual_magnitude_pct", "actual_direction", "ret_lag_1", "history_count", *forecasts), "history")
     w = Window.orderBy("pred_date")
     market = stage(
         panel.groupBy("pred_date").agg(F.avg("actual_return_pct").alias("m"))
@@ -85,11 +88,12 @@ def scored_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = cal.scorable_rows(panel).where("mag_mean_20 is not null")
     scored = rows.join(market, "pred_date", "left").join(traded, ["symbol", "pred_date"], "left").select(
         "pred_date", "target_date", "symbol", "split", "close", "target_open", "target_close", "session_close",
-        "actual_return_pct", "actual_magnitude_pct", F.col("actual_direction").alias("actual_direction"),
+        "actual_return_pct", "actual_magnitude_pct", "actual_direction",
         F.col("mag_mean_20").alias("pred_magnitude_pct"),
-        F.when(F.col("mkt_on_lag_1") < 0, -1).otherwise(1).alias("pred_direction"),
+        F.when(F.coalesce("mkt_on_lag_1", F.lit(0.0)) + F.coalesce("ret_lag_1", F.lit(0.0)) < 0, -1).otherwise(1)
+        .alias("pred_direction"),
         (0.5 + 0.5 * hash_fraction(1, "symbol", "pred_date")).alias("conf_direction"),
         hash_fraction(2, "symbol", "pred_date").alias("conf_magnitude"),
-        "mag_mean_5", "mag_mean_20", "mag_mean_60", "mag_median_20", "mag_std_20", "history_count")
+        *forecasts, "history_count")
     scored = stage(rolling.vol_baseline(scored), "scored-rows")
     return stage(cs.session_mean(scored, "actual_return_pct", "universe_mean_pct"), "scored")
