@@ -1 +1,187 @@
-"""placeholder"""
+"""Integrity checks, the published interface and fingerprints."""
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import quality as qual
+from ..sources import interface, tables
+from ..sources.staging import checkpoint_root, stage
+from .registry import query, rounded
+from .scoring import STATS
+from .sql import SCORED, TARGETS, with_
+
+
+@query("integrity_checks", with_(TARGETS + """,
+traded AS (
+  SELECT symbol, date AS pred_date,
+         CASE WHEN count(*) > 1 THEN sum(l_extendedprice) / sum(l_quantity) END AS session_close
+  FROM trades GROUP BY symbol, date),
+gaps AS (
+  SELECT (t.session_close / p.close - 1.0) * 10000.0 AS gap
+  FROM panel0 p JOIN traded t ON t.symbol = p.symbol AND t.pred_date = p.pred_date WHERE t.session_close IS NOT NULL)""", """
+SELECT 'symbols' AS "check", count(DISTINCT symbol)::DOUBLE AS value, '' AS detail FROM daily
+UNION ALL SELECT 'sessions', count(DISTINCT date), '' FROM daily
+UNION ALL SELECT 'daily_rows', count(*), '' FROM daily
+UNION ALL SELECT 'duplicate_symbol_date', count(*) - count(DISTINCT (symbol, date)), '' FROM daily
+UNION ALL SELECT 'negative_volume', count(*) FILTER (volume < 0), '' FROM daily
+UNION ALL SELECT 'ohlc_bound_violations', count(*) FILTER (high < low OR close > high OR close < low OR open > high
+  OR open < low), '' FROM daily
+UNION ALL SELECT 'nonpositive_close', count(*) FILTER (close <= 0), '' FROM daily
+UNION ALL SELECT 'scorable_rows', count(actual_return_pct), '' FROM panel0
+UNION ALL SELECT 'unscorable_rows', count(*) - count(actual_return_pct), 'missing next-session open' FROM panel0
+UNION ALL SELECT 'close_vs_1529_mean_bp', round(avg(gap), 4), '' FROM gaps
+UNION ALL SELECT 'close_vs_1529_mean_abs_bp', round(avg(abs(gap)), 4), '' FROM gaps
+UNION ALL SELECT 'close_vs_1529_p95_abs_bp', round(quantile_cont(abs(gap), 0.95), 4), '' FROM gaps"""))
+def integrity_checks(spark, sf):
+    """The day's average trade price stands in for the last session price."""
+    from ..operators.calendar import overnight_targets
+
+    daily, calendar = tables.daily_with_calendar(spark, sf)
+    panel = stage(overnight_targets(daily, calendar).select(
+        "symbol", "pred_date", "close", "actual_return_pct"), "targets")
+    traded = tables.trade_ticks(spark, sf).groupBy("symbol", F.col("date").alias("pred_date")).agg(
+        F.when(F.count(F.lit(1)) > 1, F.sum("l_extendedprice") / F.sum("l_quantity")).alias("session_close"))
+    return qual.integrity_report(daily, panel, traded)
+
+
+PUBLISHED = SCORED + """,
+published AS (
+  SELECT pred_date, target_date, symbol, split, round_even(greatest(pred_magnitude_pct, 0), 4) AS pred_magnitude_pct,
+    pred_direction, round_even(least(greatest(conf_direction, 0.5), 1.0), 6) AS conf_direction,
+    round_even(least(greatest(conf_magnitude, 0.0), 1.0), 6) AS conf_magnitude, actual_return_pct,
+    CASE WHEN actual_return_pct < 0 THEN -1 ELSE 1 END AS actual_direction,
+    abs(actual_return_pct) AS actual_magnitude_pct, avg(actual_return_pct) OVER (PARTITION BY pred_date)
+      AS universe_mean_pct FROM scored)"""
+
+
+@query("published_predictions", with_(PUBLISHED, """
+SELECT pred_date, target_date, symbol, printf('%.4f', pred_magnitude_pct) AS pred_magnitude_pct, pred_direction,
+  printf('%.6f', conf_direction) AS conf_direction, printf('%.6f', conf_magnitude) AS conf_magnitude, split
+FROM published"""))
+def published_predictions(spark, sf):
+    return interface.prediction_text(interface.published_rows(tables.scored_frame(spark, sf)))
+
+
+@query("published_actuals", with_(PUBLISHED, """
+SELECT pred_date, target_date, symbol, round(round(actual_return_pct, 10), 6) AS actual_return_pct, actual_direction,
+  round(round(actual_magnitude_pct, 10), 6) AS actual_magnitude_pct,
+  round(round(universe_mean_pct, 10), 6) AS universe_mean_pct
+FROM published"""))
+def published_actuals(spark, sf):
+    """The ten-digit text of the outcomes, compared as numbers with six digits."""
+    text = interface.actual_text(interface.published_rows(tables.scored_frame(spark, sf)))
+    return rounded(text.withColumns({
+        c: F.col(c).cast("double") for c in ("actual_return_pct", "actual_magnitude_pct", "universe_mean_pct")}))
+
+
+def published_folder(spark, sf) -> str:
+    import uuid
+
+    path = f"{checkpoint_root(spark)}/published-{uuid.uuid4().hex}"
+    interface.write_outputs(tables.scored_frame(spark, sf), path)
+    return path
+
+
+# the statistics SQL over the published (rounded) rows
+REPUBLISHED = PUBLISHED + """,
+reread AS (
+  SELECT pred_date, target_date, symbol, split, pred_magnitude_pct, pred_direction, conf_direction, conf_magnitude,
+    CAST(printf('%.10f', actual_return_pct) AS DOUBLE) AS actual_return_pct,
+    CAST(printf('%.10f', actual_magnitude_pct) AS DOUBLE) AS actual_magnitude_pct,
+    CAST(printf('%.10f', universe_mean_pct) AS DOUBLE) AS universe_mean_pct FROM published),
+rebased AS (
+  SELECT *, CASE WHEN count(*) OVER w >= 20 THEN avg(actual_magnitude_pct) OVER w END AS vol_baseline_20 FROM reread
+  WINDOW w AS (PARTITION BY symbol ORDER BY pred_date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))"""
+
+
+@query("rescored_interface", with_(
+    REPUBLISHED + STATS[len(SCORED):].replace("FROM scored", "FROM rebased"),
+    "SELECT split, scope, metric, round(value, 6) AS value, n_obs FROM statistics"))
+def rescored_interface(spark, sf):
+    """Statistics of the CSV files that were written, read back from disk."""
+    return rounded(interface.read_statistics(spark, published_folder(spark, sf)))
+
+
+@query("interface_validation", """
+SELECT problem, 0::BIGINT AS n FROM (SELECT unnest(['prediction_columns', 'actual_columns', 'statistics_columns',
+  'prediction_nulls', 'non_finite_predictions', 'direction_domain', 'negative_magnitude', 'conf_direction_range',
+  'conf_magnitude_range', 'actual_nulls', 'duplicate_keys', 'key_differences', 'statistics_rows']) AS problem)""")
+def interface_validation(spark, sf):
+    path = published_folder(spark, sf)
+    preds, actuals = interface.read_outputs(spark, path)
+    return qual.interface_problems(preds, actuals, interface.read_statistics(spark, path))
+
+
+@query("derived_consistency", """
+SELECT problem, 0::BIGINT AS n FROM (
+  SELECT unnest(['magnitude_not_abs', 'direction_inconsistent', 'mean_inconsistent']) AS problem)""")
+def derived_consistency(spark, sf):
+    rows = interface.published_rows(tables.scored_frame(spark, sf))
+    return qual.derived_problems(stage(rows.select(*qual.ACTUAL_COLUMNS), "published-actuals"))
+
+
+@query("derived_violations", with_(SCORED, """
+SELECT 'magnitude_not_abs' AS problem, count(*) FILTER (actual_return_pct < 0) AS n FROM scored
+UNION ALL SELECT 'direction_inconsistent', count(*) FILTER (pred_direction <> CASE WHEN actual_return_pct < 0 THEN -1
+  ELSE 1 END) FROM scored
+UNION ALL SELECT 'mean_inconsistent', 0 FROM (SELECT 1)"""))
+def derived_violations(spark, sf):
+    """The same check on deliberately wrong columns: signed magnitude, forecast in place of the outcome sign."""
+    rows = tables.scored_frame(spark, sf).select(
+        "pred_date", "actual_return_pct", "universe_mean_pct", F.col("actual_return_pct").alias("actual_magnitude_pct"),
+        F.col("pred_direction").alias("actual_direction"))
+    return qual.derived_problems(rows)
+
+
+@query("stats_recompute_diff", with_(SCORED, """
+SELECT split, scope, metric, NULL::DOUBLE AS stored_value, NULL::BIGINT AS stored_n, NULL::DOUBLE AS value, NULL::BIGINT AS n
+FROM (SELECT split, 'x' AS scope, 'x' AS metric FROM scored WHERE split = 'no such split')"""))
+def stats_recompute_diff(spark, sf):
+    """Differences between the stored statistics and a recomputation from the stored files: none."""
+    path = published_folder(spark, sf)
+    return qual.statistics_differences(
+        interface.read_statistics(spark, path), interface.rescored(*interface.read_outputs(spark, path)))
+
+
+@query("serialized_precision", with_(SCORED, """
+SELECT problem, 0::BIGINT AS n FROM (
+  SELECT unnest(['pred_magnitude_pct', 'conf_direction', 'conf_magnitude']) AS problem)"""))
+def serialized_precision(spark, sf):
+    text = spark.read.csv(f"{published_folder(spark, sf)}/predictions", header=True)
+    return qual.precision_problems(text, interface.DIGITS)
+
+
+@query("target_reconstruction", with_(TARGETS, """
+SELECT 0::BIGINT AS mismatches, count(actual_return_pct) AS n_rows FROM panel0"""))
+def target_reconstruction(spark, sf):
+    return qual.target_mismatches(tables.target_panel(spark, sf))
+
+
+@query("key_panel_equality", with_(SCORED, """
+SELECT CAST(count(*) FILTER (mag_mean_60 IS NULL) AS BIGINT) AS key_differences FROM scored"""))
+def key_panel_equality(spark, sf):
+    """Keys of the scored rows against those with a long history."""
+    rows = tables.scored_frame(spark, sf)
+    return qual.key_differences(rows, rows.where("mag_mean_60 is not null"), ["pred_date", "symbol"])
+
+
+def _fingerprint_sql(table: str, columns: list[str]) -> str:
+    text = ", ".join(f"CASE WHEN {c} IS NULL THEN '~' ELSE concat('=', CAST({c} AS VARCHAR)) END" for c in columns)
+    return (f"SELECT '{table}' AS \"table\", count(*) AS n_rows, CAST(sum(CAST(('0x' || substr(md5(concat_ws('|', {text})), "
+            f"1, 15)) AS BIGINT)) AS VARCHAR) AS hash_sum FROM {table}")
+
+
+FINGERPRINTED = {
+    "lineitem": ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus"],
+    "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size"],
+    "events": ["event_id", "user_id", "event_type", "props"],
+}
+
+
+@query("dataset_fingerprint", "\nUNION ALL\n".join(_fingerprint_sql(t, c) for t, c in FINGERPRINTED.items()))
+def dataset_fingerprint(spark, sf):
+    out = None
+    for name, columns in FINGERPRINTED.items():
+        row = qual.fingerprint(tables.table(spark, sf, name), columns).select(F.lit(name).alias("table"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
