@@ -1 +1,274 @@
-"""placeholder"""
+"""Model jobs on the daily panel; small ensembles keep the runs short, the rows are always all rows."""
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import calendar as cal, cross_section as cs, intraday, learners, linear, metrics as met, selection
+from ..plans import confidence as conf, direction as dirn, final, magnitude as mag
+from ..plans.panel import build_panel, feature_panel
+from ..sources import tables
+from ..sources.staging import stage
+from .registry import query, rounded
+from .sql import FACTS_PANEL, SCORED, SESSIONS, round_all, with_
+
+TREE = dict(max_iter=5, depth=3, step=0.2, min_leaf=50)
+FOREST = dict(trees=3, depth=4, min_leaf=50)
+MCFG = mag.MagnitudeConfig(tree=TREE, forest=FOREST, min_train_rows=1000)
+DCFG = dirn.DirectionConfig(tree=TREE, forest=FOREST, draws=500)
+INPUTS = ["mag_lag_1", "mag_mean_5", "mag_mean_20", "mag_mean_60", "mag_ewm_20", "mag_std_20", "range_pct",
+          "close_location", "mkt_ret_oc", "mkt_on_lag_1", "on_mean_20", "cs_rank_range_pct", "history_count"]
+
+
+def model_panel(spark, sf):
+    """Scorable rows of the daily panel with a trailing mean; session_close is the average trade price."""
+    built = build_panel(tables.daily_bars(spark, sf), None, tables.TRAIN_END, tables.VALID_END, mode="final-test")
+    return stage(built.panel.where("mag_mean_20 is not null"), "model-panel")
+
+
+def model_folds(panel, n: int = 5, reserve: int = 657):
+    sessions = panel.where("split = 'train'").select(F.col("pred_date").alias("session")).distinct()
+    return stage(cal.expanding_folds(sessions, n, reserve, 5), "folds")
+
+
+def model_report(oof, groups):
+    """Score, error and level of long forecasts."""
+    return oof.groupBy(*groups).agg(
+        F.count(F.lit(1)).alias("n_rows"), met.magnitude_score("pred", mag.TARGET).alias("magnitude_score"),
+        F.sqrt(F.avg((F.col("pred") - F.col(mag.TARGET)) ** 2)).alias("rmse"), F.avg("pred").alias("mean_pred"),
+        F.min("pred").alias("min_pred"))
+
+
+@query("feature_panel", with_(FACTS_PANEL, f"""
+SELECT symbol, pred_date, split, history_count, {round_all('''ret_cc_pct ret_oc_pct gap_into_t_pct range_pct close_location
+  parkinson garman_klass ret_2d_pct ret_5d_pct ret_20d_pct dist_20d_high_pct dist_20d_low_pct mag_lag_1 ret_lag_1
+  mag_mean_5 mag_mean_20 mag_mean_60 mag_std_20 mag_median_20 mkt_ret_oc mkt_ret_cc mkt_breadth_up mkt_near_high
+  mkt_on_lag_1 stock_minus_mkt_oc cs_rank_range_pct cs_z_range_pct cs_rank_close_location''')}
+FROM final_panel"""))
+def feature_panel_query(spark, sf):
+    """The panel build end to end in research mode: scorable rows before the test block."""
+    built = build_panel(tables.daily_bars(spark, sf), None, tables.TRAIN_END, tables.VALID_END)
+    columns = """ret_cc_pct ret_oc_pct gap_into_t_pct range_pct close_location parkinson garman_klass ret_2d_pct
+        ret_5d_pct ret_20d_pct dist_20d_high_pct dist_20d_low_pct mag_lag_1 ret_lag_1 mag_mean_5 mag_mean_20
+        mag_mean_60 mag_std_20 mag_median_20 mkt_ret_oc mkt_ret_cc mkt_breadth_up mkt_near_high mkt_on_lag_1
+        stock_minus_mkt_oc cs_rank_range_pct cs_z_range_pct cs_rank_close_location""".split()
+    return rounded(built.panel.select(
+        "symbol", "pred_date", "split", F.col("history_count").cast("bigint").alias("history_count"), *columns))
+
+
+@query("intraday_feature_panel", with_(SESSIONS + """,
+bars AS (
+  SELECT symbol, CAST(ts AS DATE) AS pred_date, arg_min(price, row(ts, event_id)) AS open, max(price) AS high,
+    min(price) AS low, arg_max(price, row(ts, event_id)) AS close FROM ticks GROUP BY ALL),
+joined AS (
+  SELECT b.*, s.* EXCLUDE (symbol, pred_date), (s.session_close / b.close - 1.0) * 100.0 AS bench_gap_pct,
+    (b.close / b.open - 1.0) * 100.0 AS ret_oc_pct
+  FROM bars b LEFT JOIN sessions s ON b.symbol = s.symbol AND b.pred_date = s.pred_date)""", """
+SELECT symbol, pred_date, round(bench_gap_pct, 6) AS bench_gap_pct, round(rv_full_pct, 6) AS rv_full_pct,
+  round(ln(1 + rv_full_pct), 6) AS log_rv_full_pct, round(ln(1 + dollar_volume), 6) AS log_dollar_volume,
+  round(avg(rv_full_pct) OVER d, 6) AS mkt_rv, round(stddev_samp(rv_full_pct) OVER d, 6) AS mkt_rv_disp,
+  round(avg(minute_coverage) OVER d, 6) AS mkt_coverage, round(avg(bench_gap_pct) OVER d, 6) AS mkt_bench_gap,
+  round(rv_full_pct - avg(rv_full_pct) OVER d, 6) AS stock_minus_mkt_rv,
+  round(rv_full_pct / nullif(avg(rv_full_pct) OVER d, 0), 6) AS rel_rv_ratio,
+  CASE WHEN rv_full_pct IS NOT NULL THEN round((rank() OVER (PARTITION BY pred_date ORDER BY rv_full_pct ASC NULLS LAST)
+    + (count(*) OVER (PARTITION BY pred_date, rv_full_pct) - 1) / 2.0) / count(rv_full_pct) OVER d, 6) END
+    AS cs_rank_rv_full_pct,
+  CASE WHEN bench_gap_pct IS NOT NULL THEN round((rank() OVER (PARTITION BY pred_date ORDER BY bench_gap_pct ASC NULLS LAST)
+    + (count(*) OVER (PARTITION BY pred_date, bench_gap_pct) - 1) / 2.0) / count(bench_gap_pct) OVER d, 6) END
+    AS cs_rank_bench_gap_pct,
+  round((close_vs_vwap_pct - avg(close_vs_vwap_pct) OVER d) / nullif(stddev_samp(close_vs_vwap_pct) OVER d, 0), 6)
+    AS cs_z_close_vs_vwap_pct
+FROM joined WINDOW d AS (PARTITION BY pred_date)""", symbol="user_id"))
+def intraday_feature_panel(spark, sf):
+    """Daily and minute bars of the same symbols through the whole feature build."""
+    daily = stage(tables.event_daily_bars(spark, sf, "user_id"), "event-daily")
+    calendar = stage(cal.session_calendar(daily), "event-calendar")
+    sessions = intraday.session_features(intraday.five_minute_bars(tables.minute_bars(spark, sf, "user_id")))
+    panel = feature_panel(cal.overnight_targets(daily, calendar), sessions)
+    return rounded(panel.select(
+        "symbol", "pred_date", "bench_gap_pct", "rv_full_pct", "log_rv_full_pct", "log_dollar_volume", "mkt_rv",
+        "mkt_rv_disp", "mkt_coverage", "mkt_bench_gap", "stock_minus_mkt_rv", "rel_rv_ratio", "cs_rank_rv_full_pct",
+        "cs_rank_bench_gap_pct", "cs_z_close_vs_vwap_pct"))
+
+
+@query("feature_registry")
+def feature_registry(spark, sf):
+    """Model inputs with a mark for those that survive without the benchmark basis, and their coverage."""
+    panel = model_panel(spark, sf)
+    reduced = set(cs.feature_columns(panel, include_benchmark=False))
+    names = cs.feature_columns(panel)
+    seen = panel.agg(*[F.count(c).alias(c) for c in names])
+    entries = F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(c in reduced).alias("without_benchmark"),
+                                 F.col(c).alias("n_present")) for c in names])
+    return seen.select(F.explode(entries).alias("e")).select("e.*")
+
+
+RIDGE_ALPHA = 100.0
+
+
+@query("ridge_two_features", with_(SCORED + f""",
+fit_rows AS (
+  SELECT coalesce(mag_mean_5, (SELECT quantile_cont(mag_mean_5, 0.5) FROM scored WHERE split = 'train')) AS x1,
+    mag_mean_20 AS x2, ln(1 + actual_magnitude_pct) AS y FROM scored WHERE split = 'train'),
+m AS (
+  SELECT count(*) AS n, avg(x1) AS m1, avg(x2) AS m2, stddev_pop(x1) AS s1, stddev_pop(x2) AS s2, corr(x1, x2) AS r,
+    covar_pop(x1, y) / stddev_pop(x1) AS b1, covar_pop(x2, y) / stddev_pop(x2) AS b2, avg(y) AS my FROM fit_rows),
+solved AS (
+  SELECT *, ((n + {RIDGE_ALPHA}) * n * b1 - n * r * n * b2) / (pow(n + {RIDGE_ALPHA}, 2) - pow(n * r, 2)) AS w1,
+    ((n + {RIDGE_ALPHA}) * n * b2 - n * r * n * b1) / (pow(n + {RIDGE_ALPHA}, 2) - pow(n * r, 2)) AS w2 FROM m),
+filled AS (
+  SELECT pred_date, symbol,
+    coalesce(mag_mean_5, (SELECT quantile_cont(mag_mean_5, 0.5) FROM scored WHERE split = 'train')) AS x1,
+    mag_mean_20 AS x2 FROM scored WHERE split = 'valid')""", """
+SELECT pred_date, symbol, round(my + w1 * (x1 - m1) / s1 + w2 * (x2 - m2) / s2, 6) AS prediction FROM filled, solved"""))
+def ridge_two_features(spark, sf):
+    rows = tables.scored_frame(spark, sf)
+    model = linear.fit_ridge(rows.where("split = 'train'"), ["mag_mean_5", "mag_mean_20"],
+                             F.log1p("actual_magnitude_pct"), RIDGE_ALPHA)
+    return rounded(rows.where("split = 'valid'").select("pred_date", "symbol", model.predict().alias("prediction")))
+
+
+@query("market_ridge")
+def market_ridge(spark, sf):
+    """Market leg fitted on training sessions, its forecast for every later session."""
+    panel = model_panel(spark, sf)
+    model = dirn.fit_market(panel.where("split = 'train'"), DCFG)
+    later = dirn.market_frame(panel.where("split <> 'train'"))
+    return later.select("pred_date", "mkt_target", model.predict().alias("mu_market"), F.lit(model.alpha).alias("alpha"))
+
+
+@query("oof_ridge")
+def oof_ridge(spark, sf):
+    panel = model_panel(spark, sf)
+    registry = mag.candidates(MCFG)
+    names = [mag.BASELINE, "M1_harx_ridge_smear", "M8_harx_full_ridge"]
+    oof = mag.oof_forecasts(panel.where("split = 'train'"), model_folds(panel), {n: registry[n] for n in names},
+                            cs.feature_columns(panel), MCFG)
+    return model_report(oof, ["model"])
+
+
+@query("oof_glm_family")
+def oof_glm_family(spark, sf):
+    panel = model_panel(spark, sf)
+    registry = mag.candidates(MCFG)
+    names = ["M2_gamma", "M3_tweedie_1.1", "M3_tweedie_1.3", "M3_tweedie_1.5", "M7_poisson"]
+    oof = mag.oof_forecasts(panel.where("split = 'train'"), model_folds(panel, 2), {n: registry[n] for n in names},
+                            INPUTS, MCFG)
+    return model_report(oof, ["model"])
+
+
+@query("oof_tree")
+def oof_tree(spark, sf):
+    panel = model_panel(spark, sf)
+    registry = mag.candidates(MCFG)
+    names = ["M4_trees_logl2_smear", "M6_trees_l2_direct", "S_quantile45_shadow"]
+    oof = mag.oof_forecasts(panel.where("split = 'train'"), model_folds(panel, 2), {n: registry[n] for n in names},
+                            INPUTS, MCFG)
+    return model_report(oof, ["model"])
+
+
+@query("magnitude_tournament")
+def magnitude_tournament(spark, sf):
+    """Candidates, non-negative blend and the raw / calibrated validation table with the selected row marked."""
+    panel = model_panel(spark, sf)
+    registry = {n: f for n, f in mag.candidates(MCFG).items() if n in (
+        mag.BASELINE, "M1_harx_ridge_smear", "M7_poisson", "M6_trees_l2_direct")}
+    result = mag.tournament(panel, model_folds(panel, 2), registry, INPUTS, MCFG)
+    table = stage(result.table, "tournament")
+    best = selection.select_magnitude(table).select("model", "variant", F.lit(True).alias("selected"))
+    return table.join(best, ["model", "variant"], "left").na.fill(False, ["selected"])
+
+
+@query("leaf_quantiles")
+def leaf_quantiles(spark, sf):
+    """Conditional quantiles of the return on validation rows with P(up)."""
+    from ..functions.distribution import prob_up
+
+    panel = model_panel(spark, sf)
+    forest = dirn.fit_quantiles(panel.where("split = 'train'"), INPUTS, DCFG)
+    out = forest(panel.where("split = 'valid'").select("pred_date", "symbol", *INPUTS), "q")
+    return out.select("pred_date", "symbol", "q", prob_up("q", list(DCFG.levels)).alias("p_up"))
+
+
+def confidence_rows(spark, sf):
+    """Confidence inputs with the market and momentum stand-ins of the two legs."""
+    from ..functions.columns import hash_fraction
+    from ..functions.confidence import confidence_inputs
+
+    market, residual = F.col("pred_direction") * 0.5, (F.col("mag_mean_5") - F.col("mag_mean_20")) / 50.0
+    rows = tables.scored_frame(spark, sf).where("mag_mean_5 is not null")
+    return stage(confidence_inputs(rows.select(
+        "split", "pred_date", "symbol", "actual_return_pct", "pred_magnitude_pct", market.alias("mu_market"),
+        residual.alias("mu_residual"), (market + residual).alias("mu_total"),
+        hash_fraction(5, "symbol", "pred_date").alias("p_up"))), "confidence-rows")
+
+
+@query("isotonic_confidence")
+def isotonic_confidence(spark, sf):
+    rows = confidence_rows(spark, sf)
+    return conf.direction_candidates(rows.where("split = 'train'"), rows.where("split = 'valid'"),
+                                     ["C0_constant", "C3_isotonic", "C5_isotonic_margin"])[0]
+
+
+@query("logistic_confidence")
+def logistic_confidence(spark, sf):
+    rows = confidence_rows(spark, sf)
+    return conf.direction_candidates(rows.where("split = 'train'"), rows.where("split = 'valid'"),
+                                     ["C0_constant", "C2_platt"])[0]
+
+
+@query("label_calibration")
+def label_calibration(spark, sf):
+    """Platt calibration of the quality label on the document length, with its calibration report."""
+    docs = tables.table(spark, sf, "documents").select("doc_id", F.log1p("n_chars").alias("length"))
+    rows = tables.table(spark, sf, "labels").join(docs, "doc_id").select(
+        "doc_id", "length", F.col("quality").cast("double").alias("quality"))
+    rows = stage(rows, "labels")
+    scored = learners.fit_logistic(rows, ["length"], "quality")(rows, "q")
+    return met.calibration_report(scored, [], "q", "quality")
+
+
+@query("two_stage_reliability")
+def two_stage_reliability(spark, sf):
+    """All magnitude-confidence candidates on validation: rank report per candidate."""
+    from ..operators import calibration as calib, rolling
+
+    features = ["pred_magnitude_pct", "mag_mean_60", "mag_std_20", "mag_median_20", "history_count",
+                "err_hist_mean_20", "err_hist_std_20"]
+    rows = tables.scored_frame(spark, sf).withColumn(
+        "oof_abs_error", F.abs(F.col("pred_magnitude_pct") - F.col("actual_magnitude_pct")))
+    train = stage(rolling.error_history(rows.where("split = 'train'")), "reliability-train")
+    valid = stage(calib.attach_error_history(rows.where("split = 'valid'"), train), "reliability-valid")
+    out = conf.magnitude_confidences(train, valid, features=features, max_iter=5)
+    return conf.magnitude_candidates(stage(out, "confidences"))
+
+
+@query("benchmark_ablation")
+def benchmark_ablation(spark, sf):
+    """Diagnostics with and without the basis columns; session_close is the average trade price."""
+    daily = tables.daily_bars(spark, sf)
+    traded = tables.trade_ticks(spark, sf).groupBy("symbol", F.col("date").alias("pred_date")).agg(
+        F.when(F.count(F.lit(1)) > 1, F.sum("l_extendedprice") / F.sum("l_quantity")).alias("session_close"))
+    blank = [F.lit(None).cast("double").alias(c) for c in intraday.SESSION_COLUMNS if c != "session_close"]
+    built = build_panel(daily, traded.select("*", *blank), tables.TRAIN_END, tables.VALID_END)
+    panel = stage(built.panel.where("mag_mean_20 is not null"), "ablation-input")
+    return dirn.benchmark_ablation(panel, [*INPUTS, "bench_gap_pct", "bench_gap_abs"], 0.5, DCFG)
+
+
+@query("final_scoring")
+def final_scoring(spark, sf):
+    """Research stages, selections and the final scoring of all splits: one row of metrics per split and scope."""
+    panel = model_panel(spark, sf)
+    folds = model_folds(panel, 2)
+    registry = {n: f for n, f in mag.candidates(MCFG).items() if n in (
+        mag.BASELINE, "M1_harx_ridge_smear", "M7_poisson")}
+    contest = mag.tournament(panel, folds, registry, INPUTS, MCFG)
+    best = selection.select_magnitude(stage(contest.table, "contest")).first()
+    direction = dirn.research(panel, folds, INPUTS, DCFG)
+    chosen = lambda t: t.where(F.col("model") == best.model).select(
+        "pred_date", "symbol", F.col("pred").alias("pred_magnitude_pct"))
+    research = conf.research(direction.oof, direction.valid, panel, chosen(contest.oof), chosen(contest.valid),
+                             max_iter=5)
+    choice = final.Selection(best.model, best.variant, contest.weights, direction.shrinkage,
+                             research.direction_choice, research.magnitude_choice)
+    scored = final.score_all(panel, contest, direction, choice, INPUTS, registry, MCFG, DCFG, max_iter=5)
+    return met.statistics_table(scored)

@@ -177,3 +177,51 @@ def with_(ctes: str, select: str, **fmt: str) -> str:
 def round_all(cols: str, digits: int = 6) -> str:
     """'a b c' -> 'round(a, 6) AS a, ...'."""
     return ", ".join(f"round({c}, {digits}) AS {c}" for c in cols.split())
+
+
+# ---- the research feature panel: scorable rows before the test block
+FACTS_PANEL = TARGETS.replace(
+    "targets AS (", """cutoff AS (
+  SELECT max(session) FILTER (session_idx = (SELECT max(session_idx) FILTER (session <= DATE '2000-06-30') FROM calendar) + 6)
+    AS test_start FROM calendar),
+early AS (SELECT daily.* FROM daily, cutoff WHERE date < test_start),
+targets AS (""").replace("FROM daily d JOIN calendar", "FROM early d JOIN calendar").replace(
+    "LEFT JOIN daily n", "LEFT JOIN early n") + SPLITS[len(TARGETS):] + f""",
+lagged AS (
+  SELECT *, {lag('close')} AS prev_close, {lag('close', 2)} AS c2, {lag('close', 5)} AS c5, {lag('close', 20)} AS c20,
+    {trailing('high', 20, 'max({})', 10)} AS hi20, {trailing('low', 20, 'min({})', 10)} AS lo20,
+    {lag('actual_magnitude_pct')} AS mag_lag_1, {lag('actual_return_pct')} AS ret_lag_1,
+    {trailing('actual_magnitude_pct', 5, 'avg({})', 3)} AS mag_mean_5,
+    {trailing('actual_magnitude_pct', 20, 'avg({})', 10)} AS mag_mean_20,
+    {trailing('actual_magnitude_pct', 60, 'avg({})', 30)} AS mag_mean_60,
+    {trailing('actual_magnitude_pct', 20, 'stddev_samp({})', 10)} AS mag_std_20,
+    {trailing('actual_magnitude_pct', 20, 'quantile_cont({}, 0.5)', 10)} AS mag_median_20
+  FROM panel),
+facts AS (
+  SELECT *, (close / prev_close - 1.0) * 100.0 AS ret_cc_pct, (close / open - 1.0) * 100.0 AS ret_oc_pct,
+    (open / prev_close - 1.0) * 100.0 AS gap_into_t_pct, (high - low) / prev_close * 100.0 AS range_pct,
+    (close - low) / nullif(high - low, 0) AS close_location, (close / c2 - 1.0) * 100.0 AS ret_2d_pct,
+    (close / c5 - 1.0) * 100.0 AS ret_5d_pct, (close / c20 - 1.0) * 100.0 AS ret_20d_pct,
+    (close / hi20 - 1.0) * 100.0 AS dist_20d_high_pct, (close / lo20 - 1.0) * 100.0 AS dist_20d_low_pct,
+    sqrt(pow(ln(high / low), 2) / (4 * ln(2))) * 100.0 AS parkinson,
+    sqrt(greatest(0.5 * pow(ln(high / low), 2) - (2 * ln(2) - 1) * pow(ln(close / open), 2), 0)) * 100.0 AS garman_klass
+  FROM lagged),
+market AS (
+  SELECT *, lag(mkt_on) OVER (ORDER BY pred_date) AS mkt_on_lag_1 FROM (
+    SELECT pred_date, avg(ret_oc_pct) AS mkt_ret_oc, avg(ret_cc_pct) AS mkt_ret_cc,
+      avg(CASE WHEN ret_oc_pct > 0 THEN 1.0 ELSE 0.0 END) AS mkt_breadth_up, avg(close_location) AS mkt_near_high,
+      avg(actual_return_pct) AS mkt_on FROM facts GROUP BY pred_date)),
+final_panel AS (
+  SELECT * FROM (
+    SELECT f.*, m.* EXCLUDE (pred_date), f.ret_oc_pct - m.mkt_ret_oc AS stock_minus_mkt_oc,
+      CASE WHEN range_pct IS NOT NULL THEN (rank() OVER (PARTITION BY f.pred_date ORDER BY range_pct ASC NULLS LAST)
+        + (count(*) OVER (PARTITION BY f.pred_date, range_pct) - 1) / 2.0)
+        / count(range_pct) OVER (PARTITION BY f.pred_date) END AS cs_rank_range_pct,
+      (range_pct - avg(range_pct) OVER (PARTITION BY f.pred_date))
+        / nullif(stddev_samp(range_pct) OVER (PARTITION BY f.pred_date), 0) AS cs_z_range_pct,
+      CASE WHEN close_location IS NOT NULL THEN
+        (rank() OVER (PARTITION BY f.pred_date ORDER BY close_location ASC NULLS LAST)
+        + (count(*) OVER (PARTITION BY f.pred_date, close_location) - 1) / 2.0)
+        / count(close_location) OVER (PARTITION BY f.pred_date) END AS cs_rank_close_location
+    FROM facts f JOIN market m ON f.pred_date = m.pred_date)
+  WHERE actual_return_pct IS NOT NULL AND split IS NOT NULL AND history_count >= 20)"""
