@@ -160,7 +160,7 @@ def smearing(spark, sf):
 def quantile_rows(spark, sf):
     panel = tables.history_panel(spark, sf).select("symbol", "pred_date", "actual_return_pct", "history_count")
     short, long = rolling.prior(20), rolling.prior(60)
-    picks = [F.round(F.percentile("actual_return_pct", t).over(short if i % 2 else long), 9) for i, t in enumerate(LEVELS)]
+    picks = [F.round(F.percentile("actual_return_pct", t).over(short if i % 2 else long), 6) for i, t in enumerate(LEVELS)]
     rows = panel.select("symbol", "pred_date", "actual_return_pct", F.array(*picks).alias("raw"),
                         F.count("actual_return_pct").over(short).alias("seen"))
     rows = stage(rows.where("seen >= 5"), "quantile-rows")
@@ -171,7 +171,7 @@ QUANTILES = SPLITS + """,
 quantile_rows AS (
   SELECT *, list_sort(raw) AS q FROM (
     SELECT symbol, pred_date, actual_return_pct, count(actual_return_pct) OVER s AS seen,
-      [""" + ", ".join(f"round(quantile_cont(actual_return_pct, {t}) OVER {'s' if i % 2 else 'l'}, 9)"
+      [""" + ", ".join(f"round(quantile_cont(actual_return_pct, {t}) OVER {'s' if i % 2 else 'l'}, 6)"
                        for i, t in enumerate(LEVELS)) + """] AS raw
     FROM panel
     WINDOW s AS (PARTITION BY symbol ORDER BY pred_date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING),
@@ -181,11 +181,10 @@ quantile_rows AS (
 
 @query("quantile_rearrange", with_(QUANTILES, """
 SELECT symbol, pred_date, CAST(len(list_filter(range(1, 11), lambda i: raw[i + 1] < raw[i])) AS INTEGER) AS crossings,
-  list_transform(q, lambda x: round(x, 6)) AS q FROM quantile_rows"""))
+  q FROM quantile_rows"""))
 def quantile_rearrange(spark, sf):
     return quantile_rows(spark, sf).select(
-        "symbol", "pred_date", crossings("raw").alias("crossings"),
-        F.transform("q", lambda x: F.round(x, 6)).alias("q"))
+        "symbol", "pred_date", crossings("raw").alias("crossings"), "q")
 
 
 PROB = """CASE WHEN q[1] > 0 THEN 1 - 1e-6 WHEN q[11] <= 0 THEN 1e-6 ELSE

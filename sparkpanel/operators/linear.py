@@ -23,19 +23,18 @@ EXACT_MEDIAN_ROWS = 200_000
 def column_medians(df: DataFrame, columns: list[str], max_rows: int = EXACT_MEDIAN_ROWS) -> dict[str, float]:
     """Exact medians; columns without any value get 0.
 
-    Up to ``max_rows`` rows one aggregate holds the values; beyond it the columns go
-    through the range-partitioned quantiles.
+    All columns go through one long (column, value) form.  Up to ``max_rows`` rows each
+    column's values fit one aggregate; beyond it they are range-partitioned.
     """
-    n = df.count()
-    if n <= max_rows:
-        row = df.agg(*[F.percentile(F.col(c).cast("double"), 0.5).alias(c) for c in columns]).first()
-        found = row.asDict()
+    long = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns
+    ])).alias("e")).select("e.*").where("value is not null")
+    if df.limit(max_rows + 1).count() <= max_rows:
+        medians = long.groupBy("column").agg(F.percentile("value", 0.5).alias("quantile"))
     else:
-        long = df.select(F.explode(F.array(*[
-            F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])).alias("e"))
-        found = {r.column: r.quantile for r in
-                 quantiles(long.select("e.*"), ["column"], "value", [0.5]).collect()}
-    return {c: float(found[c]) if found.get(c) is not None else 0.0 for c in columns}
+        medians = quantiles(long, ["column"], "value", [0.5])
+    found = {r["column"]: float(r["quantile"]) for r in medians.collect()}
+    return {c: found.get(c, 0.0) for c in columns}
 
 
 @dataclass(frozen=True)
@@ -54,6 +53,11 @@ class Imputer:
         filled = [F.coalesce(F.col(c).cast("double"), F.lit(self.fill[c])) for c in self.features]
         return filled + [F.col(c).isNull().cast("double") for c in self.flagged]
 
+    def centred(self) -> list[Column]:
+        """Columns minus their fill value, so that a gap is simply zero."""
+        shifted = [F.coalesce(F.col(c).cast("double") - F.lit(self.fill[c]), F.lit(0.0)) for c in self.features]
+        return shifted + [F.col(c).isNull().cast("double") for c in self.flagged]
+
 
 def fit_imputer(df: DataFrame, features: list[str], indicators: bool = False) -> Imputer:
     fill = column_medians(df, features)
@@ -64,28 +68,6 @@ def fit_imputer(df: DataFrame, features: list[str], indicators: bool = False) ->
     return Imputer(tuple(features), fill, flagged)
 
 
-@dataclass(frozen=True)
-class Scaler:
-    """Imputed columns, centred and divided by the population deviation (constant columns by 1)."""
-
-    imputer: Imputer
-    mean: np.ndarray
-    scale: np.ndarray
-
-    def columns(self) -> list[Column]:
-        return [(c - float(m)) / float(s) for c, m, s in zip(self.imputer.columns(), self.mean, self.scale)]
-
-
-def fit_scaler(df: DataFrame, imputer: Imputer) -> Scaler:
-    cols = imputer.columns()
-    row = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)],
-                 *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(cols)]).first()
-    k = len(cols)
-    mean = np.array([row[f"m{i}"] for i in range(k)], dtype=float)
-    scale = np.array([row[f"s{i}"] for i in range(k)], dtype=float)
-    return Scaler(imputer, mean, np.where(scale > 1e-12, scale, 1.0))
-
-
 def cross_products(df: DataFrame, columns: list[Column]) -> np.ndarray:
     """Z'Z of the given columns over all rows."""
     k = len(columns)
@@ -106,45 +88,78 @@ def cross_products(df: DataFrame, columns: list[Column]) -> np.ndarray:
     return out
 
 
+@dataclass(frozen=True)
+class Products:
+    """Cross products of [1, centred features, target] over a set of rows.
+
+    Features are centred at the imputer's fill values, which keeps the sums well scaled;
+    means, deviations and the standardised normal equations follow by algebra.
+    """
+
+    z: np.ndarray
+
+    @property
+    def rows(self) -> float:
+        return float(self.z[0, 0])
+
+    def moments(self) -> tuple[np.ndarray, np.ndarray]:
+        """Mean (about the centre) and population deviation; constant columns get deviation 1."""
+        mean = self.z[0, 1:-1] / self.rows
+        second = np.diag(self.z)[1:-1] / self.rows
+        variance = second - mean ** 2
+        return mean, np.where(variance > 1e-12 * np.maximum(second, 1e-300), np.sqrt(np.maximum(variance, 0)), 1.0)
+
+    def solve(self, alpha: float) -> tuple[np.ndarray, float]:
+        """Ridge weights of the centred features on their own scale, penalised as if standardised."""
+        mean, scale = self.moments()
+        target = self.z[0, -1] / self.rows
+        gram = (self.z[1:-1, 1:-1] - self.rows * np.outer(mean, mean)) / np.outer(scale, scale)
+        right = (self.z[1:-1, -1] - self.rows * mean * target) / scale
+        weights = np.linalg.solve(gram + alpha * np.eye(len(mean)), right) / scale
+        return weights, target - mean @ weights
+
+    def mean_squared_error(self, weights: np.ndarray, intercept: float) -> float:
+        w = np.concatenate([[intercept], weights, [-1.0]])
+        return float(w @ self.z @ w / self.rows)
+
+
+def products(df: DataFrame, imputer: Imputer, target: Column) -> Products:
+    return Products(cross_products(df, [F.lit(1.0), *imputer.centred(), target.cast("double")]))
+
+
 @dataclass(frozen=True)
 class Ridge:
-    scaler: Scaler
-    coef: np.ndarray
+    imputer: Imputer
+    weights: np.ndarray
     intercept: float
     alpha: float
 
     def predict(self) -> Column:
-        terms = [c * float(w) for c, w in zip(self.scaler.columns(), self.coef)]
+        terms = [c * float(w) for c, w in zip(self.imputer.centred(), self.weights)]
         return reduce(lambda a, b: a + b, terms, F.lit(float(self.intercept)))
 
 
 @dataclass(frozen=True)
-class Products:
-    """Cross products of [1, features, target] in the scaled space."""
-
-    z: np.ndarray
+class Scaler:
+    """Imputed columns, centred and divided by the population deviation."""
 
-    def solve(self, alpha: float) -> tuple[np.ndarray, float]:
-        n = self.z[0, 0]
-        s, t = self.z[0, 1:-1], self.z[0, -1]
-        gram = self.z[1:-1, 1:-1] - np.outer(s, s) / n
-        target = self.z[1:-1, -1] - s * t / n
-        coef = np.linalg.solve(gram + alpha * np.eye(len(s)), target)
-        return coef, (t - s @ coef) / n
+    imputer: Imputer
+    mean: np.ndarray
+    scale: np.ndarray
 
-    def mean_squared_error(self, coef: np.ndarray, intercept: float) -> float:
-        w = np.concatenate([[intercept], coef, [-1.0]])
-        return float(w @ self.z @ w / self.z[0, 0])
+    def columns(self) -> list[Column]:
+        return [(c - float(m)) / float(s) for c, m, s in zip(self.imputer.centred(), self.mean, self.scale)]
 
 
-def products(df: DataFrame, scaler: Scaler, target: Column) -> Products:
-    return Products(cross_products(df, [F.lit(1.0), *scaler.columns(), target.cast("double")]))
+def fit_scaler(df: DataFrame, imputer: Imputer) -> Scaler:
+    mean, scale = products(df, imputer, F.lit(0.0)).moments()
+    return Scaler(imputer, mean, scale)
 
 
 def fit_ridge(df: DataFrame, features: list[str], target: Column, alpha: float, indicators: bool = False) -> Ridge:
-    scaler = fit_scaler(df, fit_imputer(df, features, indicators))
-    coef, intercept = products(df, scaler, target).solve(alpha)
-    return Ridge(scaler, coef, intercept, alpha)
+    imputer = fit_imputer(df, features, indicators)
+    weights, intercept = products(df, imputer, target).solve(alpha)
+    return Ridge(imputer, weights, intercept, alpha)
 
 
 def choose_alpha(df: DataFrame, features: list[str], target: Column, alphas: list[float],
@@ -155,9 +170,9 @@ def choose_alpha(df: DataFrame, features: list[str], target: Column, alphas: lis
     """
     cut = F.lit(chronological_cut(df, fraction).first().cut.date())
     early, late = df.where(F.col("pred_date") <= cut), df.where(F.col("pred_date") > cut)
-    scaler = fit_scaler(early, fit_imputer(early, features))
-    fit, check = products(early, scaler, target), products(late, scaler, target)
-    if not check.z[0, 0]:
+    imputer = fit_imputer(early, features)
+    fit, check = products(early, imputer, target), products(late, imputer, target)
+    if not check.rows:
         return alphas[-1]
     errors = [check.mean_squared_error(*fit.solve(a)) for a in alphas]
     return alphas[int(np.argmin(errors))]

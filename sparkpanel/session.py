@@ -16,6 +16,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
         # small inputs stay spread over the cores; the 1 MB default suits large ones
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
