@@ -44,9 +44,9 @@ def with_bucket(bars: DataFrame, anchor: int = OPEN_MINUTE, minutes: int = BUCKE
         "bucket", F.floor((minute_of_day() - anchor) / minutes).cast("smallint"))
 
 
-def bucket_bars(bars: DataFrame) -> DataFrame:
+def bucket_bars(bars: DataFrame, extra_keys: list | None = None) -> DataFrame:
     """First open, highest high, lowest low, last close, summed volume, bar count; gaps are kept."""
-    return bars.groupBy("symbol", "date", "bucket").agg(
+    return bars.groupBy("symbol", "date", "bucket", *(extra_keys or [])).agg(
         F.min_by("open", "timestamp").alias("open"), F.max("high").alias("high"),
         F.min("low").alias("low"), F.max_by("close", "timestamp").alias("close"),
         F.coalesce(F.sum("volume"), F.lit(0.0)).alias("volume"),

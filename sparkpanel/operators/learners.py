@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -34,15 +35,28 @@ def _result(model_out: DataFrame, df: DataFrame, value: Column, out: str) -> Dat
 
 
 def fit_glm(train: DataFrame, features: list[str], target: Column, family: str, power: float | None = None,
-            floor: float | None = None, reg: float = 1e-3, max_iter: int = 25) -> Predictor:
-    """Log-link gamma / Poisson / Tweedie mean model on standardised inputs."""
+            floor: float | None = None, penalties: tuple[float, ...] = (1e-3, 1e-2, 1e-1, 1.0),
+            max_iter: int = 25) -> Predictor:
+    """Log-link gamma / Poisson / Tweedie mean model on standardised inputs.
+
+    Reweighted least squares can diverge on heavy-tailed outcomes; the fit then moves to
+    the next larger penalty and fails only with the last one.
+    """
     scaler = fit_scaler(train, fit_imputer(train, features, indicators=True))
     y = F.greatest(target, F.lit(floor)) if floor is not None else target
     data = _assembled(train.withColumn("_y", y), scaler.columns(), scaler.imputer.names).select("_features", "_y")
+    data = stage(data, "glm-train")
     kind = {"family": "tweedie", "variancePower": power, "linkPower": 0.0} if family == "tweedie" \
         else {"family": family, "link": "log"}
-    model = GeneralizedLinearRegression(
-        featuresCol="_features", labelCol="_y", predictionCol="_p", regParam=reg, maxIter=max_iter, **kind).fit(data)
+    for reg in penalties:
+        learner = GeneralizedLinearRegression(
+            featuresCol="_features", labelCol="_y", predictionCol="_p", regParam=reg, maxIter=max_iter, **kind)
+        try:
+            model = learner.fit(data)
+            break
+        except Py4JJavaError:
+            if reg == penalties[-1]:
+                raise
 
     def predict(df: DataFrame, out: str) -> DataFrame:
         scored = model.transform(_assembled(df, scaler.columns(), scaler.imputer.names))

@@ -9,6 +9,8 @@ offset, so no task ever holds a whole group.
 """
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..sources.staging import stage
@@ -18,15 +20,32 @@ HEAVY_VALUE_ROWS = 1_000_000
 MAX_HEAVY_VALUES = 10_000
 
 
-def running_weight(hist: DataFrame, groups: list[str], value: str, weight: str = "n",
-                   out: str = "below", max_window_rows: int = MAX_WINDOW_ROWS) -> DataFrame:
+@dataclass(frozen=True)
+class Shape:
+    """Sizes that decide the route: rows of the largest group, most frequent value, all rows."""
+
+    largest_group: int
+    top_value: int
+    total: int
+
+
+def shape_of(hist: DataFrame, groups: list[str]) -> Shape:
+    """One action over a staged (groups, value, n) table."""
+    per = hist.groupBy(*groups).agg(
+        F.count(F.lit(1)).alias("rows"), F.max("n").alias("top"), F.sum("n").alias("total"))
+    r = per.agg(F.max("rows").alias("rows"), F.max("top").alias("top"), F.sum("total").alias("total")).first()
+    return Shape(r["rows"] or 0, r["top"] or 0, r["total"] or 0)
+
+
+def running_weight(hist: DataFrame, groups: list[str], value: str, weight: str = "n", out: str = "below",
+                   max_window_rows: int = MAX_WINDOW_ROWS, shape: Shape | None = None) -> DataFrame:
     """Add the summed ``weight`` of strictly smaller ``value`` rows of the same group.
 
     ``hist`` must be a staged table with one row per (groups, value).
     """
     before = (Window.unboundedPreceding, -1)
-    largest = hist.groupBy(*groups).count().agg(F.max("count")).first()[0] or 0
-    if largest <= max_window_rows:
+    shape = shape or shape_of(hist, groups)
+    if shape.largest_group <= max_window_rows:
         w = Window.partitionBy(*groups).orderBy(value).rowsBetween(*before)
         return hist.withColumn(out, F.coalesce(F.sum(weight).over(w), F.lit(0)))
 
@@ -55,15 +74,15 @@ def value_histogram(df: DataFrame, groups: list[str], value: str | Column, name:
 
 
 def join_by_value(df: DataFrame, table: DataFrame, keys: list[str], row_keys: list[str],
-                  heavy_rows: int = HEAVY_VALUE_ROWS) -> DataFrame:
+                  heavy_rows: int = HEAVY_VALUE_ROWS, shape: Shape | None = None) -> DataFrame:
     """Left join on value keys where ``table`` has unique keys and their row count ``n``.
 
     Keys that occur very often are spread over several salts on both sides.  At most
     MAX_HEAVY_VALUES keys can pass the threshold, which bounds what is broadcast.
     """
-    top, total = table.agg(F.max("n"), F.sum("n")).first()
-    threshold = max(heavy_rows, (total or 0) // MAX_HEAVY_VALUES)
-    if (top or 0) <= threshold:
+    shape = shape or shape_of(table, [])
+    threshold = max(heavy_rows, shape.total // MAX_HEAVY_VALUES)
+    if shape.top_value <= threshold:
         return df.join(table.drop("n"), keys, "left")
     salts = F.ceil(F.col("n") / F.lit(threshold)).cast("int")
     heavy = table.where(F.col("n") > threshold).select(*keys, salts.alias("_salts"))
@@ -96,9 +115,10 @@ def average_ranks(df: DataFrame, groups: list[str], columns: list[str], row_keys
     ).select("*", "_e._c", "_e._v").drop("_e").where(F.col("_v").isNotNull())
     keys = [*groups, "_c"]
     hist = value_histogram(long, keys, "_v", "_v")
-    ranked = running_weight(hist, keys, "_v", max_window_rows=max_window_rows).select(
+    shape = shape_of(hist, keys)
+    ranked = running_weight(hist, keys, "_v", max_window_rows=max_window_rows, shape=shape).select(
         *keys, "_v", "n", (F.col("below") + (F.col("n") + 1) / 2.0).alias("_r"))
-    ranks = join_by_value(long, ranked, [*keys, "_v"], row_keys, heavy_rows)
+    ranks = join_by_value(long, ranked, [*keys, "_v"], row_keys, heavy_rows, shape)
     wide = ranks.groupBy(*row_keys).agg(
         *[F.max(F.when(F.col("_c") == c, F.col("_r"))).alias(f"{prefix}{c}") for c in columns])
     out = df.join(wide, row_keys, "left")

@@ -19,6 +19,21 @@ def _symbol_files(spark: SparkSession, directory: str) -> DataFrame:
         F.col("_metadata.row_index").alias("_row"))
 
 
+def _moment(df: DataFrame, c: str) -> Column:
+    """The column as a timestamp without time zone.
+
+    Nanosecond files arrive as integers when ``spark.sql.legacy.parquet.nanosAsLong`` is
+    set (Spark rejects them otherwise); texts that are no timestamps become missing.
+    """
+    kind = dict(df.dtypes)[c]
+    if kind == "bigint":
+        seconds = (F.floor(F.col(c) / 1000) / 1e6).cast("decimal(18,6)")
+        return F.expr("timestamp_ntz'1970-01-01 00:00:00'") + F.make_dt_interval(secs=seconds)
+    if kind == "string":
+        return F.expr(f"try_cast(`{c}` AS TIMESTAMP_NTZ)")
+    return F.col(c).cast("timestamp_ntz")
+
+
 def _keep_one(df: DataFrame, keys: list[str], columns: list[str], pick) -> DataFrame:
     """One row per key by an aggregate, so copies of a key are combined before the shuffle."""
     return df.groupBy(*keys).agg(pick(F.struct(*columns), F.col("_row")).alias("_r")).select(
@@ -29,9 +44,10 @@ def load_daily(spark: SparkSession, directory: str, start: str, end: str) -> Dat
     """Daily bars in [start, end]; of several rows for a date the first in the file stays."""
     df = _symbol_files(spark, directory)
     lo, hi = F.to_date(F.lit(start)), F.to_date(F.lit(end))
-    # the bound on the raw column reaches the scan; the exact one follows on the date
-    df = df.where((F.col("date") >= lo) & (F.col("date") < F.date_add(hi, 1)))
-    df = df.withColumn("date", F.to_date("date"))
+    if dict(df.dtypes)["date"].startswith(("date", "timestamp")):
+        # on the raw column, so that the bound reaches the scan
+        df = df.where((F.col("date") >= lo) & (F.col("date") < F.date_add(hi, 1)))
+    df = df.withColumn("date", F.to_date(_moment(df, "date"))).where(F.col("date").between(lo, hi))
     columns = [*PRICES, "volume"]
     kept = _keep_one(df, ["symbol", "date"], columns, F.min_by)
     return kept.select("symbol", "date", *[F.col(c).cast("double").alias(c) for c in columns])
@@ -42,9 +58,7 @@ def load_minutes(spark: SparkSession, directory: str) -> DataFrame:
     df = _symbol_files(spark, directory)
     number = lambda c: F.expr(f"try_cast(`{c}` AS DOUBLE)")
     clean = lambda c: F.when(~F.isnan(number(c)), number(c))
-    stamp = F.col("timestamp") if dict(df.dtypes)["timestamp"].startswith("timestamp") \
-        else F.try_to_timestamp("timestamp")
-    df = df.select("symbol", "_row", stamp.alias("timestamp"), *[clean(c).alias(c) for c in (*PRICES, "volume")])
+    df = df.select("symbol", "_row", _moment(df, "timestamp").alias("timestamp"), *[clean(c).alias(c) for c in (*PRICES, "volume")])
     df = df.dropna(subset=["timestamp", *PRICES])
     return _keep_one(df, ["symbol", "timestamp"], [*PRICES, "volume"], F.max_by)
 
