@@ -35,9 +35,11 @@ def _moment(df: DataFrame, c: str) -> Column:
 
 
 def _keep_one(df: DataFrame, keys: list[str], columns: list[str], pick) -> DataFrame:
-    """One row per key by an aggregate, so copies of a key are combined before the shuffle."""
-    return df.groupBy(*keys).agg(pick(F.struct(*columns), F.col("_row")).alias("_r")).select(
-        *keys, *[f"_r.{c}" for c in columns])
+    """One row per key by an aggregate, so copies of a key are combined before the shuffle.
+
+    Picking column by column keeps the buffers primitive and the aggregation hash-based.
+    """
+    return df.groupBy(*keys).agg(*[pick(c, "_row").alias(c) for c in columns])
 
 
 def load_daily(spark: SparkSession, directory: str, start: str, end: str) -> DataFrame:
