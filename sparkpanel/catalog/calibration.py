@@ -271,7 +271,8 @@ table0 AS (
     -avg(correct * ln(least(greatest(conf, 1e-6), 1 - 1e-6))
          + (1 - correct) * ln(1 - least(greatest(conf, 1e-6), 1 - 1e-6))) AS log_loss,
     any_value(gap) / count(*) AS ece_10, avg(conf) AS mean_conf, avg(correct) AS acc,
-    sum((2 * conf - 1) * d * a) / sum((2 * conf - 1) * abs(a)) - sum(d * a) / sum(abs(a)) AS lift,
+    CASE WHEN abs(sum((2 * conf - 1) * d * a) / sum((2 * conf - 1) * abs(a)) - sum(d * a) / sum(abs(a))) < 1e-12 THEN 0.0
+      ELSE sum((2 * conf - 1) * d * a) / sum((2 * conf - 1) * abs(a)) - sum(d * a) / sum(abs(a)) END AS lift,
     count(*) FILTER (q < 0.5) AS flips, sum(d * a) / sum(abs(a)) AS pooled_ds
   FROM emitted JOIN gaps USING (model) GROUP BY model)"""
 REPORT = "brier brier_skill log_loss ece_10 mean_conf acc lift pooled_ds"
@@ -281,8 +282,10 @@ def direction_candidate_rows(spark, sf):
     from ..plans.confidence import direction_candidates
 
     rows = stage(direction_rows(spark, sf), "direction-rows")
-    return direction_candidates(rows.where("split = 'train'"), rows.where("split = 'valid'"),
-                                ["C0_constant", "C1_raw_quantile_prob"])[0]
+    table = direction_candidates(rows.where("split = 'train'"), rows.where("split = 'valid'"),
+                                 ["C0_constant", "C1_raw_quantile_prob"])[0]
+    # the lift of a constant confidence is zero up to the last bit, whose sign depends on the engine
+    return table.withColumn("lift", F.when(F.abs("lift") < 1e-12, 0.0).otherwise(F.col("lift")))
 
 
 @query("direction_confidence_candidates", with_(
