@@ -7,7 +7,7 @@ from ..operators import metrics as met
 from ..sources import tables
 from ..sources.staging import stage
 from .registry import query, rounded
-from .sql import SCORED, fraction, round_all, with_
+from .sql import SCORED, TARGETS, fraction, round_all, with_
 
 # ---- SQL of the scored rows, once per scope -------------------------------------------
 SCOPED = SCORED + """,
@@ -233,6 +233,20 @@ def return_decomposition(spark, sf):
     return rounded(met.return_decomposition(tables.scored_frame(spark, sf)))
 
 
+@query("always_up_by_month", with_(TARGETS, """
+SELECT CAST(date_trunc('month', pred_date) AS DATE) AS period, count(*) AS n_rows, count(DISTINCT pred_date) AS sessions,
+  round(sum(actual_return_pct) / sum(abs(actual_return_pct)), 6) AS direction_score,
+  round(avg((actual_return_pct >= 0)::INT), 6) AS up_share
+FROM panel0 WHERE actual_return_pct IS NOT NULL GROUP BY ALL"""))
+def always_up_by_month(spark, sf):
+    """Direction score of the always-up forecast per month: bars, calendar and targets end to end."""
+    rows = tables.target_panel(spark, sf).where("actual_return_pct is not null")
+    return rounded(rows.groupBy(F.trunc("pred_date", "month").alias("period")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("pred_date").alias("sessions"),
+        met.direction_score(F.lit(1.0), "actual_return_pct").alias("direction_score"),
+        F.avg((F.col("actual_return_pct") >= 0).cast("double")).alias("up_share")))
+
+
 def rival(scored):
     """A second system: always up, long-run magnitude, its own confidences, without thin histories."""
     from ..functions.columns import hash_fraction

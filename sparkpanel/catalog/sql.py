@@ -175,8 +175,8 @@ def with_(ctes: str, select: str, **fmt: str) -> str:
 
 
 def round_all(cols: str, digits: int = 6) -> str:
-    """'a b c' -> 'round(a, 6) AS a, ...'."""
-    return ", ".join(f"round({c}, {digits}) AS {c}" for c in cols.split())
+    """'a b c' -> 'round(a, 6) + 0.0 AS a, ...'; the sum turns a negative zero into zero, as Spark's round does."""
+    return ", ".join(f"round({c}, {digits}) + 0.0 AS {c}" for c in cols.split())
 
 
 # ---- the research feature panel: scorable rows before the test block
