@@ -73,7 +73,7 @@ class Merges:
         word = np.repeat(np.arange(len(words)), counts)
         place = np.arange(len(chars)) - np.repeat(np.cumsum(counts) - counts, counts)
         done_symbol, done_word, done_place = [], [], []
-        limit = np.uint64(min(dropout, 1.0) * (2 ** 64 - 1025)) if dropout > 0 else np.uint64(0)
+        limit = threshold(dropout)
         while len(symbol):
             target = np.full(len(symbol), -1)
             same = word[1:] == word[:-1]
@@ -130,6 +130,11 @@ class Merges:
         return "".join(out)[1:]
 
 
+def threshold(dropout: float) -> np.uint64:
+    """Hashes below it drop their merge."""
+    return np.uint64(min(int(dropout * 2.0 ** 64), (1 << 64) - 1))
+
+
 def _utf8(char: str) -> bytes:
     return (SPACE if char == STAND_IN else char).encode()
 
@@ -156,7 +161,7 @@ class DropoutEncoder:
 
     def words(self, text: str) -> list[str]:
         """Words with their blanks as U+2581; a U+2581 of the text itself becomes a stand-in that is coded as bytes."""
-        if SPACE in text or "  " in text:
+        if SPACE in text or "  " in text or text[0] == " ":
             return _words.findall(SPACE + text.replace(SPACE, STAND_IN).replace(" ", SPACE))
         return [SPACE + w for w in text.split(" ")]
 
