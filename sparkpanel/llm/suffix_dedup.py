@@ -12,8 +12,8 @@ bucket it is refined by the pointers at the two ends of its stretch, B4q(first w
 Sorting.  Rows are range-partitioned and sorted by (bucket, pointers, document, offset), which splits a bucket of any
 size over tasks.  In a sorted slice, a row after the first of equal pointers lies in a copy of an earlier stretch and is
 removed whole.  First rows of buckets with several stretches are refined once more, to single windows, by
-sorting their 100-byte names.  The first and last bucket of a slice may go on in its neighbours; their rows are
-settled by aggregation over all slices.
+sorting their 100-byte names.  The first and last bucket of a slice may go on in its neighbours; what is the
+earliest of its kind there in a slice is settled by aggregation over all slices.
 """
 from __future__ import annotations
 
@@ -123,7 +123,8 @@ def _heads(*columns: np.ndarray) -> np.ndarray:
 
 def refine_slices(ordered: DataFrame) -> DataFrame:
     """Rows of sorted slices that need more, with a state: 'copy' (all windows removed), 'first' (the earliest of its
-    pointers, in a bucket with others), 'edge' (the bucket may go on in another slice)."""
+    pointers, in a bucket with others), 'edge' (the slice's earliest of its pointers, in a bucket that may go on in
+    another slice)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _slices(batches, SLICE_ROWS):
             if not table.num_rows:
@@ -134,7 +135,7 @@ def refine_slices(ordered: DataFrame) -> DataFrame:
             group = np.cumsum(new_bucket) - 1
             several = np.bincount(group[new]) > 1
             edge = (group == 0) | (group == group[-1])
-            state = np.where(edge, 2, np.where(~new, 0, np.where(several[group], 1, 3)))
+            state = np.where(~new, 0, np.where(edge, 2, np.where(several[group], 1, 3)))
             want = state < 3
             names = pa.array(["copy", "first", "edge"])
             yield from table.append_column("state", names.take(pa.array(np.minimum(state, 2)))).filter(
@@ -144,7 +145,7 @@ def refine_slices(ordered: DataFrame) -> DataFrame:
 
 
 def settle_edges(edges: DataFrame) -> DataFrame:
-    """The same states for rows of buckets that lie in several slices, by aggregation."""
+    """The states of rows that are the earliest of their pointers in a slice, by aggregation over slices."""
     firsts = edges.groupBy("bucket", "pointers").agg(F.min(F.struct("doc", "place")).alias("first"))
     kinds = firsts.groupBy("bucket").agg(F.count("*").alias("kinds"))
     known = edges.join(firsts, ["bucket", "pointers"]).join(kinds, "bucket")
@@ -197,7 +198,7 @@ def contexts(texts: DataFrame, firsts: DataFrame) -> DataFrame:
 
 def refine_windows(ordered: DataFrame) -> DataFrame:
     """From contexts sorted by (bucket, doc, at): removed intervals (window is null), and for buckets that may go on in
-    another slice each window with its name."""
+    another slice the earliest window of each name."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _slices(batches, SLICE_BYTES, lambda b: b.nbytes):
             if not table.num_rows:
@@ -217,11 +218,10 @@ def refine_windows(ordered: DataFrame) -> DataFrame:
             order = np.lexsort((name, group))
             gone = np.zeros(len(row), bool)
             gone[order] = ~_heads(group[order], name[order])
-            gone &= ~edge
             run_at = np.flatnonzero(gone & ~np.r_[False, gone[:-1] & (row[1:] == row[:-1])])
             run_to = np.flatnonzero(gone & ~np.r_[gone[1:] & (row[1:] == row[:-1]), False])
             first = at[row] + inside
-            e = np.flatnonzero(edge)
+            e = np.flatnonzero(edge & ~gone)
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.concatenate([doc[row[run_at]], doc[row[e]]])),
                 pa.array(np.concatenate([first[run_at], first[e]])),
