@@ -30,7 +30,7 @@ SPAN = WINDOW - Q + 1  # q-byte strings in a window
 #: Window starts of a text that are worked on at once; a stretch of windows ends at this border.
 BLOCK = 1 << 18
 #: Rows of a sorted slice, and bytes of contexts, that a task holds at once.
-SLICE_ROWS, SLICE_BYTES = 1 << 20, 1 << 21
+SLICE_ROWS, SLICE_BYTES = 1 << 18, 1 << 19
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
