@@ -43,9 +43,11 @@ def _joined(spans: str):
 
 @_query
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    def count(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     return pii.personal_data(documents(spark, sf_dir)).select(
-        "doc_id", *counts, F.sha2(_joined("base").cast("binary"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
+        "doc_id", *map(count, pii.KINDS), F.sha2(_joined("base").cast("binary"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
 
 
 @_query
