@@ -15,7 +15,9 @@ from .sql import HISTORY, SCORED, SPLITS, fraction, round_all, with_
 MODELS = ["mag_mean_5", "mag_mean_20", "mag_mean_60", "mag_median_20"]
 FORECASTS = SCORED + """,
 forecasts AS (
-  SELECT * FROM scored WHERE mag_mean_5 IS NOT NULL AND mag_mean_60 IS NOT NULL AND mag_median_20 IS NOT NULL),
+  SELECT * REPLACE (coalesce(mag_mean_5, pred_magnitude_pct) AS mag_mean_5, coalesce(mag_mean_20, pred_magnitude_pct) AS mag_mean_20,
+    coalesce(mag_mean_60, pred_magnitude_pct) AS mag_mean_60, coalesce(mag_median_20, pred_magnitude_pct) AS mag_median_20)
+  FROM scored),
 long AS (
   SELECT split, pred_date, symbol, actual_magnitude_pct, mag_mean_20,
     unnest(['mag_mean_5', 'mag_mean_20', 'mag_mean_60', 'mag_median_20']) AS model,
@@ -23,7 +25,8 @@ long AS (
 
 
 def forecasts(spark, sf):
-    return tables.scored_frame(spark, sf).dropna(subset=MODELS)
+    """All scored rows; a model without a forecast takes the baseline's."""
+    return tables.scored_frame(spark, sf).withColumns({m: F.coalesce(m, "pred_magnitude_pct") for m in MODELS})
 
 
 def long_forecasts(spark, sf):
@@ -215,14 +218,14 @@ def distribution_feature_query(spark, sf):
 INPUTS = SCORED + f""",
 inputs AS (
   SELECT *, CASE WHEN mu_total >= 0 THEN 1.0 ELSE -1.0 END AS base_direction FROM (
-    SELECT *, pred_direction * 0.5 AS mu_market, (mag_mean_5 - mag_mean_20) / 50.0 AS mu_residual,
-      pred_direction * 0.5 + (mag_mean_5 - mag_mean_20) / 50.0 AS mu_total, {fraction(5, 'symbol', 'pred_date')} AS p_up
-    FROM scored WHERE mag_mean_5 IS NOT NULL))"""
+    SELECT *, pred_direction * 0.5 AS mu_market, coalesce(mag_mean_5 - mag_mean_20, 0) / 50.0 AS mu_residual,
+      pred_direction * 0.5 + coalesce(mag_mean_5 - mag_mean_20, 0) / 50.0 AS mu_total, {fraction(5, 'symbol', 'pred_date')} AS p_up
+    FROM scored))"""
 
 
 def direction_rows(spark, sf):
-    market, residual = F.col("pred_direction") * 0.5, (F.col("mag_mean_5") - F.col("mag_mean_20")) / 50.0
-    rows = tables.scored_frame(spark, sf).where("mag_mean_5 is not null").select(
+    market, residual = F.col("pred_direction") * 0.5, tables.short_minus_long() / 50.0
+    rows = tables.scored_frame(spark, sf).select(
         "split", "pred_date", "symbol", "actual_return_pct", "pred_magnitude_pct", market.alias("mu_market"),
         residual.alias("mu_residual"), (market + residual).alias("mu_total"),
         hash_fraction(5, "symbol", "pred_date").alias("p_up"))
@@ -305,9 +308,8 @@ def select_direction_confidence(spark, sf):
 
 @query("select_shrinkage", with_(SCORED, """
 SELECT "lambda", round(sum(d * actual_return_pct) / sum(abs(actual_return_pct)), 6) AS pooled_ds
-FROM (SELECT *, CASE WHEN pred_direction + "lambda" * (mag_mean_5 - mag_mean_20) / 100.0 >= 0 THEN 1 ELSE -1 END AS d
-      FROM scored, (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0, 1.25]::DOUBLE[]) AS "lambda")
-      WHERE mag_mean_5 IS NOT NULL)
+FROM (SELECT *, CASE WHEN pred_direction + "lambda" * coalesce(mag_mean_5 - mag_mean_20, 0) / 100.0 >= 0 THEN 1 ELSE -1 END AS d
+      FROM scored, (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0, 1.25]::DOUBLE[]) AS "lambda"))
 GROUP BY "lambda" ORDER BY sum(d * actual_return_pct) / sum(abs(actual_return_pct)) DESC, "lambda" LIMIT 1"""))
 def select_shrinkage(spark, sf):
     from .scoring import lambda_grid

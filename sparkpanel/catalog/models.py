@@ -20,9 +20,16 @@ INPUTS = ["mag_lag_1", "mag_mean_5", "mag_mean_20", "mag_mean_60", "mag_ewm_20",
 
 
 def model_panel(spark, sf):
-    """Scorable rows of the daily panel with a trailing mean; session_close is the average trade price."""
+    """Scorable rows of the daily panel; session_close is the average trade price.
+
+    The baseline falls back to the mean of five moves, the last move and 0, so every scorable row stays.
+    """
     built = build_panel(tables.daily_bars(spark, sf), None, tables.TRAIN_END, tables.VALID_END, mode="final-test")
-    return stage(built.panel.where("mag_mean_20 is not null"), "model-panel")
+    return stage(with_baseline(built.panel), "model-panel")
+
+
+def with_baseline(panel):
+    return panel.withColumn("mag_mean_20", F.coalesce("mag_mean_20", "mag_mean_5", "mag_lag_1", F.lit(0.0)))
 
 
 def model_folds(panel, n: int = 5, reserve: int = 657):
@@ -194,8 +201,8 @@ def confidence_rows(spark, sf):
     from ..functions.columns import hash_fraction
     from ..functions.confidence import confidence_inputs
 
-    market, residual = F.col("pred_direction") * 0.5, (F.col("mag_mean_5") - F.col("mag_mean_20")) / 50.0
-    rows = tables.scored_frame(spark, sf).where("mag_mean_5 is not null")
+    market, residual = F.col("pred_direction") * 0.5, tables.short_minus_long() / 50.0
+    rows = tables.scored_frame(spark, sf)
     return stage(confidence_inputs(rows.select(
         "split", "pred_date", "symbol", "actual_return_pct", "pred_magnitude_pct", market.alias("mu_market"),
         residual.alias("mu_residual"), (market + residual).alias("mu_total"),
@@ -250,7 +257,7 @@ def benchmark_ablation(spark, sf):
         F.when(F.count(F.lit(1)) > 1, F.sum("l_extendedprice") / F.sum("l_quantity")).alias("session_close"))
     blank = [F.lit(None).cast("double").alias(c) for c in intraday.SESSION_COLUMNS if c != "session_close"]
     built = build_panel(daily, traded.select("*", *blank), tables.TRAIN_END, tables.VALID_END)
-    panel = stage(built.panel.where("mag_mean_20 is not null"), "ablation-input")
+    panel = stage(with_baseline(built.panel), "ablation-input")
     return dirn.benchmark_ablation(panel, [*INPUTS, "bench_gap_pct", "bench_gap_abs"], 0.5, DCFG)
 
 

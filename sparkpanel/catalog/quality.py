@@ -165,16 +165,26 @@ def key_panel_equality(spark, sf):
     return qual.key_differences(rows, rows.where("mag_mean_60 is not null"), ["pred_date", "symbol"])
 
 
+FRACTIONS = {"l_quantity", "l_extendedprice", "l_discount", "l_tax", "p_retailprice", "value"}
+MOMENTS = {"l_shipdate", "ts"}
+
+
 def _fingerprint_sql(table: str, columns: list[str]) -> str:
-    text = ", ".join(f"CASE WHEN {c} IS NULL THEN '~' ELSE concat('=', CAST({c} AS VARCHAR)) END" for c in columns)
-    return (f"SELECT '{table}' AS \"table\", count(*) AS n_rows, CAST(sum(CAST(('0x' || substr(md5(concat_ws('|', {text})), "
+    def value(c: str) -> str:
+        if c in FRACTIONS:
+            return f"CAST(CAST({c} AS DECIMAL(38,6)) AS VARCHAR)"
+        return f"CAST(epoch_us({c}) AS VARCHAR)" if c in MOMENTS else f"CAST({c} AS VARCHAR)"
+
+    text = ", ".join(f"CASE WHEN {c} IS NULL THEN '~' ELSE concat(length({value(c)}), ':', {value(c)}) END" for c in columns)
+    return (f"SELECT '{table}' AS \"table\", count(*) AS n_rows, CAST(sum(CAST(('0x' || substr(md5(concat({text})), "
             f"1, 15)) AS BIGINT)) AS VARCHAR) AS hash_sum FROM {table}")
 
 
 FINGERPRINTED = {
-    "lineitem": ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus"],
-    "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size"],
-    "events": ["event_id", "user_id", "event_type", "props"],
+    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+                 "l_returnflag", "l_linestatus", "l_shipdate"],
+    "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"],
+    "events": ["event_id", "ts", "user_id", "event_type", "value", "props"],
 }
 
 

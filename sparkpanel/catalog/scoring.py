@@ -307,22 +307,21 @@ SELECT "lambda", round(sum(d * actual_return_pct) / sum(abs(actual_return_pct)),
   round(avg(((CASE WHEN actual_return_pct >= 0 THEN 1 ELSE -1 END) = d)::INT), 6) AS hit,
   round(avg((d > 0)::INT), 6) AS frac_long
 FROM (SELECT *, actual_return_pct - universe_mean_pct AS e,
-        CASE WHEN pred_direction + "lambda" * (mag_mean_5 - mag_mean_20) / 100.0 >= 0 THEN 1 ELSE -1 END AS d
-      FROM scored, (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0, 1.25]::DOUBLE[]) AS "lambda")
-      WHERE mag_mean_5 IS NOT NULL)
+        CASE WHEN pred_direction + "lambda" * coalesce(mag_mean_5 - mag_mean_20, 0) / 100.0 >= 0 THEN 1 ELSE -1 END AS d
+      FROM scored, (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0, 1.25]::DOUBLE[]) AS "lambda"))
 GROUP BY "lambda" """))
 def lambda_grid(spark, sf):
-    rows = tables.scored_frame(spark, sf).where("mag_mean_5 is not null").select(
+    rows = tables.scored_frame(spark, sf).select(
         F.col("pred_direction").cast("double").alias("mu_market"),
-        ((F.col("mag_mean_5") - F.col("mag_mean_20")) / 100.0).alias("mu_residual"), "actual_return_pct",
+        (tables.short_minus_long() / 100.0).alias("mu_residual"), "actual_return_pct",
         (F.col("actual_return_pct") - F.col("universe_mean_pct")).alias("resid_target"))
     return rounded(met.shrinkage_table(rows, [0.0, 0.25, 0.5, 0.75, 1.0, 1.25], "mu_market", "mu_residual"))
 
 
 @query("direction_diagnostic", with_(SCORED + """,
 rows0 AS (
-  SELECT *, mag_mean_5 - mag_mean_20 AS score, actual_return_pct - universe_mean_pct AS e,
-    CASE WHEN mag_mean_5 - mag_mean_20 >= 0 THEN 1 ELSE -1 END AS d FROM scored WHERE mag_mean_5 IS NOT NULL),
+  SELECT *, coalesce(mag_mean_5 - mag_mean_20, 0) AS score, actual_return_pct - universe_mean_pct AS e,
+    CASE WHEN coalesce(mag_mean_5 - mag_mean_20, 0) >= 0 THEN 1 ELSE -1 END AS d FROM scored),
 by_symbol AS (
   SELECT split, symbol, avg(((CASE WHEN actual_return_pct >= 0 THEN 1 ELSE -1 END) = d)::INT) AS hit,
     avg((actual_return_pct >= 0)::INT) AS naive FROM rows0 GROUP BY ALL HAVING count(*) >= 20),
@@ -342,8 +341,8 @@ SELECT split, round(sum(d * actual_return_pct) / sum(abs(actual_return_pct)), 6)
   (SELECT round(avg(ic), 6) FROM days y WHERE y.split = r.split) AS residual_rank_ic
 FROM rows0 r GROUP BY split"""))
 def direction_diagnostic(spark, sf):
-    rows = tables.scored_frame(spark, sf).where("mag_mean_5 is not null").select(
-        "split", "symbol", "pred_date", (F.col("mag_mean_5") - F.col("mag_mean_20")).alias("score"),
+    rows = tables.scored_frame(spark, sf).select(
+        "split", "symbol", "pred_date", tables.short_minus_long().alias("score"),
         "actual_return_pct", (F.col("actual_return_pct") - F.col("universe_mean_pct")).alias("resid_target"))
     return rounded(met.direction_diagnostic(rows, ["split"], "score", ["split", "pred_date", "symbol"]))
 

@@ -88,15 +88,15 @@ traded AS (
   FROM trades GROUP BY symbol, date),
 scored0 AS (
   SELECT h.pred_date, h.target_date, h.symbol, h.split, h.close, h.target_open, h.target_close, t.session_close,
-         h.actual_return_pct, h.actual_magnitude_pct, h.actual_direction, h.mag_mean_20 AS pred_magnitude_pct,
+         h.actual_return_pct, h.actual_magnitude_pct, h.actual_direction, 
+         coalesce(h.mag_mean_20, h.mag_mean_5, abs(h.ret_lag_1), 0) AS pred_magnitude_pct,
          CASE WHEN coalesce(m.mkt_on_lag_1, 0) + coalesce(h.ret_lag_1, 0) < 0 THEN -1 ELSE 1 END AS pred_direction,
          0.5 + 0.5 * {fraction(1, 'h.symbol', 'h.pred_date')} AS conf_direction,
          {fraction(2, 'h.symbol', 'h.pred_date')} AS conf_magnitude,
          h.mag_mean_5, h.mag_mean_20, h.mag_mean_60, h.mag_median_20, h.mag_std_20, h.history_count
   FROM hist h LEFT JOIN market_on m ON h.pred_date = m.pred_date
   LEFT JOIN traded t ON t.symbol = h.symbol AND t.pred_date = h.pred_date
-  WHERE h.actual_return_pct IS NOT NULL AND h.split IS NOT NULL AND h.history_count >= 20
-    AND h.mag_mean_20 IS NOT NULL),
+  WHERE h.actual_return_pct IS NOT NULL AND h.split IS NOT NULL AND h.history_count >= 20),
 scored AS (
   SELECT *, {trailing('actual_magnitude_pct', 20, 'avg({})', 20)} AS vol_baseline_20,
          avg(actual_return_pct) OVER (PARTITION BY pred_date) AS universe_mean_pct

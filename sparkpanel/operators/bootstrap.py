@@ -131,7 +131,7 @@ def spearman_diff(df: DataFrame, a: str, b: str, outcome: str, row_keys: list[st
     wide = rows
     for v in cols:
         table = below.where(F.col("var") == v).select(F.col("value").alias(f"_{v}"), "n", F.col("below").alias(f"below_{v}"))
-        wide = join_by_value(wide, table, [f"_{v}"], row_keys)
+        wide = join_by_value(wide, table, [f"_{v}"])
     size = {r["block"]: r["n"] for r in rows.groupBy("block").agg(F.count(F.lit(1)).alias("n")).collect()}
     times = _multiplicities(n_blocks, draws, seed)
     center = (np.array([size.get(k, 0) for k in range(n_blocks)]) @ times + 1) / 2 - 0.5

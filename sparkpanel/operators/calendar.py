@@ -6,7 +6,7 @@ from datetime import date
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.columns import pct_change
+from ..functions.columns import finite, pct_change
 from ..sources.staging import stage
 
 MODES = ("research", "final-test")
@@ -66,7 +66,8 @@ def overnight_targets(daily: DataFrame, calendar: DataFrame) -> DataFrame:
         F.when(on_next, F.lead("open").over(w)).alias("target_open"),
         F.when(on_next, F.lead("close").over(w)).alias("target_close"),
     )
-    scorable = F.col("target_date").isNotNull() & (F.col("close") > 0) & (F.col("target_open") > 0)
+    # a NaN price would count as positive
+    scorable = F.col("target_date").isNotNull() & (finite("close") > 0) & (finite("target_open") > 0)
     panel = panel.withColumn("actual_return_pct", F.when(scorable, pct_change("target_open", "close")))
     return panel.withColumn("actual_magnitude_pct", F.abs("actual_return_pct")).withColumn(
         "actual_direction",

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import col
 from ..sources.staging import stage
-from .ranking import HEAVY_VALUE_ROWS, MAX_WINDOW_ROWS, join_by_value, positions, running_weight, shape_of
+from .ranking import join_by_value, positions, running_weight
 
 HISTORY_COLUMNS = ["err_hist_mean_20", "err_hist_std_20"]
 
@@ -36,21 +36,19 @@ def apply_affine(pred: str | Column, a0: float | Column, b: float | Column) -> C
     return F.when(value.isNotNull(), F.greatest(value, F.lit(0.0)))
 
 
-def ecdf_confidence(df: DataFrame, train: DataFrame, risk: str, row_keys: list[str], out: str = "confidence",
-                    max_window_rows: int = MAX_WINDOW_ROWS, heavy_rows: int = HEAVY_VALUE_ROWS) -> DataFrame:
+def ecdf_confidence(df: DataFrame, train: DataFrame, risk: str, row_keys: list[str], out: str = "confidence") -> DataFrame:
     """One minus the share of training risks strictly below the row's risk."""
     mark = lambda t, in_train: t.select(F.col(risk).cast("double").alias("_v"), F.lit(in_train).alias("_t")).where(
         "_v is not null")
     hist = stage(
         mark(train, 1).unionAll(mark(df, 0)).groupBy("_v").agg(
             F.sum("_t").alias("_train"), F.sum(1 - F.col("_t")).alias("n")), "risk-histogram")
-    shape = shape_of(hist, [])
     total = hist.agg(F.sum("_train")).first()[0]
-    below = running_weight(hist, [], "_v", "_train", max_window_rows=max_window_rows, shape=shape)
+    below = running_weight(hist, [], "_v", "_train")
     share = F.least(F.greatest(1.0 - F.col("below") / F.lit(total), F.lit(0.0)), F.lit(1.0))
     table = below.where("n > 0").select("_v", "n", share.alias(out))
     rows = df.withColumn("_v", F.col(risk).cast("double"))
-    return join_by_value(rows, table, ["_v"], row_keys, heavy_rows, shape).drop("_v")
+    return join_by_value(rows, table, ["_v"]).drop("_v")
 
 
 def inverse_rank_confidence(df: DataFrame, value: str, row_keys: list[str], groups: list[str] | None = None,

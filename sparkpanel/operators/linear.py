@@ -17,23 +17,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .calendar import chronological_cut
 from .ranking import quantiles
 
-EXACT_MEDIAN_ROWS = 200_000
 
-
-def column_medians(df: DataFrame, columns: list[str], max_rows: int = EXACT_MEDIAN_ROWS) -> dict[str, float]:
+def column_medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
     """Exact medians; columns without any value get 0.
 
-    All columns go through one long (column, value) form.  Up to ``max_rows`` rows each
-    column's values fit one aggregate; beyond it they are range-partitioned.
+    All columns go through one long (column, value) form that is range-partitioned.
     """
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns
     ])).alias("e")).select("e.*").where("value is not null")
-    if df.limit(max_rows + 1).count() <= max_rows:
-        medians = long.groupBy("column").agg(F.percentile("value", 0.5).alias("quantile"))
-    else:
-        medians = quantiles(long, ["column"], "value", [0.5])
-    found = {r["column"]: float(r["quantile"]) for r in medians.collect()}
+    found = {r["column"]: float(r["quantile"]) for r in quantiles(long, ["column"], "value", [0.5]).collect()}
     return {c: found.get(c, 0.0) for c in columns}
 
 

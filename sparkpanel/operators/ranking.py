@@ -2,53 +2,22 @@
 
 Everything rests on one step: the weight of strictly smaller values inside a group.
 The input is first reduced to one row per distinct (group, value), so a value that
-occurs in a third of all rows is a single row from there on.  When every group is
-small an ordinary window does the rest.  Otherwise the histogram is range-partitioned,
-each slice sums locally, and slice totals (one row per group and slice) supply the
-offset, so no task ever holds a whole group.
+occurs in a third of all rows is a single row from there on.  The histogram is
+range-partitioned, each slice sums locally, and slice totals (one row per group and
+slice) supply the offset, so no task ever holds a whole group, whatever its size.
 """
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..sources.staging import stage
 
-MAX_WINDOW_ROWS = 2_000_000
-HEAVY_VALUE_ROWS = 1_000_000
-MAX_HEAVY_VALUES = 10_000
-
-
-@dataclass(frozen=True)
-class Shape:
-    """Sizes that decide the route: rows of the largest group, most frequent value, all rows."""
-
-    largest_group: int
-    top_value: int
-    total: int
-
-
-def shape_of(hist: DataFrame, groups: list[str]) -> Shape:
-    """One action over a staged (groups, value, n) table."""
-    per = hist.groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("rows"), F.max("n").alias("top"), F.sum("n").alias("total"))
-    r = per.agg(F.max("rows").alias("rows"), F.max("top").alias("top"), F.sum("total").alias("total")).first()
-    return Shape(r["rows"] or 0, r["top"] or 0, r["total"] or 0)
-
-
-def running_weight(hist: DataFrame, groups: list[str], value: str, weight: str = "n", out: str = "below",
-                   max_window_rows: int = MAX_WINDOW_ROWS, shape: Shape | None = None) -> DataFrame:
+def running_weight(hist: DataFrame, groups: list[str], value: str, weight: str = "n", out: str = "below") -> DataFrame:
     """Add the summed ``weight`` of strictly smaller ``value`` rows of the same group.
 
-    ``hist`` must be a staged table with one row per (groups, value).
+    ``hist`` must have one row per (groups, value).
     """
     before = (Window.unboundedPreceding, -1)
-    shape = shape or shape_of(hist, groups)
-    if shape.largest_group <= max_window_rows:
-        w = Window.partitionBy(*groups).orderBy(value).rowsBetween(*before)
-        return hist.withColumn(out, F.coalesce(F.sum(weight).over(w), F.lit(0)))
-
     sliced = stage(
         hist.repartitionByRange(*groups, value).withColumn("_slice", F.spark_partition_id()), "slices")
     local = Window.partitionBy(*groups, "_slice").orderBy(value).rowsBetween(*before)
@@ -73,34 +42,16 @@ def value_histogram(df: DataFrame, groups: list[str], value: str | Column, name:
     return stage(hist.groupBy(*groups, name).agg(F.count(F.lit(1)).alias("n")), "histogram")
 
 
-def join_by_value(df: DataFrame, table: DataFrame, keys: list[str], row_keys: list[str],
-                  heavy_rows: int = HEAVY_VALUE_ROWS, shape: Shape | None = None) -> DataFrame:
+def join_by_value(df: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
     """Left join on value keys where ``table`` has unique keys and their row count ``n``.
 
-    Keys that occur very often are spread over several salts on both sides.  At most
-    MAX_HEAVY_VALUES keys can pass the threshold, which bounds what is broadcast.
+    A value that very many rows share makes a large partition on the left side only; adaptive execution splits it.
     """
-    shape = shape or shape_of(table, [])
-    threshold = max(heavy_rows, shape.total // MAX_HEAVY_VALUES)
-    if shape.top_value <= threshold:
-        return df.join(table.drop("n"), keys, "left")
-    salts = F.ceil(F.col("n") / F.lit(threshold)).cast("int")
-    heavy = table.where(F.col("n") > threshold).select(*keys, salts.alias("_salts"))
-    spread = (
-        df.join(F.broadcast(heavy), keys, "left")
-        .withColumn("_salt", F.coalesce(
-            F.pmod(F.xxhash64(*row_keys), F.col("_salts").cast("bigint")), F.lit(0)).cast("int"))
-        .drop("_salts")
-    )
-    copies = table.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.when(F.col("n") > threshold, salts - 1).otherwise(0))))
-    return spread.join(copies.drop("n"), [*keys, "_salt"], "left").drop("_salt")
+    return df.join(table.drop("n"), keys, "left")
 
 
 def average_ranks(df: DataFrame, groups: list[str], columns: list[str], row_keys: list[str],
-                  prefix: str = "rank_", count_prefix: str | None = None,
-                  max_window_rows: int = MAX_WINDOW_ROWS,
-                  heavy_rows: int = HEAVY_VALUE_ROWS) -> DataFrame:
+                  prefix: str = "rank_", count_prefix: str | None = None) -> DataFrame:
     """Add the 1-based average-tie rank of each column within its group; missing stays missing.
 
     All columns are ranked in one pass over the long (group, column, value) form.
@@ -115,10 +66,9 @@ def average_ranks(df: DataFrame, groups: list[str], columns: list[str], row_keys
     ).select("*", "_e._c", "_e._v").drop("_e").where(F.col("_v").isNotNull())
     keys = [*groups, "_c"]
     hist = value_histogram(long, keys, "_v", "_v")
-    shape = shape_of(hist, keys)
-    ranked = running_weight(hist, keys, "_v", max_window_rows=max_window_rows, shape=shape).select(
+    ranked = running_weight(hist, keys, "_v").select(
         *keys, "_v", "n", (F.col("below") + (F.col("n") + 1) / 2.0).alias("_r"))
-    ranks = join_by_value(long, ranked, [*keys, "_v"], row_keys, heavy_rows, shape)
+    ranks = join_by_value(long, ranked, [*keys, "_v"])
     wide = ranks.groupBy(*row_keys).agg(
         *[F.max(F.when(F.col("_c") == c, F.col("_r"))).alias(f"{prefix}{c}") for c in columns])
     out = df.join(wide, row_keys, "left")
@@ -130,21 +80,20 @@ def average_ranks(df: DataFrame, groups: list[str], columns: list[str], row_keys
 
 
 def positions(df: DataFrame, groups: list[str], order: list[Column | str], row_keys: list[str],
-              out: str = "position", max_window_rows: int = MAX_WINDOW_ROWS) -> DataFrame:
+              out: str = "position") -> DataFrame:
     """Add the 0-based position of each row in its group under a unique ordering."""
     cols = [F.col(o) if isinstance(o, str) else o for o in order]
     key = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(cols)])
     table = stage(
         df.select(*dict.fromkeys([*row_keys, *groups]), key.alias("_k"), F.lit(1).alias("n")), "positions")
-    placed = running_weight(table, groups, "_k", out=out, max_window_rows=max_window_rows)
+    placed = running_weight(table, groups, "_k", out=out)
     return df.join(placed.select(*row_keys, F.col(out).cast("bigint").alias(out)), row_keys, "left")
 
 
-def quantiles(df: DataFrame, groups: list[str], value: str | Column, probs: list[float],
-              max_window_rows: int = MAX_WINDOW_ROWS) -> DataFrame:
+def quantiles(df: DataFrame, groups: list[str], value: str | Column, probs: list[float]) -> DataFrame:
     """Exact linear-interpolation quantiles: one row (groups, prob, quantile) per group and prob."""
     hist = value_histogram(df, groups, value, "_v")
-    below = running_weight(hist, groups, "_v", max_window_rows=max_window_rows)
+    below = running_weight(hist, groups, "_v")
     totals = stage(hist.groupBy(*groups).agg(F.sum("n").alias("_total")), "totals")
     wanted = totals.select("*", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob")).select(
         "*",

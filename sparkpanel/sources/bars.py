@@ -3,6 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions.columns import finite
+
 PRICES = ["open", "high", "low", "close"]
 
 
@@ -52,7 +54,7 @@ def load_daily(spark: SparkSession, directory: str, start: str, end: str) -> Dat
     df = df.withColumn("date", F.to_date(_moment(df, "date"))).where(F.col("date").between(lo, hi))
     columns = [*PRICES, "volume"]
     kept = _keep_one(df, ["symbol", "date"], columns, F.min_by)
-    return kept.select("symbol", "date", *[F.col(c).cast("double").alias(c) for c in columns])
+    return kept.select("symbol", "date", *[finite(F.col(c).cast("double")).alias(c) for c in columns])
 
 
 def load_minutes(spark: SparkSession, directory: str) -> DataFrame:
@@ -100,8 +102,11 @@ def _table_exists(spark: SparkSession, path: str) -> bool:
     try:
         spark.read.parquet(path)
         return True
-    except AnalysisException:
-        return False
+    except AnalysisException as error:
+        # anything else (rights, schema) must not lead to the table being replaced
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
 
 
 def bars_from_ticks(ticks: DataFrame, keys: list[str], order: Column | list[str]) -> DataFrame:

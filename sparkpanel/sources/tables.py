@@ -1,7 +1,7 @@
 """Panel inputs derived from the given tables: daily bars, minute bars and scored frames."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.columns import hash_fraction
 from ..operators import calendar as cal, cross_section as cs, rolling
@@ -69,10 +69,16 @@ def history_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rolling.overnight_history(panel).select("*", *rolling.history_columns())
 
 
+def short_minus_long() -> Column:
+    """The five-move mean against the twenty-move mean; 0 where either is missing."""
+    return F.coalesce(F.col("mag_mean_5") - F.col("mag_mean_20"), F.lit(0.0))
+
+
 def scored_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Staged frame with the four forecasts and the realised outcome of every scorable row.
 
-    The magnitude forecast is the trailing mean, the direction follows the last moves of
+    The magnitude forecast is the trailing mean of 20 moves; where the symbol has too few of them the mean of 5, else
+    the last move, else 0 takes its place, so that no scorable row is left out.  The direction follows the last moves of
     the market and the symbol, the confidences are hash-uniform; session_close is the day's average trade price.
     """
     forecasts = ["mag_mean_5", "mag_mean_20", "mag_mean_60", "mag_median_20", "mag_std_20"]
@@ -85,11 +91,11 @@ def scored_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("pred_date", F.lag("m").over(w).alias("mkt_on_lag_1")), "market")
     traded = trade_ticks(spark, sf_dir).groupBy("symbol", F.col("date").alias("pred_date")).agg(
         F.when(F.count(F.lit(1)) > 1, F.sum("l_extendedprice") / F.sum("l_quantity")).alias("session_close"))
-    rows = cal.scorable_rows(panel).where("mag_mean_20 is not null")
+    rows = cal.scorable_rows(panel)
     scored = rows.join(market, "pred_date", "left").join(traded, ["symbol", "pred_date"], "left").select(
         "pred_date", "target_date", "symbol", "split", "close", "target_open", "target_close", "session_close",
         "actual_return_pct", "actual_magnitude_pct", "actual_direction",
-        F.col("mag_mean_20").alias("pred_magnitude_pct"),
+        F.coalesce("mag_mean_20", "mag_mean_5", F.abs("ret_lag_1"), F.lit(0.0)).alias("pred_magnitude_pct"),
         F.when(F.coalesce("mkt_on_lag_1", F.lit(0.0)) + F.coalesce("ret_lag_1", F.lit(0.0)) < 0, -1).otherwise(1)
         .alias("pred_direction"),
         (0.5 + 0.5 * hash_fraction(1, "symbol", "pred_date")).alias("conf_direction"),
