@@ -115,7 +115,8 @@ RIDGE_ALPHA = 100.0
 @query("ridge_two_features", with_(SCORED + f""",
 fit_rows AS (
   SELECT coalesce(mag_mean_5, (SELECT quantile_cont(mag_mean_5, 0.5) FROM scored WHERE split = 'train')) AS x1,
-    mag_mean_20 AS x2, ln(1 + actual_magnitude_pct) AS y FROM scored WHERE split = 'train'),
+    coalesce(mag_mean_20, (SELECT quantile_cont(mag_mean_20, 0.5) FROM scored WHERE split = 'train')) AS x2,
+    ln(1 + actual_magnitude_pct) AS y FROM scored WHERE split = 'train'),
 m AS (
   SELECT count(*) AS n, avg(x1) AS m1, avg(x2) AS m2, stddev_pop(x1) AS s1, stddev_pop(x2) AS s2, corr(x1, x2) AS r,
     covar_pop(x1, y) / stddev_pop(x1) AS b1, covar_pop(x2, y) / stddev_pop(x2) AS b2, avg(y) AS my FROM fit_rows),
@@ -125,7 +126,8 @@ solved AS (
 filled AS (
   SELECT pred_date, symbol,
     coalesce(mag_mean_5, (SELECT quantile_cont(mag_mean_5, 0.5) FROM scored WHERE split = 'train')) AS x1,
-    mag_mean_20 AS x2 FROM scored WHERE split = 'valid')""", """
+    coalesce(mag_mean_20, (SELECT quantile_cont(mag_mean_20, 0.5) FROM scored WHERE split = 'train')) AS x2
+  FROM scored WHERE split = 'valid')""", """
 SELECT pred_date, symbol, round(my + w1 * (x1 - m1) / s1 + w2 * (x2 - m2) / s2, 6) AS prediction FROM filled, solved"""))
 def ridge_two_features(spark, sf):
     rows = tables.scored_frame(spark, sf)
