@@ -86,20 +86,50 @@ class Model:
     trees: list[ContextTree]
     order: int
 
-    def bits(self, texts: list[str], chunk: int = 1 << 20) -> np.ndarray:
+    def bits(self, texts: list[str], chunk: int = 1 << 19) -> np.ndarray:
         """Code length of each text (rows) under each language (columns)."""
-        out = np.zeros((len(texts), len(self.trees)))
-        codes, owner, held = [], [], 0
+        return Scorer(self).bits(texts, chunk)
+
+
+class Scorer:
+    """Code lengths under a model.  A gram's costs under all trees are kept in the slot that its hash names until another
+    gram takes the slot, so the trees are asked once for what recurs; ``room`` bounds the kept numbers."""
+
+    def __init__(self, model: Model, room: int = 1 << 22):
+        self.model = model
+        n = max(len(model.trees), 1)
+        self.shift = np.uint64(64 - max((room // n).bit_length() - 1, 8))
+        self.grams = np.full(1 << 64 - int(self.shift), -1, np.int64)
+        self.kept = np.zeros((len(self.grams), n))
+
+    def costs(self, codes: np.ndarray) -> np.ndarray:
+        """Code length of each gram's last byte (rows) under each language (columns)."""
+        slot = (codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+        out = self.kept.take(slot, 0)
+        miss = np.flatnonzero(self.grams.take(slot) != codes)
+        if len(miss):
+            fresh, first, place = np.unique(codes[miss], return_index=True, return_inverse=True)
+            asked = np.stack([tree.bits(fresh) for tree in self.model.trees], 1)
+            out[miss] = asked[place]
+            # of new grams with one slot the last is kept, in both arrays
+            last = np.unique(slot[miss][first][::-1], return_index=True)
+            chosen = len(fresh) - 1 - last[1]
+            self.grams[last[0]], self.kept[last[0]] = fresh[chosen], asked[chosen]
+        return out
+
+    def bits(self, texts: list[str], chunk: int = 1 << 19) -> np.ndarray:
+        """Code length of each text (rows) under each language (columns)."""
+        order = self.model.order
+        out = np.zeros((len(texts), len(self.model.trees)))
+        parts, owner, held = [], [], 0
 
         def flush() -> None:
             nonlocal held
-            if codes:
-                distinct, place = np.unique(np.concatenate(codes), return_inverse=True)
-                who = np.concatenate(owner)
-                low, high = who[0], who[-1] + 1
-                for j, tree in enumerate(self.trees):
-                    out[low:high, j] += np.bincount(who - low, tree.bits(distinct)[place], minlength=high - low)
-            codes.clear()
+            if parts:
+                costs = self.costs(np.concatenate(parts))
+                starts = np.cumsum([0, *map(len, parts[:-1])])
+                np.add.at(out, owner, np.add.reduceat(costs, starts))
+            parts.clear()
             owner.clear()
             held = 0
 
@@ -107,11 +137,10 @@ class Model:
             data = text.encode()
             for at in range(0, len(data), chunk):
                 # a later piece goes on in the context of the bytes before it
-                before = min(at, self.order)
-                part = gram_codes(data[at - before:at + chunk], self.order)[before:]
-                codes.append(part)
-                owner.append(np.full(len(part), i))
-                held += len(part)
+                before = min(at, order)
+                parts.append(gram_codes(data[at - before:at + chunk], order)[before:])
+                owner.append(i)
+                held += len(parts[-1])
                 if held >= chunk:
                     flush()
         flush()
@@ -166,6 +195,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
+        scorer = known and Scorer(known)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -174,7 +204,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             can = np.array([known is not None and _letter(t) is not None for t in texts], bool)
             pred, score, rate = np.full(len(texts), UNDETERMINED, object), np.zeros(len(texts)), np.full(len(texts), np.nan)
             if can.any():
-                bits = known.bits([t for t, c in zip(texts, can) if c])
+                bits = scorer.bits([t for t, c in zip(texts, can) if c])
                 best = bits.argmin(1)
                 least = bits[np.arange(len(bits)), best]
                 pred[can] = np.array(known.languages, object)[best]
