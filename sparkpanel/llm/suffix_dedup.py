@@ -11,9 +11,10 @@ bucket it is refined by the pointers at the two ends of its stretch, B4q(first w
 
 Sorting.  Rows are range-partitioned and sorted by (bucket, pointers, document, offset), which splits a bucket of any
 size over tasks.  In a sorted slice, a row after the first of equal pointers lies in a copy of an earlier stretch and is
-removed whole.  First rows of buckets with several stretches are refined once more, to single windows, by
-sorting their 100-byte names.  The first and last bucket of a slice may go on in its neighbours; what is the
-earliest of its kind there in a slice is settled by aggregation over all slices.
+removed whole.  First rows of buckets with several stretches are refined twice more: to parts of a stretch, by the
+pointers of what all windows of the part hold, and to single windows, by sorting their 100-byte names.  The first and
+last bucket of a slice may go on in its neighbours; what is the earliest of its kind there in a slice is settled by
+aggregation over all slices.
 """
 from __future__ import annotations
 
@@ -31,6 +32,8 @@ SPAN = WINDOW - Q + 1  # q-byte strings in a window
 BLOCK = 1 << 18
 #: Rows of a sorted slice, and bytes of contexts, that a task holds at once.
 SLICE_ROWS, SLICE_BYTES = 1 << 18, 1 << 19
+#: Windows of a part of a stretch, the step between whole stretches and single windows; 51 at most.
+PART = 19
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
@@ -45,15 +48,20 @@ def mix(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
     return x
 
 
-def buckets(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bq of every q-byte string and B4q of every 100-byte string of ``data`` (100 bytes or more)."""
+def pointers(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bq of every q-byte string and B2q of every 50-byte string of ``data`` (100 bytes or more)."""
     one = data.astype(np.uint64)
     two = one[:-1] | one[1:] << np.uint64(8)
     four = two[:-2] | two[2:] << np.uint64(16)
     eight = four[:-4] | four[4:] << np.uint64(32)
     n = len(data) - Q + 1
     bq = mix(mix(eight[:n], eight[8:8 + n]), mix(eight[16:16 + n], one[24:24 + n]))
-    b2q = mix(bq[:-Q], bq[Q:])
+    return bq, mix(bq[:-Q], bq[Q:])
+
+
+def buckets(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bq of every q-byte string and B4q of every 100-byte string of ``data`` (100 bytes or more)."""
+    bq, b2q = pointers(data)
     return bq, mix(b2q[:-2 * Q], b2q[2 * Q:])
 
 
@@ -121,12 +129,12 @@ def _heads(*columns: np.ndarray) -> np.ndarray:
     return new
 
 
-def refine_slices(ordered: DataFrame) -> DataFrame:
+def refine_slices(ordered: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Rows of sorted slices that need more, with a state: 'copy' (all windows removed), 'first' (the earliest of its
     pointers, in a bucket with others), 'edge' (the slice's earliest of its pointers, in a bucket that may go on in
     another slice)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _slices(batches, SLICE_ROWS):
+        for table in _slices(batches, slice_rows):
             if not table.num_rows:
                 continue
             bucket, pointers = (table[c].to_numpy() for c in ("bucket", "pointers"))
@@ -174,33 +182,71 @@ def _unpack(value: pa.Scalar) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8) if data else np.zeros(0, np.uint8)
 
 
-def contexts(texts: DataFrame, firsts: DataFrame) -> DataFrame:
-    """(bucket, doc, at, bytes): the stretch of each row of ``firsts``, cut from its text."""
+def parts_of(bucket: np.ndarray, doc: np.ndarray, at: np.ndarray, pieces: list[bytes], width: int = PART) -> pa.RecordBatch:
+    """Stretches cut into parts of up to ``width`` windows, as (bucket, doc, at, bytes).
+
+    Part k has the windows whose anchor is k * width to (k + 1) * width - 1 bytes after their start.  All of them hold
+    the same 101 - width bytes, and so do their equals elsewhere, so the pointers B2q at both ends of these bytes
+    refine the bucket.
+    """
+    size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    joined = b"".join(pieces)
+    bq, b2q = pointers(np.frombuffer(joined, np.uint8))
+    head = np.cumsum(size) - size
+    row = np.repeat(np.arange(len(size)), size)[:len(bq)]
+    inside = np.arange(len(bq)) - head[row]
+    # the anchor: the first q bytes of the bucket in the first window
+    hit = np.flatnonzero((bq == bucket.view(np.uint64)[row]) & (inside < SPAN))
+    anchor = inside[hit[_heads(row[hit])]]
+    least = anchor - (size - WINDOW)
+    low = least // width
+    count = anchor // width - low + 1
+    of = np.repeat(np.arange(len(size)), count)
+    k = low[of] + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+    far, near = np.minimum(anchor[of], (k + 1) * width - 1), np.maximum(least[of], k * width)
+    common = head[of] + anchor[of] - k * width
+    name = mix(b2q[common], b2q[common + WINDOW + 1 - width - 2 * Q])
+    begin = head[of] + anchor[of] - far
+    end = begin + far - near + WINDOW
+    return pa.RecordBatch.from_arrays(
+        [pa.array(mix(mix(bucket.view(np.uint64)[of], name), k.astype(np.uint64)).view(np.int64)), pa.array(doc[of]),
+         pa.array(at[of] + anchor[of] - far), pa.array([joined[i:j] for i, j in zip(begin.tolist(), end.tolist())], pa.binary())],
+        names=["bucket", "doc", "at", "bytes"])
+
+
+def contexts(texts: DataFrame, firsts: DataFrame, width: int = PART) -> DataFrame:
+    """(bucket, doc, at, bytes): the parts of the stretch of each row of ``firsts``, cut from its text."""
     asked = firsts.groupBy("doc").agg(F.collect_list("bucket").alias("buckets"), F.collect_list("place").alias("places"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def cut() -> pa.RecordBatch:
+            b, d, a, x = zip(*held)
+            return parts_of(np.array(b, np.int64), np.array(d, np.int64), np.array(a, np.int64), list(x), width)
+
         for batch in batches:
-            out = []
+            held, weight = [], 0
             for key, packed, bucket, place in zip(batch.column(0).to_pylist(), batch.column(1), *(
                     batch.column(k).to_pylist() for k in (2, 3))):
                 data = _unpack(packed).tobytes()
                 for b, p in zip(bucket, place):
                     at, n = p >> 7, p & 127
-                    out.append((b, key, at, data[at:at + n + WINDOW - 1]))
-            if out:
-                b, d, a, x = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(d, pa.int64()), pa.array(a, pa.int64()),
-                                                  pa.array(x, pa.binary())], names=["bucket", "doc", "at", "bytes"])
+                    held.append((b, key, at, data[at:at + n + WINDOW - 1]))
+                    weight += n + WINDOW - 1
+                    if weight >= SLICE_BYTES:
+                        yield cut()
+                        held, weight = [], 0
+            if held:
+                yield cut()
 
     return texts.join(asked, "doc").select("doc", "packed", "buckets", "places").mapInArrow(
         run, "bucket long, doc long, at long, bytes binary")
 
 
-def refine_windows(ordered: DataFrame) -> DataFrame:
+def refine_windows(ordered: DataFrame, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """From contexts sorted by (bucket, doc, at): removed intervals (window is null), and for buckets that may go on in
     another slice the earliest window of each name."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _slices(batches, SLICE_BYTES, lambda b: b.nbytes):
+        for table in _slices(batches, slice_bytes, lambda b: b.nbytes):
             if not table.num_rows:
                 continue
             bucket, doc, at = (table[c].to_numpy() for c in ("bucket", "doc", "at"))
@@ -234,10 +280,12 @@ def refine_windows(ordered: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "doc long, start long, end long, bucket long, window long")
 
 
-def removed_intervals(docs: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFrame:
+def removed_intervals(docs: DataFrame, texts: DataFrame, block: int = BLOCK, slice_rows: int = SLICE_ROWS,
+                      slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """(doc, start, end): byte intervals whose union is covered by 100-byte strings that also start earlier."""
     order = ["bucket", "pointers", "doc", "place"]
-    states = stage(refine_slices(suffixes(docs, block).repartitionByRange(*order).sortWithinPartitions(*order)), "suffix-states")
+    states = stage(refine_slices(suffixes(docs, block).repartitionByRange(*order).sortWithinPartitions(*order),
+                                 slice_rows), "suffix-states")
     edges = stage(settle_edges(states.filter("state = 'edge'")), "suffix-edges")
     settled = states.filter("state <> 'edge'").union(edges)
     copies = settled.filter("state = 'copy'").select(
@@ -245,7 +293,7 @@ def removed_intervals(docs: DataFrame, texts: DataFrame, block: int = BLOCK) ->
         (F.shiftright("place", 7) + F.col("place").bitwiseAND(127) + (WINDOW - 1)).alias("end"))
     order = ["bucket", "doc", "at"]
     windows = stage(refine_windows(contexts(texts, settled.filter("state = 'first'").select("bucket", "doc", "place"))
-                                   .repartitionByRange(*order).sortWithinPartitions(*order)), "suffix-windows")
+                                   .repartitionByRange(*order).sortWithinPartitions(*order), slice_bytes), "suffix-windows")
     open_ = windows.filter("window is not null")
     firsts = open_.groupBy("bucket", "window").agg(
         F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
@@ -254,7 +302,7 @@ def removed_intervals(docs: DataFrame, texts: DataFrame, block: int = BLOCK) ->
     return copies.union(windows.filter("window is null").select(cut)).union(more.select(cut))
 
 
-def suffix_dedup(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+def suffix_dedup(docs: DataFrame, block: int = BLOCK, slice_rows: int = SLICE_ROWS, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """(doc_id, kept binary, n_bytes, n_removed, spans array<struct<start, end>>) of every id.
 
     Every byte covered by a 100-byte string that also starts earlier (smaller id, or the same document and an earlier
@@ -265,7 +313,7 @@ def suffix_dedup(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """
     rows = keyed(docs)
     texts = packed_texts(rows)
-    gone = removed_intervals(rows, texts, block).groupBy("doc").agg(
+    gone = removed_intervals(rows, texts, block, slice_rows, slice_bytes).groupBy("doc").agg(
         F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

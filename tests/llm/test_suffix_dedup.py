@@ -25,9 +25,9 @@ def brute_force(rows):
     return out
 
 
-def result(docs, block=1 << 18):
+def result(docs, *sizes):
     return {-(1 << 63) if r.doc_id is None else r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), hashlib.sha256(bytes(r.kept)).hexdigest())
-            for r in suffix_dedup(docs, block).collect()}
+            for r in suffix_dedup(docs, *sizes).collect()}
 
 
 def test_odd_rows(odd):
@@ -38,13 +38,31 @@ def test_corpus(corpus, corpus_rows):
     assert result(corpus) == brute_force(corpus_rows)
 
 
-def test_small_slices_and_blocks(corpus, corpus_rows, monkeypatch):
-    """Buckets that go over slices, stretches that end at block borders."""
-    import sparkpanel.llm.suffix_dedup as m
+@pytest.fixture
+def small_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    yield
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
 
-    monkeypatch.setattr(m, "SLICE_ROWS", 50)
-    monkeypatch.setattr(m, "SLICE_BYTES", 3000)
-    assert result(corpus, 333) == brute_force(corpus_rows)
+def test_small_slices_and_blocks(corpus, corpus_rows, small_batches):
+    """Buckets that go over slices, stretches that end at block borders."""
+    assert result(corpus, 333, 20, 3000) == brute_force(corpus_rows)
+
+
+@pytest.mark.parametrize("length", [80, 100, 130, 175, 260])
+def test_passage_in_many_surroundings(spark, small_batches, length):
+    """One bucket with a stretch of its own in each document, over many slices, and neighbours that share a part."""
+    import random
+
+    rng = random.Random(length)
+    passage = "".join(rng.choices("abcdefgh ", k=length))
+    sides = ["".join(rng.choices("ijklm ", k=120)) for _ in range(6)]
+    rows = [(i, ("".join(rng.choices("nopq", k=90)) if i % 3 else "") + rng.choice(sides)[i % 60:] + passage
+             + rng.choice(sides)[:120 - i % 50] + "".join(rng.choices("rst", k=i))) for i in range(60)]
+    rows += [(100, "ab" * 300), (101, "x" + "ab" * 200 + passage), (102, "a" * 400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(docs, 1 << 18, 30, 2000) == brute_force(rows)
 
 
 def test_repeated_rows_and_extra_columns(odd, repeated):
