@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import metrics as met
+from ..operators import metrics as met, selection
 from ..sources import tables
 from ..sources.staging import stage
 from .registry import query, rounded
@@ -370,6 +370,17 @@ ranks AS (
       + (count(*) OVER (PARTITION BY model, mdec, err) - 1) / 2.0 AS we FROM placed)"""
 
 
+def reliability_table(spark, sf):
+    test = tables.scored_frame(spark, sf).where("split = 'test'")
+    both = F.explode(F.array(
+        F.struct(F.lit("confidence").alias("model"), F.col("conf_magnitude").alias("conf")),
+        F.struct(F.lit("neg_magnitude").alias("model"), (-F.col("pred_magnitude_pct")).alias("conf"))))
+    rows = test.select("pred_date", "symbol", F.col("pred_magnitude_pct").alias("mag"),
+                       F.abs(F.col("pred_magnitude_pct") - F.col("actual_magnitude_pct")).alias("err"),
+                       both.alias("_b")).select("pred_date", "symbol", "mag", "err", "_b.*")
+    return met.reliability_report(rows, ["model"], "conf", "err", "mag", ["model", "pred_date", "symbol"])
+
+
 @query("reliability_report", with_(RELIABILITY, """
 SELECT model, round(-corr(rc, re), 6) AS conf_magnitude_score, round(corr(rc, rg), 6) AS corr_with_magnitude,
   (SELECT round(avg(rho), 6) FROM (SELECT model, -corr(wc, we) AS rho FROM ranks GROUP BY model, mdec) w
@@ -379,11 +390,17 @@ SELECT model, round(-corr(rc, re), 6) AS conf_magnitude_score, round(corr(rc, rg
 FROM ranks r GROUP BY model"""))
 def reliability_report(spark, sf):
     """Confidence against the negative-magnitude baseline, overall and within magnitude deciles."""
-    test = tables.scored_frame(spark, sf).where("split = 'test'")
-    both = F.explode(F.array(
-        F.struct(F.lit("confidence").alias("model"), F.col("conf_magnitude").alias("conf")),
-        F.struct(F.lit("neg_magnitude").alias("model"), (-F.col("pred_magnitude_pct")).alias("conf"))))
-    rows = test.select("pred_date", "symbol", F.col("pred_magnitude_pct").alias("mag"),
-                       F.abs(F.col("pred_magnitude_pct") - F.col("actual_magnitude_pct")).alias("err"),
-                       both.alias("_b")).select("pred_date", "symbol", "mag", "err", "_b.*")
-    return rounded(met.reliability_report(rows, ["model"], "conf", "err", "mag", ["model", "pred_date", "symbol"]))
+    return rounded(reliability_table(spark, sf))
+
+
+@query("select_magnitude_confidence", with_(RELIABILITY, f"""
+SELECT model, round(score, 6) AS conf_magnitude_score, round(within, 6) AS within_magnitude_decile
+FROM (SELECT model, -corr(rc, re) AS score FROM ranks GROUP BY model)
+JOIN (SELECT model, avg(rho) AS within
+      FROM (SELECT model, -corr(wc, we) AS rho FROM ranks GROUP BY model, mdec) GROUP BY model) USING (model)
+QUALIFY score >= max(score) OVER () - {selection.TIE_BAND}
+ORDER BY within DESC, model LIMIT 1"""))
+def select_magnitude_confidence(spark, sf):
+    """The better candidate within magnitude deciles, of those within the tie band of the best overall."""
+    return rounded(selection.select_magnitude_confidence(reliability_table(spark, sf)).select(
+        "model", "conf_magnitude_score", "within_magnitude_decile"))

@@ -5,6 +5,7 @@ imputer with indicators, fitted on its own training rows.
 """
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from py4j.protocol import Py4JJavaError
@@ -34,13 +35,19 @@ def _result(model_out: DataFrame, df: DataFrame, value: Column, out: str) -> Dat
     return model_out.select(*[c for c in df.columns if c != out], value.alias(out))
 
 
+def _diverged(error: Py4JJavaError) -> bool:
+    """A failed numeric requirement or a singular system, not a lost executor or a full memory."""
+    return any(name in str(error) for name in ("IllegalArgumentException", "AssertionError", "SingularMatrixException"))
+
+
 def fit_glm(train: DataFrame, features: list[str], target: Column, family: str, power: float | None = None,
             floor: float | None = None, penalties: tuple[float, ...] = (1e-3, 1e-2, 1e-1, 1.0),
             max_iter: int = 25) -> Predictor:
     """Log-link gamma / Poisson / Tweedie mean model on standardised inputs.
 
     Reweighted least squares can diverge on heavy-tailed outcomes; the fit then moves to
-    the next larger penalty and fails only with the last one.
+    the next larger penalty, with a warning, and fails only with the last one.  The result's
+    ``penalty`` is the one that was used; any other failure is passed on.
     """
     scaler = fit_scaler(train, fit_imputer(train, features, indicators=True))
     y = F.greatest(target, F.lit(floor)) if floor is not None else target
@@ -54,13 +61,15 @@ def fit_glm(train: DataFrame, features: list[str], target: Column, family: str,
         try:
             model = learner.fit(data)
             break
-        except Py4JJavaError:
-            if reg == penalties[-1]:
+        except Py4JJavaError as error:
+            if reg == penalties[-1] or not _diverged(error):
                 raise
+            warnings.warn(f"{family} fit diverges at penalty {reg:g}", RuntimeWarning, stacklevel=2)
 
     def predict(df: DataFrame, out: str) -> DataFrame:
         scored = model.transform(_assembled(df, scaler.columns(), scaler.imputer.names))
         return _result(scored, df, F.greatest("_p", F.lit(0.0)), out)
+    predict.penalty = reg
     return predict
 
 

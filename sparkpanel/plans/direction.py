@@ -59,7 +59,7 @@ def fit_quantiles(train: DataFrame, features: list[str], cfg: DirectionConfig) -
 
 def fit_legs(train: DataFrame, features: list[str], cfg: DirectionConfig,
              market_inputs: list[str] = MARKET_INPUTS, quantiles: bool = True) -> Callable[[DataFrame], DataFrame]:
-    """Fit all legs; the result adds mu_market, mu_residual and the raw and rearranged quantiles.
+    """Fit all legs; the result adds mu_market, market_alpha, mu_residual and the raw and rearranged quantiles.
 
     Market inputs are constant within a session, so the market model is applied to rows
     directly and no session table has to be joined back.
@@ -69,7 +69,7 @@ def fit_legs(train: DataFrame, features: list[str], cfg: DirectionConfig,
     forest = fit_quantiles(train, features, cfg) if quantiles else None
 
     def apply(df: DataFrame) -> DataFrame:
-        out = residual(df.withColumn("mu_market", market.predict()), "mu_residual")
+        out = residual(df.withColumns({"mu_market": market.predict(), "market_alpha": F.lit(float(market.alpha))}), "mu_residual")
         if forest is not None:
             out = forest(out, "q_raw").withColumn("q", rearranged("q_raw"))
         return out
@@ -95,7 +95,8 @@ class Direction:
 
 
 def _apply(train: DataFrame, rows: DataFrame, features: list[str], cfg: DirectionConfig, **kw) -> DataFrame:
-    keep = [*KEYS, "split", "actual_return_pct", "resid_target", "actual_magnitude_pct", "mu_market", "mu_residual"]
+    keep = [*KEYS, "split", "actual_return_pct", "resid_target", "actual_magnitude_pct", "mu_market", "market_alpha",
+            "mu_residual"]
     out = fit_legs(train, features, cfg, **kw)(rows)
     return stage(out.select(*keep, *[c for c in ("q_raw", "q") if c in out.columns]), "direction-legs")
 
@@ -130,10 +131,11 @@ def benchmark_ablation(panel: DataFrame, features: list[str], lam: float,
         lambda: _apply(train, valid, features, cfg, quantiles=False),
         lambda: _apply(train, valid, reduced, cfg, quantiles=False, market_inputs=inputs)], cfg.parallel_fits)
     total = (F.col("mu_market") + lam * F.col("mu_residual")).alias("score")
-    tag = lambda t, name: t.select(F.lit(name).alias("model"), *KEYS, "actual_return_pct", "resid_target", total)
+    tag = lambda t, name: t.select(F.lit(name).alias("model"), *KEYS, "actual_return_pct", "resid_target", "market_alpha", total)
     names = ("full_assignment_features", "economic_sensitivity_no_benchmark_basis")
     rows = stage(tag(full, names[0]).unionByName(tag(ablated, names[1])), "ablation")
-    table = met.direction_diagnostic(rows, ["model"], "score", ["model", *KEYS])
+    table = met.direction_diagnostic(rows, ["model"], "score", ["model", *KEYS]).join(
+        rows.groupBy("model").agg(F.max("market_alpha").alias("market_alpha")), "model")
     pairs = stage(rows.groupBy(*KEYS).agg(
         F.max("actual_return_pct").alias("pooled"), F.max("resid_target").alias("residual"),
         *[F.max(F.when(F.col("model") == n, F.col("score"))).alias(f"s{i}") for i, n in enumerate(names)]), "pairs")

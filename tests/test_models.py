@@ -102,3 +102,32 @@ def test_quantile_forest_is_ordered(data):
     assert len(out) == len(pdf) and (np.diff(q, axis=1) >= 0).all()
     inside = ((out.y >= q[:, 0]) & (out.y <= q[:, 2])).mean()
     assert 0.65 < inside < 0.95
+
+
+def test_glm_passes_other_failures_on(data, monkeypatch):
+    from py4j.protocol import Py4JJavaError
+
+    class Lost(Py4JJavaError):
+        def __init__(self, text):
+            self.text = text
+
+        def __str__(self):
+            return self.text
+
+    fits = []
+
+    def failing(text):
+        def fit(self, rows):
+            fits.append(self.getRegParam())
+            raise Lost(text)
+        return fit
+
+    _, df = data
+    monkeypatch.setattr(learners.GeneralizedLinearRegression, "fit", failing("ExecutorLostFailure"))
+    with pytest.raises(Py4JJavaError):
+        learners.fit_glm(df, ["a"], F.col("y"), "gamma", floor=0.01, penalties=(0.001, 0.1))
+    assert fits == [0.001]
+    monkeypatch.setattr(learners.GeneralizedLinearRegression, "fit", failing("java.lang.AssertionError: assertion failed"))
+    with pytest.warns(RuntimeWarning), pytest.raises(Py4JJavaError):
+        learners.fit_glm(df, ["a"], F.col("y"), "gamma", floor=0.01, penalties=(0.001, 0.1))
+    assert fits == [0.001, 0.001, 0.1]
