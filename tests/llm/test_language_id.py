@@ -53,6 +53,18 @@ def test_code_lengths(order, corpus_rows):
         assert np.allclose(model.bits(texts, chunk)[:, 0], want)
 
 
+def test_grams_that_share_a_slot(corpus_rows):
+    """256 slots for some thousand grams: kept costs are replaced all the time and lengths stay exact."""
+    parts = [[t[:3000] for _, t in corpus_rows[:6]], [t[:3000] for _, t in corpus_rows[6:12]]]
+    model = li.Model(["x", "y"], [tree(p, 4) for p in parts], 4)
+    texts = [t[:2000] for _, t in corpus_rows[4:16] if t]
+    small = li.Scorer(model, 2)
+    assert len(small.grams) == 256
+    want = np.array([[plain_bits(p, t, 4) for p in parts] for t in texts])
+    for chunk in (100, 1 << 16, 100):
+        assert np.allclose(small.bits(texts, chunk), want)
+
+
 def test_lengths_make_a_distribution(corpus_rows):
     """All 256 bytes after a context have chances that sum to 1."""
     t = tree([x[:300] for _, x in corpus_rows[:5]], 3)
