@@ -4,13 +4,16 @@ Symbols start as characters; the agenda merges the pair whose joined piece has t
 candidate merge is left out if the keyed hash of (seed, variant, left piece, right piece, place in the word) falls below
 the dropout rate, so a word is cut differently from variant to variant, always the same way for the same key.  No piece
 goes over the start of a word, so words are encoded alone, all distinct words of a batch side by side: in each step every
-word makes the merge that its agenda has on top.
+word makes the merge that its agenda has on top.  A step costs time in all symbols that are left, so words over
+``LONG_WORD`` characters, as in scripts without blanks, take their agenda as a heap each: the same merges in n log n time.
 """
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +28,8 @@ STAND_IN = "\ud800"
 _words = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: How many segmentations of one word there are under one seed; a word's place in its text picks the variant.
 VARIANTS = 4
+#: Longer words are merged from a heap of their own.
+LONG_WORD = 200
 _K = tuple(np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -66,6 +71,12 @@ class Merges:
 
     def segment(self, words: list[str], variants: np.ndarray, seed: int, dropout: float) -> list[bytes]:
         """Ids of each word as little-endian 32-bit integers."""
+        is_long = [len(w) > LONG_WORD for w in words]
+        if any(is_long):
+            short = [i for i, x in enumerate(is_long) if not x]
+            done = iter(self.segment([words[i] for i in short], variants[short], seed, dropout) if short else ())
+            return [self.segment_long(w, int(v), seed, dropout) if x else next(done)
+                    for w, v, x in zip(words, variants, is_long)]
         counts = np.fromiter(map(len, words), np.int64, len(words))
         chars = "".join(words)
         char_ids = {c: self.ids.get(c, -1 - ord(c)) for c in set(chars)}  # below 0: a character that needs bytes
@@ -100,18 +111,62 @@ class Merges:
         symbol, word, place = (np.concatenate(x) for x in (done_symbol, done_word, done_place))
         order = np.lexsort((place, word))
         symbol, word = symbol[order], word[order]
-        odd = np.flatnonzero(symbol < 0)
-        if len(odd):  # characters outside the vocabulary become their bytes
-            as_bytes = [self.byte_ids[np.frombuffer(_utf8(chr(-1 - s)), np.uint8)] for s in symbol[odd].tolist()]
-            repeat = np.ones(len(symbol), np.int64)
-            repeat[odd] = [len(b) for b in as_bytes]
-            is_odd = np.repeat(symbol < 0, repeat)
-            symbol, word = np.repeat(symbol, repeat), np.repeat(word, repeat)
-            symbol[is_odd] = np.concatenate(as_bytes)
+        symbol, repeat = self.with_bytes(symbol)
+        word = np.repeat(word, repeat)
         data = symbol.astype("<u4").tobytes()
         ends = np.cumsum(np.bincount(word, minlength=len(words))) * 4
         return [data[a:b] for a, b in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist())]
 
+    def with_bytes(self, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids with the bytes of characters outside the vocabulary, and how many ids each symbol became."""
+        odd, repeat = np.flatnonzero(symbol < 0), np.ones(len(symbol), np.int64)
+        if not len(odd):
+            return symbol, repeat
+        as_bytes = [self.byte_ids[np.frombuffer(_utf8(chr(-1 - s)), np.uint8)] for s in symbol[odd].tolist()]
+        repeat[odd] = [len(b) for b in as_bytes]
+        is_odd = np.repeat(symbol < 0, repeat)
+        symbol = np.repeat(symbol, repeat)
+        symbol[is_odd] = np.concatenate(as_bytes)
+        return symbol, repeat
+
+    def segment_long(self, word: str, variant: int, seed: int, dropout: float) -> bytes:
+        """What ``segment`` gives for one word: candidates leave a heap by (rank, place), outdated ones are skipped."""
+        n, limit = len(word), int(threshold(dropout))
+        chars = np.array([self.ids.get(c, -1 - ord(c)) for c in word], np.int64)
+        target = self.lookup(chars[:-1], chars[1:])
+        at = np.flatnonzero(target >= 0)
+        if dropout > 0:
+            at = at[keyed_hash(seed, np.full(len(at), variant), chars[at], chars[at + 1], at) >= threshold(dropout)]
+        heap = list(zip(self.rank[target[at]].tolist(), at.tolist(), chars[at].tolist(), chars[at + 1].tolist(), target[at].tolist()))
+        heapq.heapify(heap)
+        symbol, joins = chars.tolist(), self.joins
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+
+        def offer(i: int, j: int) -> None:
+            joined = joins.get((symbol[i], symbol[j]))
+            if joined is not None and not (
+                    dropout > 0 and hash_of(seed, variant, symbol[i], symbol[j], i) < limit):
+                heapq.heappush(heap, (int(self.rank[joined]), i, symbol[i], symbol[j], joined))
+
+        gone = -(1 << 40)  # no symbol
+        while heap:
+            _, i, left, right, joined = heapq.heappop(heap)
+            j = after[i]
+            if symbol[i] != left or j == n or symbol[j] != right:
+                continue
+            symbol[i], symbol[j] = joined, gone
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+                offer(i, after[i])
+            if before[i] >= 0:
+                offer(before[i], i)
+        return self.with_bytes(np.array([s for s in symbol if s != gone], np.int64))[0].astype("<u4").tobytes()
+
+    @cached_property
+    def joins(self) -> dict[tuple[int, int], int]:
+        return {(k >> 32, k & 0xFFFFFFFF): j for k, j in zip(self.keys.tolist(), self.joined.tolist())}
+
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; the blank in front that encoding adds is taken off."""
         pieces, byte_of = self.pieces, self.byte_of
@@ -151,8 +206,22 @@ def keyed_hash(seed: int, variant: np.ndarray, left: np.ndarray, right: np.ndarr
     return x
 
 
+def hash_of(seed: int, *parts: int) -> int:
+    """``keyed_hash`` of one candidate."""
+    most, (a, b, c) = (1 << 64) - 1, map(int, _K)
+    x = seed & most
+    for part in parts:
+        x = (x ^ part) * a & most
+        x ^= x >> 30
+        x = x * b & most
+        x ^= x >> 27
+        x = x * c & most
+        x ^= x >> 31
+    return x
+
+
 class DropoutEncoder:
-    """Encodes whole texts; remembers up to ``room`` words of each variant."""
+    """Encodes whole texts; remembers up to ``room`` words of each variant, none over ``LONG_WORD`` characters."""
 
     def __init__(self, model_path: str, dropout: float = 0.1, seed: int = 0, variants: int = VARIANTS, room: int = 150_000):
         self.merges = Merges(model_path)
@@ -167,7 +236,7 @@ class DropoutEncoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [self.words(t) if t else [] for t in texts]
-        n = len(self.known)
+        n, fleeting = len(self.known), []
         for v, known in enumerate(self.known):
             new = list({w for words in split for w in words[v::n]}.difference(known))
             if len(known) + len(new) > self.room:
@@ -176,12 +245,16 @@ class DropoutEncoder:
             for at in range(0, len(new), 50_000):
                 part = new[at:at + 50_000]
                 known.update(zip(part, self.merges.segment(part, np.full(len(part), v), self.seed, self.dropout)))
+            fleeting.append([w for w in new if len(w) > LONG_WORD])
         out = []
         for words in split:
             parts: list[bytes] = [b""] * len(words)
             for v, known in enumerate(self.known):
                 parts[v::n] = map(known.__getitem__, words[v::n])
             out.append(np.frombuffer(b"".join(parts), "<u4"))
+        for known, words in zip(self.known, fleeting):
+            for w in words:
+                del known[w]
         return out
 
     def decode(self, ids: np.ndarray) -> str:

@@ -72,6 +72,21 @@ def test_dropout_follows_the_agenda(merges, corpus_rows):
         assert encoder.decode(ids) == text
 
 
+def test_long_words_follow_the_same_agenda(merges):
+    """Scripts without blanks make words as long as their texts."""
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list(pool), 201 + 40 * k)) for k, pool in enumerate(
+        ["theandingof", "aab", "\u6f22\u5b57\u306e\u4e2d\u56fd", "é▁x😀", "▁", "z"])] + ["short"]
+    variants = np.arange(len(words)) % md.VARIANTS
+    for dropout in (0.0, 0.1, 0.5, 1.0):
+        got = merges.segment(words, variants, 7, dropout)
+        for w, v, ids in zip(words, variants.tolist(), got):
+            assert np.frombuffer(ids, "<u4").tolist() == agenda(merges, w, v, 7, dropout)
+    encoder, text = md.DropoutEncoder(MODEL), "".join(rng.choice(list("theandingof\u6f22\u5b57"), 200_000))
+    assert encoder.decode(encoder.encode([text])[0]) == text
+    assert not any(encoder.known)
+
+
 def test_seeds_vary_and_repeat(corpus_rows):
     texts = [t for _, t in corpus_rows[:20]]
     def run(**k):
