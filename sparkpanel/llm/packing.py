@@ -25,15 +25,16 @@ PROBES = 16
 
 
 class WordIds(dict):
-    """Token ids of a word with its leading blank, as little-endian 16-bit ids; remembers up to ``room`` words."""
+    """Token ids of a word with its leading blank, as little-endian 16-bit ids; remembers up to ``room`` words of up to
+    ``longest`` characters."""
 
-    def __init__(self, encode, room: int = 300_000):
+    def __init__(self, encode, room: int = 300_000, longest: int = 100):
         super().__init__()
-        self.encode, self.room = encode, room
+        self.encode, self.room, self.longest = encode, room, longest
 
     def __missing__(self, word: str) -> bytes:
         ids = np.asarray(self.encode(" " + word), np.uint16).tobytes()
-        if len(self) < self.room:
+        if len(self) < self.room and len(word) <= self.longest:
             self[word] = ids
         return ids
 
@@ -42,8 +43,11 @@ class Encoder:
     """Ids of byte_bpe_50k for whole texts; special strings in a text are ordinary text.
 
     The pre-tokeniser always splits before a single blank between two other characters.  Where a text has only
-    such blanks, words are encoded one by one and remembered; any other text is encoded as a whole.
+    such blanks, words are encoded one by one and remembered; any other text is encoded as a whole.  tiktoken's
+    pattern search runs out of stack in white space of some hundred thousand characters; a text with ``LONG_SPACE``
+    of them in a row goes to the tokenizers library instead, which gives the same ids without that limit.
     """
+    LONG_SPACE = 10_000
 
     def __init__(self, ranks_path: str):
         import base64
@@ -54,12 +58,25 @@ class Encoder:
 
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.encode = tiktoken.Encoding(
-            "words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.encode, self.encode_piece = (tiktoken.Encoding(
+            "words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            for pattern in (public_tokenizers.PATTERN, r"[\s\S]+"))
         self.words = WordIds(self.encode)
         self.odd = re.compile(r"^\s|\s$| \s|\s ").search
+        # white space of the pre-tokeniser, which does not count the separators 1C to 1F
+        self.long_space = re.compile(rf"[^\S\x1c-\x1f]{{{self.LONG_SPACE},}}")
 
     def __call__(self, text: str) -> np.ndarray:
+        if len(text) < self.LONG_SPACE or not self.long_space.search(text):
+            return self.without_long_space(text)
+        parts, at = [], 0
+        for m in self.long_space.finditer(text):
+            end = m.end() - (m.end() < len(text))
+            parts += [self.without_long_space(text[at:m.start()]), np.asarray(self.encode_piece(text[m.start():end]), np.uint16)]
+            at = end
+        return np.concatenate([*parts, self.without_long_space(text[at:])])
+
+    def without_long_space(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, np.uint16)
         if self.odd(text):

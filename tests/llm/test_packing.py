@@ -64,6 +64,26 @@ def test_words_are_encoded_like_whole_texts(tokenizer):
         assert encode(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_long_white_space(tokenizer):
+    class Short(packing.Encoder):
+        LONG_SPACE = 3
+
+    encode, rng = Short(RANKS), np.random.default_rng(4)
+    pool = list(" \n\t\x0b\x1c\x1f\x85\xa0\u2003\u3000 \n aZ9's\u4e2d._")
+    for size in rng.integers(1, 30, 2000):
+        text = "".join(rng.choice(pool, size))
+        assert encode(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+    whole = packing.Encoder(RANKS)
+    for text in (" " * 1_000_000 + "x", "a" + "\n" * 1_000_001, "a b" + " \t\n" * 400_000 + " b c"):
+        assert whole(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_only_short_words_are_remembered():
+    encode = packing.Encoder(RANKS)
+    encode("a " + "b" * 101 + " " + "c" * 100)
+    assert set(encode.words) == {"c" * 100}
+
+
 def test_costs_are_balanced():
     rng = np.random.default_rng(1)
     lengths = rng.integers(1, 900, 4000).tolist()
