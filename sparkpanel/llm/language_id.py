@@ -7,7 +7,6 @@ followers).  A text's code length under a tree's frozen counts is exact, and the
 """
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,7 +20,11 @@ from .common import texts_of
 SAMPLE_BYTES = 1 << 20
 ORDER = 4
 UNDETERMINED = "und"
-_letter = re.compile(r"[^\W\d_]").search
+
+
+def has_letter(text: str) -> bool:
+    """Whether any character is in a Unicode letter category; digits, letter numbers and marks are none."""
+    return any(map(str.isalpha, text))
 
 
 def gram_codes(data: bytes, order: int) -> np.ndarray:
@@ -201,7 +204,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 continue
             texts = texts_of(batch)
             size = np.array([len(t.encode()) for t in texts])
-            can = np.array([known is not None and _letter(t) is not None for t in texts], bool)
+            can = np.array([known is not None and has_letter(t) for t in texts], bool)
             pred, score, rate = np.full(len(texts), UNDETERMINED, object), np.zeros(len(texts)), np.full(len(texts), np.nan)
             if can.any():
                 bits = scorer.bits([t for t, c in zip(texts, can) if c])

@@ -83,6 +83,11 @@ def test_held_out_accuracy(spark):
     assert sum(r.lang == r.lang_pred for r in held) / len(held) > 0.97
 
 
+def test_letters():
+    assert all(map(li.has_letter, ["a", "1\u4e2d", "\xaa", "\u01c5 2"]))
+    assert not any(map(li.has_letter, ["", "12 _", "\xb2\xbd", "\u2167", "\u0301", "\U0001f600"]))
+
+
 def test_odd_rows(odd, repeated, empty):
     got = {r.doc_id: r for r in li.language_id(odd).collect()}
     assert len(got) == len(odd_rows())
