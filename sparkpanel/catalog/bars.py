@@ -210,3 +210,13 @@ def symbol_set_difference(spark, sf):
 
     ticks = tables.event_ticks(spark, sf, "user_id")
     return missing_symbols(ticks, intraday.five_minute_bars(tables.minute_bars(spark, sf, "user_id")))
+
+
+@query("symbols_without_morning", with_(EVENT_BARS, """
+SELECT DISTINCT symbol FROM ticks WHERE symbol NOT IN (SELECT symbol FROM five WHERE bucket < 9)""", symbol="user_id"))
+def symbols_without_morning(spark, sf):
+    """Symbols with ticks but no bar in the first 45 minutes of a session."""
+    from ..sources.bars import missing_symbols
+
+    five = intraday.five_minute_bars(tables.minute_bars(spark, sf, "user_id")).where("bucket < 9")
+    return missing_symbols(tables.event_ticks(spark, sf, "user_id"), five)

@@ -3,12 +3,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import quality as qual
+from ..functions.columns import hash_fraction
+from ..operators import metrics as met, quality as qual
 from ..sources import interface, tables
 from ..sources.staging import checkpoint_root, stage
 from .registry import query, rounded
 from .scoring import STATS
-from .sql import SCORED, TARGETS, with_
+from .sql import SCORED, TARGETS, fraction, with_
 
 
 @query("integrity_checks", with_(TARGETS + """,
@@ -112,6 +113,47 @@ def interface_validation(spark, sf):
     return qual.interface_problems(preds, actuals, interface.read_statistics(spark, path))
 
 
+def _drawn(seed: int) -> str:
+    return fraction(seed, "symbol", "pred_date")
+
+
+@query("interface_violations", with_(PUBLISHED + f""",
+broken AS (
+  SELECT pred_date, symbol, split, CASE WHEN {_drawn(21)} >= 0.05 THEN target_date END AS target_date,
+    CASE WHEN {_drawn(22)} < 0.1 THEN 'Infinity'::DOUBLE WHEN {_drawn(23)} < 0.2 THEN -pred_magnitude_pct
+      ELSE pred_magnitude_pct END AS pred_magnitude_pct,
+    CASE WHEN {_drawn(24)} < 0.1 THEN 0 ELSE pred_direction END AS pred_direction, conf_direction - 0.125 AS conf_direction,
+    conf_magnitude + 0.25 AS conf_magnitude, {_drawn(25)} < 0.1 AS twice, {_drawn(26)} < 0.1 AS lost,
+    {_drawn(27)} < 0.1 AS blank FROM published),
+preds AS (SELECT * FROM broken UNION ALL SELECT * FROM broken WHERE twice)""", """
+SELECT 'prediction_columns' AS problem, 1::BIGINT AS n
+UNION ALL SELECT 'actual_columns', 0 UNION ALL SELECT 'statistics_columns', 1
+UNION ALL SELECT 'prediction_nulls', count(*) FILTER (target_date IS NULL) FROM preds
+UNION ALL SELECT 'non_finite_predictions', count(*) FILTER (isinf(pred_magnitude_pct)) FROM preds
+UNION ALL SELECT 'direction_domain', count(*) FILTER (pred_direction = 0) FROM preds
+UNION ALL SELECT 'negative_magnitude', count(*) FILTER (pred_magnitude_pct < 0) FROM preds
+UNION ALL SELECT 'conf_direction_range', count(*) FILTER (conf_direction < 0.5) FROM preds
+UNION ALL SELECT 'conf_magnitude_range', count(*) FILTER (conf_magnitude > 1) FROM preds
+UNION ALL SELECT 'actual_nulls', count(*) FILTER (blank AND NOT lost) FROM broken
+UNION ALL SELECT 'duplicate_keys', count(*) FILTER (twice) FROM broken
+UNION ALL SELECT 'key_differences', count(*) FILTER (twice) + count(*) FILTER (lost) FROM broken
+UNION ALL SELECT 'statistics_rows', 40 * count(DISTINCT split) FROM preds"""))
+def interface_violations(spark, sf):
+    """The validator on published rows that break every rule on drawn rows, which SQL counts by itself."""
+    u = lambda seed: hash_fraction(seed, "symbol", "pred_date")
+    rows = stage(interface.published_rows(tables.scored_frame(spark, sf)), "published-rows")
+    broken = rows.withColumns({
+        "target_date": F.when(u(21) >= 0.05, F.col("target_date")),
+        "pred_magnitude_pct": F.when(u(22) < 0.1, float("inf")).when(
+            u(23) < 0.2, -F.col("pred_magnitude_pct")).otherwise(F.col("pred_magnitude_pct")),
+        "pred_direction": F.when(u(24) < 0.1, 0).otherwise(F.col("pred_direction")),
+        "conf_direction": F.col("conf_direction") - 0.125, "conf_magnitude": F.col("conf_magnitude") + 0.25})
+    preds = broken.unionByName(broken.where(u(25) < 0.1)).select(*reversed(qual.PREDICTION_COLUMNS))
+    actuals = rows.where(u(26) >= 0.1).withColumn(
+        "universe_mean_pct", F.when(u(27) >= 0.1, F.col("universe_mean_pct"))).select(*qual.ACTUAL_COLUMNS)
+    return qual.interface_problems(preds, actuals, preds.groupBy("split").count())
+
+
 @query("derived_consistency", """
 SELECT problem, 0::BIGINT AS n FROM (
   SELECT unnest(['magnitude_not_abs', 'direction_inconsistent', 'mean_inconsistent']) AS problem)""")
@@ -124,11 +166,14 @@ def derived_consistency(spark, sf):
 SELECT 'magnitude_not_abs' AS problem, count(*) FILTER (actual_return_pct < 0) AS n FROM scored
 UNION ALL SELECT 'direction_inconsistent', count(*) FILTER (pred_direction <> CASE WHEN actual_return_pct < 0 THEN -1
   ELSE 1 END) FROM scored
-UNION ALL SELECT 'mean_inconsistent', 0 FROM (SELECT 1)"""))
+UNION ALL SELECT 'mean_inconsistent', count(*) FILTER (abs(actual_return_pct - universe_mean_pct)
+  > 5e-10 + 1e-5 * abs(universe_mean_pct)) FROM scored"""))
 def derived_violations(spark, sf):
-    """The same check on deliberately wrong columns: signed magnitude, forecast in place of the outcome sign."""
+    """The same check on deliberately wrong columns: signed magnitude, forecast in place of the outcome sign, a row's own
+    return in place of the session mean."""
     rows = tables.scored_frame(spark, sf).select(
-        "pred_date", "actual_return_pct", "universe_mean_pct", F.col("actual_return_pct").alias("actual_magnitude_pct"),
+        "pred_date", "actual_return_pct", F.col("actual_return_pct").alias("universe_mean_pct"),
+        F.col("actual_return_pct").alias("actual_magnitude_pct"),
         F.col("pred_direction").alias("actual_direction"))
     return qual.derived_problems(rows)
 
@@ -143,6 +188,18 @@ def stats_recompute_diff(spark, sf):
         interface.read_statistics(spark, path), interface.rescored(*interface.read_outputs(spark, path)))
 
 
+@query("stats_changed_diff", with_(STATS, """
+SELECT split, scope, metric, CASE WHEN split = 'valid' THEN round(value + 1, 6) END AS stored_value,
+  CASE WHEN split = 'valid' THEN n_obs END AS stored_n, round(value, 6) AS value, n_obs AS n FROM statistics
+WHERE (split = 'valid' AND value IS NOT NULL) OR (split = 'test' AND scope = 'residual')"""))
+def stats_changed_diff(spark, sf):
+    """Differences from a stored table with other values on validation and without the residual rows of the test block."""
+    table = stage(met.statistics_table(tables.scored_frame(spark, sf)), "statistics")
+    stored = table.where("not (split = 'test' and scope = 'residual')").withColumn(
+        "value", F.when(F.col("split") == "valid", F.col("value") + 1).otherwise(F.col("value")))
+    return rounded(qual.statistics_differences(stored, table))
+
+
 @query("serialized_precision", with_(SCORED, """
 SELECT problem, 0::BIGINT AS n FROM (
   SELECT unnest(['pred_magnitude_pct', 'conf_direction', 'conf_magnitude']) AS problem)"""))
@@ -151,6 +208,31 @@ def serialized_precision(spark, sf):
     return qual.precision_problems(text, interface.DIGITS)
 
 
+@query("precision_violations", with_(PUBLISHED, f"""
+SELECT 'pred_magnitude_pct' AS problem, count(*) FILTER ({_drawn(31)} < 0.1) AS n FROM published
+UNION ALL SELECT 'conf_direction', count(*) FILTER ({_drawn(32)} < 0.1) FROM published
+UNION ALL SELECT 'conf_magnitude', count(*) FILTER ({_drawn(33)} < 0.1) FROM published"""))
+def precision_violations(spark, sf):
+    """The precision check on text with a digit too few, a sign or no text on drawn rows."""
+    u = lambda seed: hash_fraction(seed, "symbol", "pred_date")
+    text = interface.prediction_text(interface.published_rows(tables.scored_frame(spark, sf))).withColumns({
+        "pred_magnitude_pct": F.when(u(31) < 0.1, F.expr("left(pred_magnitude_pct, length(pred_magnitude_pct) - 1)"))
+        .otherwise(F.col("pred_magnitude_pct")),
+        "conf_direction": F.when(u(32) < 0.1, F.concat(F.lit("-"), "conf_direction")).otherwise(F.col("conf_direction")),
+        "conf_magnitude": F.when(u(33) >= 0.1, F.col("conf_magnitude"))})
+    return qual.precision_problems(text, interface.DIGITS)
+
+
+@query("target_violations", with_(TARGETS, f"""
+SELECT count(*) FILTER ({_drawn(34)} < 0.1 AND abs(actual_return_pct - (target_open / (close * 2) - 1) * 100)
+    > 1e-12 + 1e-5 * abs((target_open / (close * 2) - 1) * 100)) AS mismatches, count(actual_return_pct) AS n_rows FROM panel0"""))
+def target_violations(spark, sf):
+    """The same check after the prices of drawn rows were doubled."""
+    panel = tables.target_panel(spark, sf)
+    return qual.target_mismatches(panel.withColumn("close", F.when(
+        hash_fraction(34, "symbol", "pred_date") < 0.1, F.col("close") * 2).otherwise(F.col("close"))))
+
+
 @query("target_reconstruction", with_(TARGETS, """
 SELECT 0::BIGINT AS mismatches, count(actual_return_pct) AS n_rows FROM panel0"""))
 def target_reconstruction(spark, sf):
