@@ -6,7 +6,6 @@ operators share the same partitioning and ordering, hence one shuffle and one so
 """
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from ..functions.columns import col, flag, pct_change, ratio
@@ -69,22 +68,33 @@ def sign_streak(df: DataFrame, c: str, out: str) -> DataFrame:
 
 
 def trailing_ewm(df: DataFrame, c: str, out: str, halflife: float = 20, min_periods: int = 10) -> DataFrame:
-    """Exponentially weighted mean of lagged values, recursive form.
+    """Exponentially weighted mean of lagged values, recursive form; the past's weight decays through missing values too.
 
-    The weight of the past decays through missing values as well, so prefix sums do not
-    express it; one short pandas pass per symbol (at most one row per session) does.
+    A value x that comes g rows after the one before gives y = keep * y_before + (1 - keep) * x with keep = w / (w + alpha)
+    and w = (1 - alpha)^g.  Such a recurrence is a prefix sum of (1 - keep) * x over the running product of ``keep``.  The
+    product restarts after 60 halvings, far from the ends of the number range, and takes the last mean along: what is
+    older than the block before has lost all weight that a double can show.
     """
-    def smooth(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pred_date")
-        ewm = rows[c].astype(float).shift(1).ewm(halflife=halflife, adjust=False, min_periods=min_periods)
-        return pd.DataFrame({"symbol": rows["symbol"], "pred_date": rows["pred_date"],
-                             out: ewm.mean()})
-
-    types = dict(df.dtypes)
-    schema = f"symbol {types['symbol']}, pred_date {types['pred_date']}, {out} double"
-    smoothed = df.select("symbol", "pred_date", c).groupBy("symbol").applyInPandas(smooth, schema)
-    smoothed = smoothed.withColumn(out, F.when(~F.isnan(out), F.col(out)))
-    return df.join(smoothed, ["symbol", "pred_date"], "left")
+    alpha = 1.0 - 0.5 ** (1.0 / halflife)
+    upto = by_symbol().rowsBetween(Window.unboundedPreceding, 0)
+    earlier = by_symbol().rowsBetween(Window.unboundedPreceding, -1)
+    block = Window.partitionBy("symbol", "_block").orderBy("pred_date").rowsBetween(Window.unboundedPreceding, 0)
+    missing = F.lit(None).cast("double")
+    df = df.withColumn("_x", F.lag(F.nanvl(F.col(c).cast("double"), missing)).over(by_symbol())).withColumns({
+        "_row": F.row_number().over(by_symbol()), "_n": F.count("_x").over(upto)})
+    known = F.col("_x").isNotNull()
+    w = F.pow(F.lit(1.0 - alpha), F.col("_row") - F.last(F.when(known, F.col("_row")), ignorenulls=True).over(earlier))
+    # the first value takes nothing over: it weighs 1 and leaves the product as it is
+    df = df.withColumn("_keep", F.when(known & (F.col("_n") > 1), F.greatest(w / (w + alpha), F.lit(2.0 ** -80))))
+    df = df.withColumn("_block", F.floor(F.sum(F.coalesce(-F.log2("_keep"), F.lit(0.0))).over(upto) / 60))
+    df = df.withColumn("_left", F.product(F.coalesce("_keep", F.lit(1.0))).over(block))
+    weight = F.when(F.col("_n") > 1, 1.0 - F.col("_keep")).otherwise(1.0)
+    df = df.withColumn("_own", F.col("_left") * F.sum(weight * F.col("_x") / F.col("_left")).over(block))
+    fresh = F.col("_block") != F.lag("_block").over(by_symbol())
+    df = df.withColumn("_taken", F.when(fresh, F.lag("_own").over(by_symbol())))
+    mean = F.col("_own") + F.coalesce(F.col("_left") * F.first("_taken").over(block), F.lit(0.0))
+    return df.withColumn(out, F.when(F.col("_n") >= min_periods, mean)).drop(
+        "_x", "_row", "_n", "_keep", "_block", "_left", "_own", "_taken")
 
 
 def history_columns() -> list[Column]:

@@ -47,6 +47,14 @@ def test_rolling_operators_match_pandas(spark):
         assert np.allclose(got, expected, equal_nan=True), name
     ewm = rolling.trailing_ewm(df, "value", "x").orderBy("pred_date").toPandas()["x"].astype(float)
     assert np.allclose(ewm, lagged.ewm(halflife=20, adjust=False, min_periods=10).mean(), equal_nan=True)
+    # short half-lives: the running product restarts many times, also over gaps that leave nothing of the past
+    for halflife, lost in ((0.4, 0.2), (0.1, 0.7), (3, 0.0)):
+        lossy = s.where(rng.random(150) >= lost)
+        want = lossy.shift(1).ewm(halflife=halflife, adjust=False, min_periods=2).mean()
+        df = history(spark, [None if np.isnan(v) else float(v) for v in lossy])
+        got = rolling.trailing_ewm(df, "value", "x", halflife, 2).orderBy("pred_date").toPandas()["x"].astype(float)
+        assert np.allclose(got, want, equal_nan=True, rtol=1e-9, atol=1e-12), halflife
+    df = history(spark, [None if np.isnan(v) else float(v) for v in s])
     streak = rolling.sign_streak(df, "value", "x").orderBy("pred_date").toPandas()["x"]
     up, run, expected = lagged.ge(0).tolist(), 0, []
     for i, u in enumerate(up):
