@@ -5,7 +5,8 @@ subsequence of the matches gives the anchors, and the gaps between anchors are a
 both ends of a gap have been taken.  Coverage is the share of template words that are aligned.
 
 A text is looked at where a template can be: around each occurrence of one of the template's key words, as far as the
-template is long, with a margin.  Notices that come twice in a text are thereby found in separate regions.
+template is long, with a margin.  Where template words come repeatedly in such a region, windows of the template's length are aligned, so
+that copies close together are found separately.
 """
 from __future__ import annotations
 
@@ -64,12 +65,21 @@ def words_with_spans(text: str) -> tuple[list[str], list[tuple[int, int]]]:
     return [m.group().lower() for m in found], [m.span() for m in found]
 
 
-def templates(notices: dict[str, Sequence[str]] = NOTICES, keys: int = 3) -> list[Template]:
-    """Each notice's words; its key words are the ``keys`` that the fewest notices share, the longest first on ties."""
+def templates(notices: dict[str, Sequence[str]] = NOTICES, keys: int = 3, coverage: float = 0.8) -> list[Template]:
+    """Each notice's words; its key words are those that the fewest notices share, the longest first on ties: at least
+    ``keys``, and so many that a text without any of them has less than ``coverage`` of the notice's words."""
     split = [(name, words_with_spans(t)[0]) for name, texts in notices.items() for t in texts]
     shared = Counter(w for _, words in split for w in set(words))
-    return [Template(name, tuple(words), frozenset(sorted(set(words), key=lambda w: (shared[w], -len(w), w))[:keys]))
-            for name, words in split]
+    out = []
+    for name, words in split:
+        count, key, held = Counter(words), [], 0
+        for w in sorted(count, key=lambda w: (shared[w], -len(w), w)):
+            if len(key) >= keys and len(words) - held < coverage * len(words):
+                break
+            key.append(w)
+            held += count[w]
+        out.append(Template(name, tuple(words), frozenset(key)))
+    return out
 
 
 def increasing(values: list[int]) -> list[int]:
@@ -130,20 +140,56 @@ def regions(words: list[str], template: Template, margin: float = 0.25) -> list[
     return out
 
 
+def notices_in(words: list[str], a: int, b: int, template: Template, coverage: float) -> Iterator[list[tuple[int, int]]]:
+    """Alignments of the template with words[a:b] that reach ``coverage``.
+
+    Where the range has template words more often than the template has, copies may hide each other's unique words; then
+    windows of the template's length are aligned too, one for each place where a template word lets a copy begin.  The
+    alignment of the whole range counts unless two copies or more are found, over which it could spread.
+    """
+    size = len(template.words)
+    count, own = Counter(words[a:b]), Counter(template.words)
+    whole = [(a + i, j) for i, j in align(words[a:b], template.words)]
+    copies, reach = 0, a
+    if not any(count[w] > n for w, n in own.items()):
+        if len(whole) >= coverage * size:
+            yield whole
+        return
+    # a copy's first aligned word is one of these: at most size - coverage * size template words are missing before it
+    first = set(template.words[:int(size - coverage * size) + 1])
+    inside = [0]
+    for i in range(a, b):
+        inside.append(inside[-1] + (words[i] in own))
+    for i in range(a, b):
+        if words[i] not in first:
+            continue
+        tried = set()
+        for length in (size, size + size // 4 + 1):
+            end = min(b, i + length)
+            if end in tried or inside[end - a] - inside[i - a] < coverage * size:
+                continue
+            tried.add(end)
+            pairs = [(i + p, q) for p, q in align(words[i:end], template.words)]
+            if len(pairs) >= coverage * size:
+                yield pairs
+                if pairs[0][0] >= reach:
+                    copies, reach = copies + 1, pairs[-1][0] + 1
+    if copies < 2 and len(whole) >= coverage * size:
+        yield whole
+
+
 def scan(text: str, known: list[Template], coverage: float) -> list[tuple[str, float, int, int]]:
     """(license, coverage, start, end) of each notice, in code points; of overlapping ones the one with most aligned words."""
     words, spans = words_with_spans(text)
     have, hits = set(words), []
     for t in known:
-        if not t.keys & have or len(have & set(t.words)) < coverage * len(set(t.words)):
+        if not t.keys & have or sum(w in have for w in t.words) < coverage * len(t.words):
             continue
         for a, b in regions(words, t):
-            pairs = align(words[a:b], t.words)
-            share = len(pairs) / len(t.words)
-            if share >= coverage:
-                hits.append((len(pairs), share, t.license, spans[a + pairs[0][0]][0], spans[a + pairs[-1][0]][1]))
+            for pairs in notices_in(words, a, b, t, coverage):
+                hits.append((len(pairs), len(pairs) / len(t.words), t.license, spans[pairs[0][0]][0], spans[pairs[-1][0]][1]))
     kept: list[tuple[str, float, int, int]] = []
-    for _, share, name, start, end in sorted(hits, key=lambda h: (-h[0], -h[1], h[2], h[3])):
+    for _, share, name, start, end in sorted(hits, key=lambda h: (-h[0], -h[1], h[2], h[4] - h[3], h[3])):
         if all(end <= s or start >= e for _, _, s, e in kept):
             kept.append((name, share, start, end))
     return sorted(kept, key=lambda h: (h[2], h[0]))
@@ -156,7 +202,7 @@ def license_scan(docs: DataFrame, notices: dict[str, Sequence[str]] = NOTICES, c
     A null or empty text has none.  Ids may be null or repeat, each row is scanned on its own; further columns are
     not read; an empty table gives no row.
     """
-    known = templates(notices)
+    known = templates(notices, coverage=coverage)
     mark = re.compile("|".join(sorted({re.escape(k) for t in known for k in t.keys})), re.IGNORECASE).search
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

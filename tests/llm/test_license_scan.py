@@ -62,3 +62,27 @@ def test_rows(spark, corpus, odd, repeated, empty):
     assert {r.license for r in ls.license_scan(odd).collect()} == {None}
     assert ls.license_scan(repeated).count() == 2 * len(odd_rows())
     assert ls.license_scan(empty).collect() == []
+
+
+@pytest.mark.parametrize("name", ls.NOTICES)
+@pytest.mark.parametrize("gap", ["", "baz", "baz " * 12])
+def test_copies_close_together(name, gap):
+    for notice in ls.NOTICES[name]:
+        text = f"foo bar {notice} {gap} {notice} {gap} {notice} qux"
+        hits = ls.scan(text, ls.templates(), 0.8)
+        assert [(h[0], h[1]) for h in hits] == [(name, 1.0)] * 3, (notice, gap, hits)
+
+
+def test_notices_without_their_rarest_words():
+    known = ls.templates()
+    for t in known:
+        if len(t.words) < 20:
+            continue
+        lost = sorted(t.keys, key=lambda w: (-len(w), w))[:3]
+        words = [w for w in t.words if w not in lost]
+        if len(words) >= 0.8 * len(t.words):
+            assert t.license in [h[0] for h in ls.scan("foo " + " ".join(words) + " bar", known, 0.8)]
+    long = [f"w{i}" for i in range(200)]
+    known = ls.templates({"long": [" ".join(long)]})
+    rare = set(sorted(long, key=lambda w: (-len(w), w))[:3])
+    assert [h[0] for h in ls.scan("a " + " ".join(w for w in long if w not in rare) + " b", known, 0.8)] == ["long"]
