@@ -19,7 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import NULL_ID, doc_id_of, keyed, stage, texts_of, with_length
+from .common import Keyed, fresh, stage, texts_of, with_length
 
 MIN_CHARS = 30
 LINES = "doc long, pos int, h1 long, h2 long, run_end int, run_start int"
@@ -95,17 +95,19 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, text, n_lines, n_removed, removed array<int>) of every id: the text without the deleted lines.
 
     Lines are split at \\n and compared as they are.  A null text stays null and has no line; an empty text is one
-    empty line.  A text of which all lines go is empty.  Rows that share an id are one document (the smallest text); a
-    null id is the earliest; further columns are not read; an empty table gives no row.
+    empty line.  A text of which all lines go is empty.  Rows that share an id stay apart, in the order of
+    ``Keyed``; a null id is the earliest; further columns are not read; an empty table gives no row.
     """
-    rows = keyed(docs)
+    keyed = Keyed(docs)
+    rows = keyed.texts
     runs = repeated_runs(rows.filter("text is not null"), min_chars)
     gone = runs.groupBy("doc").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.sequence("pos", "end"))))).alias("removed"))
     lines = F.split("text", "\n", -1)
     joined = rows.join(gone, "doc", "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
-    return joined.select(
-        doc_id_of(), without_lines("text", "removed").alias("text"),
-        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), "removed")
+    return keyed.with_ids(joined.select(
+        "doc", without_lines("text", "removed").alias("text"),
+        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"),
+        "removed"), doc="doc_id")
 
 
 def without_lines(text: str, removed: str):
@@ -122,14 +124,11 @@ def without_lines(text: str, removed: str):
 
 
 def without_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``docs`` with the deleted lines cut from ``text`` and ``n_chars`` brought up to date; rows and columns stay.
-
-    Rows that share an id are cut alike, at the lines that go from the smallest of their texts.
-    """
-    rows = keyed(docs)
-    runs = repeated_runs(rows.filter("text is not null"), min_chars)
-    gone = runs.groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("pos", "end")))).alias("__removed"))
-    gone = gone.withColumnRenamed("doc", "__doc")
-    joined = docs.join(gone, (F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)) == gone["__doc"]), "left")
-    out = {"text": without_lines("text", "__removed")}
-    return with_length(joined.select(*[out[c].alias(c) if c in out else docs[c] for c in docs.columns]))
+    """``docs`` with the deleted lines cut from ``text`` and ``n_chars`` brought up to date; rows and columns stay."""
+    rows = Keyed(docs)
+    runs = repeated_runs(rows.texts.filter("text is not null"), min_chars)
+    removed = fresh(docs.columns, "removed")
+    gone = runs.groupBy(F.col("doc").alias(rows.key)).agg(
+        F.array_distinct(F.flatten(F.collect_list(F.sequence("pos", "end")))).alias(removed))
+    joined = rows.table.join(gone, rows.key, "left").withColumn("text", without_lines("text", removed))
+    return with_length(joined.select(*docs.columns))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import doc_id_of, keyed, stage
+from .common import Keyed, stage
 
 SLOTS, KEEP, KMER = 32, 2, 3
 #: Low bits of a packed value that hold a k-mer's place in the text.
@@ -121,10 +121,11 @@ def order_minhash(docs: DataFrame, slots: int = SLOTS, keep: int = KEEP, k: int
 
     The edited text has the last floor(n_chars / 2) code points replaced by as many first ones of the next document
     (all, if that is shorter).  A null text is empty; an empty or wordless text has a signature of nulls.  Rows that
-    share an id are one document (the smallest text); a null id comes first.  Further columns are not read; an empty
+    share an id stay apart, in the order of ``Keyed``; a null id comes first.  Further columns are not read; an empty
     table gives no row; a table of one document is its own successor.
     """
-    rows = keyed(docs).select("doc", F.coalesce("text", F.lit("")).alias("text"))
+    keyed = Keyed(docs)
+    rows = keyed.texts.select("doc", F.coalesce("text", F.lit("")).alias("text"))
     order = stage(next_ids(rows), "successors")
     # each row once more for its predecessor, cut to what that needs
     asked = order.select(F.col("following").alias("doc"), F.col("doc").alias("before"), "half")
@@ -138,7 +139,7 @@ def order_minhash(docs: DataFrame, slots: int = SLOTS, keep: int = KEEP, k: int
         signature(F.col("text"), slots, keep, k).alias("signature"),
         signature(F.col("edited_text"), slots, keep, k).alias("edited_signature")), "order-minhash")
     after = made.select(F.col("doc").alias("following"), F.col("signature").alias("next_signature"))
-    return made.join(after, "following").select(
-        doc_id_of(), "n_chars", "edited_sha256", "signature", "edited_signature",
+    return keyed.with_ids(made.join(after, "following").select(
+        "doc", "n_chars", "edited_sha256", "signature", "edited_signature",
         likeness(F.col("signature"), F.col("edited_signature")).alias("near_edited"),
-        likeness(F.col("signature"), F.col("next_signature")).alias("near_next"))
+        likeness(F.col("signature"), F.col("next_signature")).alias("near_next")), doc="doc_id")

@@ -15,7 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import doc_id_of, keyed, stage, texts_of, with_length
+from .common import Keyed, fresh, stage, texts_of, with_length
 
 #: In the order in which spans are listed.
 KINDS = ("email", "ip", "card", "phone")
@@ -176,10 +176,16 @@ def personal_data(docs: DataFrame, rules: Bootstrap = Bootstrap()) -> DataFrame:
     """(doc_id, base array<span>, spans array<span>) of every id; spans are the base ones and those that patterns reveal.
 
     Spans have a kind, start and end in code points (end exclusive) and are listed by kind (KINDS) and start.  A null or
-    empty text has none.  Rows that share an id are one document (the smallest text); ids may be null; further columns
-    are not read; an empty table gives no row.
+    empty text has none.  Rows that share an id stay apart; ids may be null; further columns are not read; an empty
+    table gives no row.
     """
-    places = stage(extract(keyed(docs)), "pii")
+    rows = Keyed(docs)
+    return rows.with_ids(_found(rows, rules), doc="doc_id")
+
+
+def _found(rows: Keyed, rules: Bootstrap) -> DataFrame:
+    """(doc, base, spans) of every row key."""
+    places = stage(extract(rows.texts), "pii")
     seen = places.select("doc", F.explode("seen").alias("s"))
     values = bootstrap(seen.select(F.col("s.value").alias("value"), F.col("s.kind").alias("kind"),
                                    F.explode("s.patterns").alias("pattern")), rules)
@@ -192,7 +198,7 @@ def personal_data(docs: DataFrame, rules: Bootstrap = Bootstrap()) -> DataFrame:
         F.element_at(rank, s["kind"]).alias("rank"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))),
         lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     return places.select("doc", "spans").join(more, "doc", "left").select(
-        doc_id_of(), F.col("spans").alias("base"), ordered.alias("spans"))
+        "doc", F.col("spans").alias("base"), ordered.alias("spans"))
 
 
 def masked(docs: DataFrame, rules: Bootstrap = Bootstrap()) -> DataFrame:
@@ -201,9 +207,10 @@ def masked(docs: DataFrame, rules: Bootstrap = Bootstrap()) -> DataFrame:
     Base spans are found again in the row itself, so only documents with revealed spans are joined.  Overlapping spans
     are replaced together, under the kind of the first.  Columns, rows and null texts stay.
     """
-    revealed = personal_data(docs, rules).filter("size(spans) > size(base)").select(
-        F.col("doc_id").alias("__span_id"), F.array_except("spans", "base").alias("__spans"))
-    joined = docs.join(revealed, docs["doc_id"].cast("long").eqNullSafe(revealed["__span_id"]), "left")
+    rows, more = Keyed(docs), fresh(docs.columns, "revealed")
+    revealed = _found(rows, rules).filter("size(spans) > size(base)").select(
+        F.col("doc").alias(rows.key), F.array_except("spans", "base").alias(more))
+    joined = rows.table.join(revealed, rows.key, "left")
 
     @F.pandas_udf("string")
     def mask(text: pd.Series, spans: pd.Series) -> pd.Series:
@@ -220,6 +227,4 @@ def masked(docs: DataFrame, rules: Bootstrap = Bootstrap()) -> DataFrame:
             return "".join([*out, t[at:]])
         return pd.Series([one(t, s) for t, s in zip(text, spans)])
 
-    out = {"text": mask(docs["text"], F.col("__spans"))}
-    masked_rows = joined.select(*[out[c].alias(c) if c in out else docs[c] for c in docs.columns])
-    return with_length(masked_rows)
+    return with_length(joined.withColumn("text", mask(F.col("text"), F.col(more))).select(*docs.columns))

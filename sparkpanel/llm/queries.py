@@ -1,17 +1,37 @@
-"""Registered queries of the text operators: each applies one, with production parameters, to all of ``documents``."""
+"""Registered queries of the text and embedding operators: each applies one, with production parameters, to its whole table."""
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import (language_id, license_scan, line_dedup, merge_dropout, order_minhash, packing, pii, quality_rules, simhash,
-               suffix_dedup)
+from . import (language_id, license_scan, line_dedup, merge_dropout, multi_index, order_minhash, packing, pii, quality_rules,
+               simhash, spelling, suffix_dedup, whitening)
 from .common import documents
+from .vectors import embeddings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-#: None of the ten can be stated in SQL that runs over whole tables; tests/llm holds them against brute force.
-SQL: dict[str, str] = {}
+#: The links of operator 11 can be stated in SQL; tests/llm holds the others against brute force.
+SQL: dict[str, str] = {
+    "op11_multi_index": """
+        with recursive sound as (
+            select vec_id, label, embedding::double[] as v from embeddings
+            where label is not null and embedding is not null
+              and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
+        measured as (select *, sqrt(list_dot_product(v, v)) as size from sound where list_dot_product(v, v) > 0),
+        links as (
+            select a.vec_id as u, b.vec_id as w from measured a join measured b
+            on a.label = b.label and a.vec_id <> b.vec_id and len(a.v) = len(b.v)
+            where list_dot_product(a.v, b.v) / (a.size * b.size) >= 0.98),
+        reached(u, w) as (
+            select vec_id, vec_id from embeddings
+            union
+            select r.u, l.w from reached r join links l on l.u = r.w),
+        lowest as (select u, min(w) as component_id from reached group by u),
+        counted as (select u, count(*) as n from links group by u)
+        select e.vec_id, coalesce(c.n, 0) as n_links, l.component_id, e.vec_id = l.component_id as kept
+        from embeddings e join lowest l on l.u = e.vec_id left join counted c on c.u = e.vec_id""",
+}
 
 
 def _query(fn):
@@ -89,3 +109,18 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(documents(spark, sf_dir)).select(
         "doc_id", "license", F.round("coverage", 6).alias("coverage"), F.size("found").cast("long").alias("n_found"), "found")
+
+
+@_query
+def op11_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.near_vectors(embeddings(spark, sf_dir))
+
+
+@_query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitening(embeddings(spark, sf_dir))
+
+
+@_query
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(documents(spark, sf_dir))

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import doc_id_of, keyed, stage, texts_of
+from .common import Keyed, stage, texts_of
 from .components import components
 
 BITS = 64
@@ -110,10 +110,16 @@ def simhash_groups(docs: DataFrame, radius: int = 3, block: int = BLOCK) -> Data
     Equal fingerprints are one node from the start, so copies cost nothing further.  A bucket of more than ``block``
     distinct fingerprints is dealt over block pairs, each compared in a task of its own; per block pair only a
     spanning forest is returned.  A null, empty or wordless text has fingerprint 0 and is linked like any other.
-    Rows that share an id are one document (the smallest text); a null id is NULL_ID in ``component_id``'s order.
+    Rows that share an id stay apart; a null id comes before all others in ``component_id``'s order.
     Further columns are not read; an empty table gives no row.
     """
-    prints = stage(fingerprints(keyed(docs)), "simhash")
+    rows = Keyed(docs)
+    return rows.with_ids(_grouped(rows, radius, block), doc="doc_id", component="component_id")
+
+
+def _grouped(rows: Keyed, radius: int, block: int) -> DataFrame:
+    """(doc, fp, component) of every row key."""
+    prints = stage(fingerprints(rows.texts), "simhash")
     nodes = stage(prints.groupBy("fp").agg(F.min("doc").alias("node")), "simhash-nodes")
     masks = covering_masks(radius)
     # the table's number goes into the bucket's hash; equal hashes of different buckets only add comparisons
@@ -131,7 +137,7 @@ def simhash_groups(docs: DataFrame, radius: int = 3, block: int = BLOCK) -> Data
         "bucket", F.col("fp"), "node").mapInArrow(_with_radius(radius), "u long, v long"))
     found = components(edges)
     groups = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
-    return prints.join(groups, "fp").select(doc_id_of(), "fp", doc_id_of("component").alias("component_id"))
+    return prints.join(groups, "fp").select("doc", "fp", "component")
 
 
 def _with_radius(radius: int):
@@ -142,10 +148,7 @@ def _with_radius(radius: int):
 
 
 def keep_one_per_group(docs: DataFrame, radius: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its near-duplicate group; columns stay as they are.
-
-    A null id is the smallest of all.  Of rows that share an id all stay or go together.
-    """
-    kept = simhash_groups(docs, radius).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("kept_id"))
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["kept_id"]), "left_semi")
+    """The first row of each near-duplicate group, in the order of the ids, nulls first; columns stay as they are."""
+    rows = Keyed(docs)
+    kept = _grouped(rows, radius, BLOCK).filter("doc = component").select(F.col("doc").alias(rows.key))
+    return rows.table.join(kept, rows.key, "left_semi").select(*rows.columns)

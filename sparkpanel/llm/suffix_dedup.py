@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bytes_of, doc_id_of, keyed, merge_intervals, stage
+from .common import Keyed, bytes_of, merge_intervals, stage
 
 Q, WINDOW = 25, 100
 SPAN = WINDOW - Q + 1  # q-byte strings in a window
@@ -308,10 +308,11 @@ def suffix_dedup(docs: DataFrame, block: int = BLOCK, slice_rows: int = SLICE_RO
     Every byte covered by a 100-byte string that also starts earlier (smaller id, or the same document and an earlier
     start) is removed; overlapping occurrences count, and strings are judged on the input.  ``kept`` are the other bytes
     of the UTF-8 text, joined; spans are the maximal removed runs.  A null text is empty; texts below 100 bytes
-    keep all.  Rows that share an id are one document (the smallest text); a null id is the earliest;
+    keep all.  Rows that share an id stay apart, in the order of ``Keyed``; a null id is the earliest;
     further columns are not read; an empty table gives no row.
     """
-    rows = keyed(docs)
+    keyed = Keyed(docs)
+    rows = keyed.texts
     texts = packed_texts(rows)
     gone = removed_intervals(rows, texts, block, slice_rows, slice_bytes).groupBy("doc").agg(
         F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
@@ -334,8 +335,7 @@ def suffix_dedup(docs: DataFrame, block: int = BLOCK, slice_rows: int = SLICE_RO
                 [batch.column(0), pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()),
                  pa.array(spans, pa.list_(span))], names=["doc", "kept", "n_bytes", "n_removed", "spans"])
 
-    return texts.join(gone, "doc", "left").mapInArrow(
-        run, "doc long, kept binary, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>").select(
-        doc_id_of(), "kept", "n_bytes", "n_removed", "spans")
+    return keyed.with_ids(texts.join(gone, "doc", "left").mapInArrow(
+        run, "doc long, kept binary, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>"), doc="doc_id")
 
 

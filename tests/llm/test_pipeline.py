@@ -50,5 +50,5 @@ def test_registered():
     import __spark_entry__
 
     names = __spark_entry__.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 14))
     assert "pipeline" in names and set(QUERIES) <= set(names) and odd_rows()
