@@ -14,10 +14,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import texts_of
+from .common import bytes_of, texts_of
 
 #: Bytes of labelled text that each language's tree is expected to be fitted on at most.
 SAMPLE_BYTES = 1 << 20
+#: Bytes that are drawn together.
+PIECE = 1 << 10
 ORDER = 4
 UNDETERMINED = "und"
 
@@ -153,29 +155,35 @@ class Scorer:
 def fit(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES, order: int = ORDER) -> Model | None:
     """Trees from documents with a ``lang`` and a text; None without any.
 
-    Of each language documents are drawn by a hash of their text at a rate that makes ``sample_bytes`` bytes the
-    expected size (all of them if there are fewer), so what reaches the driver is bounded by
-    sample_bytes x languages whatever the input.
+    Of each language pieces of ``PIECE`` bytes are drawn by a hash of their text and place at a rate that makes ``sample_bytes``
+    bytes the expected size (all of them if there are fewer), so what reaches the driver is bounded by
+    sample_bytes x languages whatever the input, and a language of few, long texts is drawn from like any other.
     """
     labelled = docs.select("lang", "text").filter("lang is not null and length(text) > 0")
     sizes = dict(labelled.groupBy("lang").agg(F.sum(F.octet_length("text"))).collect())
     if not sizes:
         return None
-    rate = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, sample_bytes / n)])
-    draw = F.pmod(F.xxhash64("text", F.lit("fit")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    drawn = labelled.filter(draw < F.element_at(rate, F.col("lang")))
+    rates = {lang: sample_bytes / n for lang, n in sizes.items()}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
         for batch in batches:
             by: dict[str, list[np.ndarray]] = {}
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                by.setdefault(lang, []).append(gram_codes(text.encode(), order))
+            for lang, data in zip(batch.column(0).to_pylist(), bytes_of(batch.column(1))):
+                limit, data = rates[lang] * 2.0 ** 64, data.tobytes()
+                seed = xxh64_intdigest(data)
+                for at in range(0, len(data), PIECE):
+                    if xxh64_intdigest(at.to_bytes(8, "little"), seed) < limit:
+                        # a piece goes on in the context of the bytes before it
+                        before = min(at, order)
+                        by.setdefault(lang, []).append(gram_codes(data[at - before:at + PIECE], order)[before:])
             for lang, parts in by.items():
                 codes, n = np.unique(np.concatenate(parts), return_counts=True)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([lang] * len(codes)), pa.array(codes), pa.array(n)], names=["lang", "code", "n"])
 
-    counts = drawn.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    counts = labelled.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     found = counts.toArrow().to_pandas()
     if found.empty:
         return None

@@ -1,9 +1,9 @@
 """Cost-balanced packing of token sequences.
 
 A sequence costs its tokens (linear layers) plus the squares of its documents' lengths (attention within
-each document).  Documents of a task are taken in descending length and go to the cheapest sequence that
-still has room; a document that fits into none of the cheapest is cut there, so no sequence of full length
-is left with a gap.  What remains of a task goes into sequences whose lengths are powers of two, which need
+each document).  Documents of a task are taken in descending length and go to the cheapest of all sequences with
+enough room, found in an index on free room; a document that fits into none is cut at the cheapest sequence,
+so no sequence of full length is left with a gap.  What remains of a task goes into sequences whose lengths are powers of two, which need
 no padding either.  Each task packs its own rows: no document is shuffled, and a task holds at most
 ``window`` tokens at a time.
 """
@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 from .common import texts_of
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-#: Sequences that are tried for a whole document before it is cut.
-PROBES = 16
+#: The vocabulary's added token: its string stands for this id wherever a text holds it.
+END_OF_TEXT, END_OF_TEXT_ID = "<|endoftext|>", 50256
 
 
 class WordIds(dict):
@@ -40,7 +40,7 @@ class WordIds(dict):
 
 
 class Encoder:
-    """Ids of byte_bpe_50k for whole texts; special strings in a text are ordinary text.
+    """Ids of byte_bpe_50k for whole texts; the added token's string in a text is one id, as the tokenizer has it.
 
     The pre-tokeniser always splits before a single blank between two other characters.  Where a text has only
     such blanks, words are encoded one by one and remembered; any other text is encoded as a whole.  tiktoken's
@@ -67,6 +67,12 @@ class Encoder:
         self.long_space = re.compile(rf"[^\S\x1c-\x1f]{{{self.LONG_SPACE},}}")
 
     def __call__(self, text: str) -> np.ndarray:
+        if END_OF_TEXT not in text:
+            return self.plain(text)
+        first, *rest = map(self.plain, text.split(END_OF_TEXT))
+        return np.concatenate([first, *(x for part in rest for x in (np.array([END_OF_TEXT_ID], np.uint16), part))])
+
+    def plain(self, text: str) -> np.ndarray:
         if len(text) < self.LONG_SPACE or not self.long_space.search(text):
             return self.without_long_space(text)
         parts, at = [], 0
@@ -90,10 +96,58 @@ def powers_of_two(n: int) -> list[int]:
     return [1 << k for k in range(n.bit_length() - 1, -1, -1) if n >> k & 1]
 
 
+class FreeRoom:
+    """Open sequences by free room: the cheapest with at least so much room, in logarithmic time.
+
+    A leaf per amount of room holds a heap of (cost, sequence); each inner node has the least entry below it.
+    """
+
+    def __init__(self, capacity: int):
+        self.size = 1 << capacity.bit_length()
+        self.heaps: list[list[tuple[float, int]]] = [[] for _ in range(capacity + 1)]
+        self.least: list[tuple[float, int]] = [(np.inf, -1)] * (2 * self.size)
+
+    def _settle(self, room: int) -> None:
+        least, at = self.least, self.size + room
+        least[at] = self.heaps[room][0] if self.heaps[room] else (np.inf, -1)
+        while at > 1:
+            at >>= 1
+            low = min(least[2 * at], least[2 * at + 1])
+            if least[at] == low:
+                return
+            least[at] = low
+
+    def add(self, room: int, cost: float, sequence: int) -> None:
+        heapq.heappush(self.heaps[room], (cost, sequence))
+        self._settle(room)
+
+    def take(self, room: int) -> tuple[int, float, int] | None:
+        """(free room, cost, sequence) of the cheapest sequence with at least ``room``; it is taken out."""
+        best, at = (np.inf, -1), self.size + room
+        while at >= 1:
+            if self.least[at] < best:
+                best, node = self.least[at], at
+            # up to the next subtree on the right
+            while at & 1:
+                at >>= 1
+            if not at:
+                break
+            at += 1
+        if best[1] < 0:
+            return None
+        while node < self.size:
+            node = 2 * node if self.least[2 * node] == best else 2 * node + 1
+        free = node - self.size
+        heapq.heappop(self.heaps[free])
+        self._settle(free)
+        return free, *best
+
+
 def assign(lengths: list[int], capacity: int) -> list[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset) of each piece; sequences are numbered from 0.
 
-    All sequences have ``capacity`` tokens but the last few, whose lengths are powers of two.
+    All sequences have ``capacity`` tokens but the last few, whose lengths are powers of two.  Ties in length go by the
+    order of the documents, ties in cost by the order of the sequences.
     """
     pieces, sequences, tails = [], 0, []
     for i, n in enumerate(lengths):
@@ -104,36 +158,30 @@ def assign(lengths: list[int], capacity: int) -> list[tuple[int, int, int, int,
             tails.append((n % capacity, i))
     tails.sort(key=lambda x: (-x[0], x[1]))
     full, rest = divmod(sum(n for n, _ in tails), capacity)
-    used: dict[int, int] = {}
     size: dict[int, int] = {}
-    heap: list[tuple[float, int]] = []
+    room = FreeRoom(capacity)
 
     def open_sequences(sizes: list[int]) -> None:
         nonlocal sequences
         for s in sizes:
-            used[sequences], size[sequences] = 0, s
-            heapq.heappush(heap, (0.0, sequences))
+            size[sequences] = s
+            room.add(s, 0.0, sequences)
             sequences += 1
 
     open_sequences([capacity] * full)
     for n, i in tails:
         start = lengths[i] - n
         while n:
-            if not heap:
+            found = room.take(n) or room.take(1)
+            if found is None:
                 open_sequences(powers_of_two(rest))
-            tried = [heapq.heappop(heap)]
-            while size[tried[-1][1]] - used[tried[-1][1]] < n and len(tried) < PROBES and heap:
-                tried.append(heapq.heappop(heap))
-            k = len(tried) - 1 if size[tried[-1][1]] - used[tried[-1][1]] >= n else 0
-            cost, s = tried.pop(k)
-            for other in tried:
-                heapq.heappush(heap, other)
-            take = min(n, size[s] - used[s])
-            pieces.append((i, start, take, s, used[s]))
-            used[s] += take
+                continue
+            free, cost, s = found
+            take = min(n, free)
+            pieces.append((i, start, take, s, size[s] - free))
             start, n = start + take, n - take
-            if used[s] < size[s]:
-                heapq.heappush(heap, (cost + take + take * take / capacity, s))
+            if take < free:
+                room.add(free - take, cost + take + take * take / capacity, s)
     return pieces
 
 

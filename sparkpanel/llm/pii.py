@@ -8,9 +8,11 @@ known, and both are scored again until nothing new is found.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -30,6 +32,10 @@ _digit = re.compile(r"[0-9]").search
 _word = re.compile(r"[^\x20\x09-\x0D]+")
 _trim = "\"'`()[]{}<>,;:.!?"
 _four_digits = re.compile(r"(?:[^0-9]*[0-9]){4}").match
+#: Several tokens of digits and separators with single blanks between them.
+_run = re.compile(r"(?<![^\x20\x09-\x0D\"'`\[{<])[(+]*[0-9][0-9()./-]*(?:\x20\(?[0-9][0-9()./-]*)+(?![^\x20\x09-\x0D\"'`\]}>,;:.!?])")
+#: Names in front of a value.
+_name = re.compile(r"(?:[^0-9:=@\x20\x09-\x0D]++[:=])+")
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -71,51 +77,89 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 class Bootstrap:
     """A pattern is accepted from ``support`` distinct known instances of one kind on if they are at least ``share`` of
     all its distinct instances; an instance if the accepted patterns around it are wrong together with a chance of at
-    most ``doubt``. ``rounds`` is an upper bound; the search ends earlier when nothing is found."""
+    most ``doubt``."""
 
     support: int = 5
     share: float = 0.9
     doubt: float = 0.1
-    rounds: int = 5
-
-
-def patterns(text: str, start: int, end: int) -> list[str]:
-    """Contexts of a span: what is glued to its front, the two words before it, and one word on either side."""
-    left = text[max(0, start - 80):start]
-    right = text[end:end + 80]
-    glued = re.search(r"[^\x20\x09-\x0D]*\Z", left).group().lower()
-    before = [w.strip(_trim).lower() for w in _word.findall(left[:len(left) - len(glued)])][-2:]
-    after = re.match(r"[^\x20\x09-\x0D]*", right)
-    following = [w.strip(_trim).lower() for w in _word.findall(right[after.end():])][:1]
-    found = []
-    if any(c.isalpha() for c in glued):
-        found.append("glued " + glued)
-    if len(before) == 2:
-        found.append("before " + " ".join(before))
-    if before and following:
-        found.append(f"around {before[-1]} _ {following[0]}")
-    return found
+
+
+#: Code points of a word that count in a pattern: those next to the span.
+REACH = 80
+
+
+class Words:
+    """Where the words of a text are."""
+
+    def __init__(self, text: str):
+        ends = np.fromiter((x for m in _word.finditer(text) for x in m.span()), np.int64)
+        self.text, self.starts, self.ends = text, ends[::2], ends[1::2]
+
+    def patterns(self, start: int, end: int) -> list[str]:
+        """Contexts of a span: what is glued to its front, the two words before it, and one word on either side."""
+        text, starts, ends = self.text, self.starts, self.ends
+        first = int(np.searchsorted(starts, start, side="right")) - 1
+        last = int(np.searchsorted(starts, end - 1, side="right")) - 1
+        glued = text[max(int(starts[first]), start - REACH):start].lower()
+        before = [w for k in range(max(0, first - 2), first)
+                  for w in [text[max(int(starts[k]), int(ends[k]) - REACH):int(ends[k])].strip(_trim).lower()]]
+        following = [text[int(starts[k]):min(int(ends[k]), int(starts[k]) + REACH)].strip(_trim).lower()
+                     for k in range(last + 1, min(last + 2, len(starts)))]
+        found = []
+        if any(c.isalpha() for c in glued):
+            found.append("glued " + glued)
+        if len(before) == 2:
+            found.append("before " + " ".join(before))
+        if before and following:
+            found.append(f"around {before[-1]} _ {following[0]}")
+        return found
+
+
+def _bare(text: str, start: int, end: int) -> tuple[int, int]:
+    """The span without punctuation at its ends; a bracket at the front stays if it closes inside."""
+    while start < end and text[start] in _trim and not (text[start] == "(" and ")" in text[start:end].rstrip(_trim + "-/")):
+        start += 1
+    while start < end and text[end - 1] in _trim + "-/":
+        end -= 1
+    return start, end
 
 
 def candidates(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[int, int]]:
-    """Identifier-like tokens (four digits or more) outside the spans; a leading ``name=`` or ``name:`` is left out."""
+    """What looks like an identifier outside the spans, in order.
+
+    Runs of several tokens of digits, brackets and -./ with single blanks between them are one candidate; so is any
+    other token with four digits or more, or with an @ inside.  A leading ``name=`` or ``name:`` without digits is left out; colons
+    further on are part of the token.  A run that meets a span is taken token by token.
+    """
+    if not ("@" in text or _four_digits(text)):
+        return
     taken = sorted((a, b) for _, a, b in spans)
+    starts = [a for a, _ in taken]
+    reach = np.maximum.accumulate([b for _, b in taken]).tolist() if taken else []
+
+    def free(start: int, end: int) -> bool:
+        before = bisect_left(starts, end)
+        return not before or reach[before - 1] <= start
+
+    runs = [span for m in _run.finditer(text) for span in [_bare(text, *m.span())]
+            if _four_digits(text[slice(*span)]) and " " in text[slice(*span)] and free(*span)]
     k = 0
-    for m in _word.finditer(text) if _four_digits(text) else ():
-        if not _four_digits(m.group()):
-            continue
+    for m in _word.finditer(text):
         start, end = m.span()
-        cut = max(m.group().rfind("=", 0, -1), m.group().rfind(":", 0, -1))
-        if cut >= 0 and _digit(m.group(), cut):
-            start += cut + 1
-        while start < end and text[start] in _trim:
-            start += 1
-        while start < end and text[end - 1] in _trim:
-            end -= 1
-        while k < len(taken) and taken[k][1] <= start:
+        while k < len(runs) and runs[k][1] <= start:
+            yield runs[k]
             k += 1
-        if start < end and _four_digits(text[start:end]) and not (k < len(taken) and taken[k][0] < end):
+        if k < len(runs) and runs[k][0] < end:
+            continue
+        if not (_four_digits(m.group()) or "@" in m.group()):
+            continue
+        if name := _name.match(text, start, end):
+            start = name.end()
+        start, end = _bare(text, start, end)
+        token = text[start:end]
+        if (_four_digits(token) or "@" in token[1:-1]) and free(start, end):
             yield start, end
+    yield from runs[k:]
 
 
 SPAN = "struct<kind:string,start:long,end:long>"
@@ -131,7 +175,8 @@ def extract(docs: DataFrame) -> DataFrame:
                 base = base_spans(text)
                 spans.append([{"kind": k, "start": a, "end": b} for k, a, b in base])
                 places = base + [(None, a, b) for a, b in candidates(text, base)]
-                seen.append([{"kind": k, "start": a, "end": b, "value": text[a:b], "patterns": patterns(text, a, b)}
+                words = Words(text) if places else None
+                seen.append([{"kind": k, "start": a, "end": b, "value": text[a:b], "patterns": words.patterns(a, b)}
                              for k, a, b in places])
             span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
             place = pa.struct([*span, ("value", pa.string()), ("patterns", pa.list_(pa.string()))])
@@ -147,8 +192,8 @@ def bootstrap(seen: DataFrame, rules: Bootstrap = Bootstrap()) -> DataFrame:
     graph = stage(seen.groupBy("pattern", "value").agg(F.max("kind").alias("seed")), "pattern-graph")
     known = graph.filter("seed is not null").select("value", F.col("seed").alias("kind")).groupBy("value").agg(
         F.max("kind").alias("kind"))
-    found = before = None
-    for _ in range(rules.rounds):
+    found, met = None, set()
+    while True:
         labelled = graph.select("pattern", "value").join(known, "value", "left")
         counts = labelled.groupBy("pattern", "kind").agg(F.count("*").alias("n"))
         totals = labelled.groupBy("pattern").agg(F.count("*").alias("total"))
@@ -163,10 +208,11 @@ def bootstrap(seen: DataFrame, rules: Bootstrap = Bootstrap()) -> DataFrame:
         # the kind with the least doubt, the first by name on ties
         best = doubt.groupBy("value").agg(F.min(F.struct("doubt", "kind")).alias("b")).select("value", F.col("b.kind").alias("kind"))
         found = stage(best, "revealed")
-        size = found.count()
-        if size == (before or 0):
+        # the same members as in an earlier round: a fixed point, or a circle
+        now = tuple(found.agg(F.count("*"), *[F.sum(F.xxhash64(F.lit(k), "value", "kind").cast("decimal(38,0)")) for k in (1, 2)]).first())
+        if not now[0] or now in met:
             break
-        before = size
+        met.add(now)
         seeds = graph.filter("seed is not null").groupBy("value").agg(F.max("seed").alias("kind"))
         known = seeds.union(found.join(seeds, "value", "left_anti"))
     return found if found is not None else known.limit(0)

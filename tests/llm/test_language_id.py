@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparkpanel.llm import language_id as li
 
@@ -96,3 +97,17 @@ def test_odd_rows(odd, repeated, empty):
     assert li.language_id(repeated).count() == 2 * len(odd_rows())
     assert li.language_id(empty).collect() == []
     assert {r.lang_pred for r in li.predict(odd, None).collect()} == {"und"}
+
+
+def test_a_language_of_one_long_text_keeps_its_place(spark):
+    """Pieces are drawn, so neither a few large texts nor many small ones can leave a language without a tree."""
+    long = " ".join(f"the house number {i} stands on the street of the town" for i in range(60_000))
+    rows = [(1, long, "en")] + [(i + 2, f"la maison du village {i} est dans la rue", "fr") for i in range(37)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for start in ("a ", "b ", "c "):
+        model = li.fit(docs.withColumn("text", F.concat(F.lit(start), "text")), sample_bytes=1 << 15)
+        assert model.languages == ["en", "fr"]
+    whole = li.fit(docs.filter("lang = 'fr'"), sample_bytes=1 << 20)
+    assert whole.trees[0].levels[0][1].sum() == sum(len(t.encode()) for _, t, lang in rows if lang == "fr")
+    drawn = li.fit(docs.filter("lang = 'en'"), sample_bytes=1 << 16).trees[0].levels[0][1].sum()
+    assert 0.6 < drawn / (1 << 16) < 1.5

@@ -15,9 +15,7 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def check(rows, pieces, tokenizer, capacity=2048):
@@ -60,7 +58,7 @@ def test_windows_have_their_own_sequences(corpus, corpus_rows, tokenizer):
 
 def test_words_are_encoded_like_whole_texts(tokenizer):
     encode = packing.Encoder(RANKS)
-    for text in ["", " a", "a ", "a  b", "a\n b", "a \nb", "a\n\nb c", "<|endoftext|> x", "é ü 漢字", "it's we'll 12 3a", " x y", "a b c", "x ' s"]:
+    for text in ["", " a", "a ", "a  b", "a\n b", "a \nb", "a\n\nb c", "<|endoftext|> x", "a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x<|endoftext|>", "a<|endoftext|>  \n<|endoftext", " <|endoftext|> ", "é ü 漢字", "it's we'll 12 3a", " x y", "a b c", "x ' s"]:
         assert encode(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
@@ -92,3 +90,45 @@ def test_costs_are_balanced():
         cost[s] += n + n * n / 2048
     full = sorted(cost.values())[20:]
     assert max(full) / (sum(full) / len(full)) < 1.25
+
+
+def plain_assign(lengths, capacity):
+    """Every open sequence is looked at for every piece."""
+    pieces, sequences = [], []
+    for i, n in enumerate(lengths):
+        for k in range(n // capacity):
+            pieces.append((i, k * capacity, capacity, len(sequences), 0))
+            sequences.append([0, 0.0])
+    tails = sorted(((n % capacity, i) for i, n in enumerate(lengths) if n % capacity), key=lambda x: (-x[0], x[1]))
+    full, rest = divmod(sum(n for n, _ in tails), capacity)
+    used = {}
+    sizes = [0] * len(sequences) + [capacity] * full
+    cost = [0.0] * len(sizes)
+    used = [0] * len(sizes)
+    for n, i in tails:
+        start = lengths[i] - n
+        while n:
+            open_ = [s for s in range(len(sizes)) if used[s] < sizes[s]]
+            if not open_:
+                for p in packing.powers_of_two(rest):
+                    sizes.append(p)
+                    cost.append(0.0)
+                    used.append(0)
+                continue
+            s = min([s for s in open_ if sizes[s] - used[s] >= n] or open_, key=lambda s: (cost[s], s))
+            take = min(n, sizes[s] - used[s])
+            pieces.append((i, start, take, s, used[s]))
+            used[s] += take
+            cost[s] += take + take * take / capacity
+            start, n = start + take, n - take
+    return pieces
+
+
+def test_assignment_against_all_sequences():
+    rng = np.random.default_rng(9)
+    for capacity in (1, 2, 7, 16, 64):
+        for _ in range(60):
+            lengths = rng.integers(1, 3 * capacity, int(rng.integers(0, 40))).tolist()
+            assert packing.assign(lengths, capacity) == plain_assign(lengths, capacity)
+    skewed = (rng.pareto(1.1, 3000) * 30 + 1).astype(int).tolist()
+    assert packing.assign(skewed, 2048) == plain_assign(skewed, 2048)

@@ -4,7 +4,7 @@ from sparkpanel.llm.queries import QUERIES, tokenizer_file
 
 from llm.conftest import SMALL, odd_rows
 from llm.test_line_dedup import brute_force as plain_lines
-from llm.test_simhash import brute_force as plain_groups
+from llm.test_near_copies import brute_force as plain_groups
 
 
 def plain_stages(rows):
@@ -15,7 +15,7 @@ def plain_stages(rows):
     rows = [(d, "\n".join(cut[d])) for d, _ in rows]
     yield rows
     groups = plain_groups(rows)
-    rows = [(d, t) for d, t in rows if groups[d][1] == d]
+    rows = [(d, t) for d, t in rows if groups[d] == d]
     yield rows
     out = []
     for d, t in rows:

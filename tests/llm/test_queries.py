@@ -4,10 +4,11 @@ import re
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from sparkpanel.llm.queries import QUERIES
 
-from llm.conftest import SMALL
+from llm.conftest import DOCUMENTS, SMALL
 from llm.test_pii import BASE, plain
 
 
@@ -47,3 +48,46 @@ def test_fingerprints_and_hashes(spark, corpus_rows):
 def test_every_query_gives_each_document(spark, corpus_rows):
     for name in ("op4_line_dedup", "op7_quality_rules", "op8_merge_dropout", "op9_language_id", "op10_license_scan"):
         assert sorted(rows(spark, name)) == sorted(d for d, _ in corpus_rows), name
+
+
+def shared_ids(spark):
+    """Rows that share an id or have none, all with texts of their own but two."""
+    line = "unique important line of text that stands in several of the documents"
+    texts = [(None, f"first null row\n{line}\nend one"), (None, f"unique one\nunique important two\nunique three\n{line}"), (None, None),
+             (7, f"seven\n{line}\nmail a@b.example now"), (7, "other seven call +1 555 010 9999 today"), (7, "other seven call +1 555 010 9999 today"),
+             (3, " ".join(f"w{i}" for i in range(80))), (3, " ".join(f"w{i}" for i in range(81))), (4, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts], DOCUMENTS)
+    return texts, docs.withColumns({c: F.lit("x") for c in ("__removed", "__spans", "row_key", "removed", "revealed", "row_mix", "ROW_PLACE")})
+
+
+def test_rows_that_share_an_id_all_stay(spark):
+    from sparkpanel.llm import line_dedup, near_copies, order_minhash, pii, simhash, suffix_dedup
+
+    texts, docs = shared_ids(spark)
+    ids = sorted(map(str, (i for i, _ in texts)))
+    for operator in (suffix_dedup.suffix_dedup, simhash.simhash_groups, pii.personal_data, line_dedup.line_dedup,
+                     order_minhash.order_minhash, near_copies.near_copies):
+        assert sorted(str(r.doc_id) for r in operator(docs).collect()) == ids, operator
+    whole = sorted(str(t) for _, t in texts)
+    masked = pii.masked(docs)
+    assert masked.columns == docs.columns
+    assert sorted(str(r.text) for r in masked.collect()) == sorted(
+        t.replace("a@b.example", "<EMAIL>").replace("+1 555 010 9999", "<PHONE>") for t in whole)
+    cut = sorted(str(r.text) for r in line_dedup.without_repeated_lines(docs).collect())
+    assert "unique one\nunique important two\nunique three" in {t.removesuffix("\nunique important line of text that stands in several of the documents") for t in cut}
+    assert sum(t.count("unique important line") for t in cut) == 1 and len(cut) == len(texts)
+    kept = sorted(str(r.text) for r in near_copies.keep_one_per_group(docs).collect())
+    assert len(kept) == len(texts) - 3 and kept.count("other seven call +1 555 010 9999 today") == 1  # copies, near copies, wordless texts
+
+
+def test_keys_follow_the_ids(spark):
+    from sparkpanel.llm.common import Keyed
+
+    _, docs = shared_ids(spark)
+    keyed = Keyed(docs)
+    assert not keyed.unique and keyed.table.columns[:-1] == docs.columns and keyed.key not in docs.columns
+    rows = keyed.with_ids(keyed.texts, doc="doc_id").withColumnRenamed("text", "t").join(keyed.texts, F.col("t").eqNullSafe(F.col("text"))).collect()
+    order = [r.doc_id for r in sorted(rows, key=lambda r: r.doc)]
+    assert order == sorted(order, key=lambda i: -1 if i is None else i)
+    alone = Keyed(docs.filter("doc_id = 4 or text like 'first%'"))
+    assert alone.unique and sorted(str(r.doc_id) for r in alone.with_ids(alone.texts, doc="doc_id").collect()) == ["4", "None"]
