@@ -49,7 +49,11 @@ def test_long_runs_of_short_lines(spark):
 def test_stage_keeps_rows_and_columns(odd, repeated, empty):
     out = ld.without_repeated_lines(repeated)
     assert out.columns == repeated.columns and out.count() == repeated.count()
-    want = {d: r.text for d, r in result(odd, 30).items()}
-    assert {(-(1 << 63) if r.doc_id is None else r.doc_id): r.text for r in out.collect()} == want
+    from sparkpanel.llm.common import Keyed
+
+    rows = [(r.doc_id, r.text) for r in sorted(Keyed(repeated).table.collect(), key=lambda r: r.row_key)]
+    cut = brute_force([(place, t) for place, (_, t) in enumerate(rows)], 30)
+    want = [(i, "\n".join(cut[place]) if place in cut else None) for place, (i, _) in enumerate(rows)]
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted(want, key=str)
     assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in out.collect())
     assert ld.line_dedup(empty).collect() == [] and ld.without_repeated_lines(empty).collect() == []
