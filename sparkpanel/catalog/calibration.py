@@ -253,15 +253,9 @@ def flip_rule_query(spark, sf):
     return rounded(direction_rows(spark, sf).select("pred_date", "symbol", d.alias("direction"), conf.alias("confidence")))
 
 
-DIRECTION_CANDIDATES = INPUTS + """,
-rates AS (SELECT avg((base_direction = CASE WHEN actual_return_pct >= 0 THEN 1 ELSE -1 END)::INT) AS rate
-          FROM inputs WHERE split = 'train'),
-entries AS (
-  SELECT 'C0_constant' AS model, base_direction, actual_return_pct AS a, rate AS q FROM inputs, rates WHERE split = 'valid'
-  UNION ALL
-  SELECT 'C1_raw_quantile_prob', base_direction, actual_return_pct,
-    least(greatest(CASE WHEN base_direction > 0 THEN p_up ELSE 1 - p_up END, 1e-6), 1 - 1e-6)
-  FROM inputs WHERE split = 'valid'),
+def direction_table_sql(entries: str) -> str:
+    """Candidate table of ``entries`` (model, base_direction, a, q): calibration of the emitted confidence, lift, flips."""
+    return entries + """,
 emitted AS (
   SELECT *, (d = CASE WHEN a >= 0 THEN 1 ELSE -1 END)::INT::DOUBLE AS correct,
     """ + " + ".join(f"(conf >= {e})::INT" for e in met.ECE_EDGES) + """ AS bin
@@ -278,6 +272,17 @@ table0 AS (
       ELSE sum((2 * conf - 1) * d * a) / sum((2 * conf - 1) * abs(a)) - sum(d * a) / sum(abs(a)) END AS lift,
     count(*) FILTER (q < 0.5) AS flips, sum(d * a) / sum(abs(a)) AS pooled_ds
   FROM emitted JOIN gaps USING (model) GROUP BY model)"""
+
+
+DIRECTION_CANDIDATES = direction_table_sql(INPUTS + """,
+rates AS (SELECT avg((base_direction = CASE WHEN actual_return_pct >= 0 THEN 1 ELSE -1 END)::INT) AS rate
+          FROM inputs WHERE split = 'train'),
+entries AS (
+  SELECT 'C0_constant' AS model, base_direction, actual_return_pct AS a, rate AS q FROM inputs, rates WHERE split = 'valid'
+  UNION ALL
+  SELECT 'C1_raw_quantile_prob', base_direction, actual_return_pct,
+    least(greatest(CASE WHEN base_direction > 0 THEN p_up ELSE 1 - p_up END, 1e-6), 1 - 1e-6)
+  FROM inputs WHERE split = 'valid')""")
 REPORT = "brier brier_skill log_loss ece_10 mean_conf acc lift pooled_ds"
 
 

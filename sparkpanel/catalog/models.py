@@ -211,13 +211,6 @@ def confidence_rows(spark, sf):
         hash_fraction(5, "symbol", "pred_date").alias("p_up"))), "confidence-rows")
 
 
-@query("isotonic_confidence")
-def isotonic_confidence(spark, sf):
-    rows = confidence_rows(spark, sf)
-    return conf.direction_candidates(rows.where("split = 'train'"), rows.where("split = 'valid'"),
-                                     ["C0_constant", "C3_isotonic", "C5_isotonic_margin"])[0]
-
-
 @query("logistic_confidence")
 def logistic_confidence(spark, sf):
     rows = confidence_rows(spark, sf)

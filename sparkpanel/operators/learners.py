@@ -12,9 +12,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import (
-    GBTRegressor, GeneralizedLinearRegression, IsotonicRegression, RandomForestRegressor,
-)
+from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..sources.staging import stage
@@ -133,21 +131,6 @@ def fit_quantile_forest(train: DataFrame, features: list[str], target: Column, l
     return predict
 
 
-def fit_isotonic(train: DataFrame, x: str, y: str) -> Predictor:
-    """Monotone fit with linear interpolation, constant beyond the training range."""
-    data = train.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
-        F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
-    # equal inputs share one weighted point
-    points = data.groupBy("_x").agg(F.avg("_y").alias("_y"), F.count(F.lit(1)).cast("double").alias("_w"))
-    model = IsotonicRegression(featuresCol="_x", labelCol="_y", weightCol="_w", predictionCol="_p").fit(
-        stage(points, "isotonic-points"))
-
-    def predict(df: DataFrame, out: str) -> DataFrame:
-        known = df.withColumn("_x", F.coalesce(F.col(x).cast("double"), F.lit(0.0)))
-        return _result(model.transform(known), df, F.when(F.col(x).isNotNull(), F.col("_p")), out)
-    return predict
-
-
 def fit_logistic(train: DataFrame, features: list[str], label: str, c: float = 1.0, max_iter: int = 200) -> Predictor:
     """L2 logistic regression on standardised inputs; ``c`` is the inverse penalty of the summed loss."""
     scaler = fit_scaler(train, fit_imputer(train, features, indicators=True))

@@ -10,6 +10,7 @@ from ..functions.confidence import (
     DIRECTION_INPUTS, MAGNITUDE_INPUTS, MARGIN_INPUTS, confidence_inputs, flip_rule,
 )
 from ..operators import calibration as calib, cross_section as cs, learners, linear, metrics as met, rolling
+from ..operators.isotonic import fit_isotonic
 from ..operators.quality import require_finite
 from ..operators.selection import select_direction_confidence, select_magnitude_confidence
 from ..sources.staging import stage
@@ -36,9 +37,9 @@ DIRECTION_CANDIDATES: dict[str, Callable[[DataFrame], learners.Predictor]] = {
     "C0_constant": _constant,
     "C1_raw_quantile_prob": lambda t: _clipped(lambda df, out: df.withColumn(out, F.col("p_up_emitted"))),
     "C2_platt": lambda t: learners.fit_logistic(t, ["p_up_emitted"], "correct", 1.0),
-    "C3_isotonic": lambda t: _clipped(learners.fit_isotonic(t, "p_up_emitted", "correct")),
+    "C3_isotonic": lambda t: _clipped(fit_isotonic(t, "p_up_emitted", "correct")),
     "C4_logistic_meta": lambda t: learners.fit_logistic(t, DIRECTION_INPUTS, "correct", 0.1),
-    "C5_isotonic_margin": lambda t: _clipped(learners.fit_isotonic(t, "abs_mu", "correct")),
+    "C5_isotonic_margin": lambda t: _clipped(fit_isotonic(t, "abs_mu", "correct")),
     "C6_logistic_margin_prob": lambda t: learners.fit_logistic(t, MARGIN_INPUTS, "correct", 1.0),
 }
 
@@ -66,7 +67,7 @@ def fit_two_stage(train: DataFrame, use_tree: bool = False, seed: int = 42,
                   features: list[str] | None = None, **tree) -> learners.Predictor:
     """Predicted absolute error: isotonic in the forecast, plus a model of what that leaves."""
     features = features or MAGNITUDE_INPUTS
-    scale = learners.fit_isotonic(train, "pred_magnitude_pct", "oof_abs_error")
+    scale = fit_isotonic(train, "pred_magnitude_pct", "oof_abs_error")
     rest = stage(scale(train, "_scale").withColumn("_rest", F.col("oof_abs_error") - F.col("_scale")), "two-stage")
     if use_tree:
         tree = {"max_iter": 100, "depth": 3, "step": 0.05, "min_leaf": 500, **tree}
@@ -94,24 +95,28 @@ def reliability_training(store: DataFrame, panel: DataFrame, magnitude: DataFram
 
 def magnitude_confidences(train: DataFrame, rows: DataFrame, seed: int = 42,
                           names: list[str] | None = None, **tree) -> DataFrame:
-    """Long (model, row, confidence) for every candidate; rows need the error history attached."""
+    """Long (model, row, confidence, scored) for every candidate; rows need the error history attached.
+
+    ``scored`` is what the report ranks: the confidence, but for D0 the negative forecast itself, whose ties stay ties.
+    """
     names = names or ["D0_neg_magnitude", "D1_scale_only", "D2_two_stage_ridge", "D3_two_stage_tree"]
     parts = []
     for name in names:
         if name == "D0_neg_magnitude":
             scored = calib.inverse_rank_confidence(rows, "pred_magnitude_pct", KEYS)
         else:
-            fit = learners.fit_isotonic(train, "pred_magnitude_pct", "oof_abs_error") if name == "D1_scale_only" \
+            fit = fit_isotonic(train, "pred_magnitude_pct", "oof_abs_error") if name == "D1_scale_only" \
                 else fit_two_stage(train, name.endswith("tree"), seed, **tree)
             scored = calib.ecdf_confidence(fit(rows, "_risk"), fit(train, "_risk"), "_risk", KEYS)
+        judged = -F.col("pred_magnitude_pct") if name == "D0_neg_magnitude" else F.col("confidence")
         parts.append(scored.select(F.lit(name).alias("model"), *KEYS, "pred_magnitude_pct", "oof_abs_error",
-                                   "confidence"))
+                                   "confidence", judged.alias("scored")))
     return _union(parts)
 
 
 def magnitude_candidates(confidences: DataFrame) -> DataFrame:
     return met.reliability_report(
-        confidences, ["model"], "confidence", "oof_abs_error", "pred_magnitude_pct", ["model", *KEYS])
+        confidences, ["model"], "scored", "oof_abs_error", "pred_magnitude_pct", ["model", *KEYS])
 
 
 @dataclass(frozen=True)
