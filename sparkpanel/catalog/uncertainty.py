@@ -9,7 +9,6 @@ from .registry import query, rounded
 from .sql import SCORED, bucket, with_
 
 DRAWS = 2000
-SPEARMAN_DRAWS = 200
 
 
 def blocks_sql(name: str, where: str, terms: str) -> str:
@@ -93,7 +92,7 @@ n_blocks AS (SELECT max(block) + 1 AS n FROM base),
 times AS (
   SELECT draw, block, count(*) AS w
   FROM (SELECT d.draw, {bucket(45, '(SELECT n FROM n_blocks)', 'd.draw', 's.slot')} AS block
-        FROM range({SPEARMAN_DRAWS}) d(draw), range((SELECT n FROM n_blocks)) s(slot)) GROUP BY ALL),
+        FROM range({DRAWS}) d(draw), range((SELECT n FROM n_blocks)) s(slot)) GROUP BY ALL),
 copies AS (SELECT t.draw, t.w, b.a, b.b, b.y FROM times t JOIN base b ON b.block = t.block),
 ranked AS (
   SELECT draw, w, {_weighted_rank('a')} AS ra, {_weighted_rank('b')} AS rb, {_weighted_rank('y')} AS ry FROM copies)""",
@@ -106,4 +105,4 @@ def bootstrap_spearman(spark, sf):
     rows = tables.scored_frame(spark, sf).where("split = 'valid'").select(
         "pred_date", "symbol", "conf_magnitude", (-m).alias("neg_m"), (-err).alias("neg_err"))
     return rounded(boot.spearman_diff(
-        rows, "conf_magnitude", "neg_m", "neg_err", ["pred_date", "symbol"], draws=SPEARMAN_DRAWS, seed=45))
+        rows, "conf_magnitude", "neg_m", "neg_err", ["pred_date", "symbol"], draws=DRAWS, seed=45))

@@ -19,7 +19,8 @@ from ..functions.columns import hash_bucket, ratio
 from ..sources.staging import stage
 from .ranking import join_by_value
 
-CHUNK = 512
+#: Rows and draws of one matrix product.
+CHUNK, DRAW_CHUNK = 1024, 256
 
 
 def session_blocks(df: DataFrame, block_sessions: int) -> DataFrame:
@@ -70,7 +71,7 @@ def magnitude_diff(df: DataFrame, a: Column, b: Column, actual: Column, **kw) ->
 
 def _multiplicities(n_blocks: int, draws: int, seed: int) -> np.ndarray:
     """(block, draw) matrix of how often a block is drawn; its size is set by the parameters."""
-    counts = np.zeros((n_blocks, draws))
+    counts = np.zeros((n_blocks, draws), np.int32)
     for draw in range(draws):
         for slot in range(n_blocks):
             digest = hashlib.md5(f"{seed}|{draw}|{slot}".encode()).hexdigest()
@@ -79,46 +80,70 @@ def _multiplicities(n_blocks: int, draws: int, seed: int) -> np.ndarray:
 
 
 def _block_counts_below(long: DataFrame, n_blocks: int) -> DataFrame:
-    """(var, value, n, below): per block the number of smaller values plus half of the equal ones.
+    """(var, value, n, below): per block twice the number of smaller values plus the number of equal ones.
 
-    Equal values are reduced to one row, the rows are range-partitioned, and every slice
-    starts from the block totals of the slices before it.
+    Rows are first reduced to one per (var, value, block), so a hot value is at most one row per block.  These are dealt out by
+    range of the value, each value whole in one slice.  A slice starts from its blocks' totals in all slices before it: a running
+    sum over one row per (slice, block), so what is kept beside the values grows with slices x blocks alone.
     """
     cells = long.groupBy("var", "value", "block").agg(F.count(F.lit(1)).alias("n"))
-    values = cells.groupBy("var", "value").agg(
-        F.collect_list(F.struct("block", "n")).alias("cells"), F.sum("n").alias("n"))
-    sliced = stage(values.repartitionByRange("var", "value").withColumn("_slice", F.spark_partition_id()), "slices")
-    totals = sliced.select("var", "_slice", F.explode("cells").alias("c")).groupBy("var", "_slice", "c.block").agg(
-        F.sum("c.n").alias("n"))
-    # totals has one row per (slice, block); pair each slice with the totals of earlier ones
-    slices = totals.select("var", F.col("_slice").alias("_here")).distinct()
-    start = stage(
-        totals.join(slices, "var").where("_slice < _here").groupBy("var", "_here", "block")
-        .agg(F.sum("n").alias("n")).groupBy("var", F.col("_here").alias("_slice"))
-        .agg(F.collect_list(F.struct("block", "n")).alias("start")), "slice-starts")
-
-    def counts(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("value")
-        running = np.zeros(n_blocks)
-        first = rows["start"].iloc[0]
-        for cell in (first if first is not None else ()):
-            running[cell["block"]] = cell["n"]
-        below = []
-        for cells in rows["cells"]:
-            here = np.zeros(n_blocks)
-            for cell in cells:
-                here[cell["block"]] = cell["n"]
-            below.append(running + here / 2)
+    sliced = stage(cells.repartitionByRange("var", "value").withColumn("_slice", F.spark_partition_id()), "slices")
+    totals = sliced.groupBy("var", "block", "_slice").agg(F.sum("n").alias("n"))
+    slices = F.array_sort(F.collect_set("_slice").over(Window.partitionBy("var")))
+    # every slice of the variable for every block, those without the block with 0
+    grid = totals.withColumn("_all", slices).groupBy("var", "block").agg(
+        F.map_from_entries(F.collect_list(F.struct("_slice", "n"))).alias("at"), F.first("_all").alias("_all")).select(
+        "var", "block", "at", F.explode("_all").alias("_slice")).select(
+        "var", "block", "_slice", F.coalesce(F.try_element_at("at", F.col("_slice")), F.lit(0)).alias("n"))
+    before = Window.partitionBy("var", "block").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    start = grid.withColumn("n", F.sum("n").over(before)).where("n > 0").groupBy("var", "_slice").agg(
+        F.map_from_entries(F.collect_list(F.struct("block", "n"))).alias("start"))
+
+    def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come sorted by value within a slice; a value may go over the end of a batch."""
+        slice_, running, value, here, out = None, None, None, None, []
+
+        def told() -> pd.DataFrame:
+            names, values, sizes, below = zip(*out)
+            out.clear()
+            return pd.DataFrame({"var": names, "value": values, "n": sizes, "below": list(below)})
+
+        def closed() -> None:
+            nonlocal running
+            out.append((slice_[0], value, int(here.sum()), (2 * running + here).tolist()))
             running = running + here
-        return pd.DataFrame({"var": rows["var"], "value": rows["value"], "n": rows["n"], "below": below})
 
-    return sliced.join(start, ["var", "_slice"], "left").groupBy("var", "_slice").applyInPandas(
-        counts, "var string, value double, n bigint, below array<double>")
+        for batch in batches:
+            for var, number, v, block, n, first in zip(*(batch[c] for c in ("var", "_slice", "value", "block", "n", "start"))):
+                if (var, number) != slice_ or v != value:
+                    if slice_ is not None:
+                        closed()
+                    if (var, number) != slice_:
+                        slice_, running = (var, number), np.zeros(n_blocks, np.int64)
+                        for k, x in (first or {}).items():
+                            running[k] = x
+                    value, here = v, np.zeros(n_blocks, np.int64)
+                here[block] += n
+            if len(out) > 1024:
+                yield told()
+        if slice_ is not None:
+            closed()
+        if out:
+            yield told()
+
+    keyed = sliced.join(start, ["var", "_slice"], "left").select("var", "_slice", "value", "block", "n", "start")
+    return keyed.repartition("var", "_slice").sortWithinPartitions("var", "_slice", "value").mapInPandas(
+        counts, "var string, value double, n bigint, below array<bigint>")
 
 
 def spearman_diff(df: DataFrame, a: str, b: str, outcome: str, row_keys: list[str], block_sessions: int = 5,
                   draws: int = 2000, seed: int = 42) -> DataFrame:
-    """Difference of two Spearman scores against the same outcome."""
+    """Difference of two Spearman scores against the same outcome.
+
+    A row's average rank in a resample is the product of its block counts with the blocks' multiplicities.  Ranks of a
+    batch of rows in a batch of draws are one matrix product; rows are never copied per draw, and what is sent
+    per row grows with the blocks, which are fewer than the draws.
+    """
     blocks = stage(session_blocks(df, block_sessions), "session-blocks")
     n_blocks = blocks.count() and blocks.agg(F.max("block")).first()[0] + 1
     cols = {"a": a, "b": b, "y": outcome}
@@ -128,28 +153,35 @@ def spearman_diff(df: DataFrame, a: str, b: str, outcome: str, row_keys: list[st
     long = rows.select("block", F.explode(F.array(*[
         F.struct(F.lit(v).alias("var"), F.col(f"_{v}").alias("value")) for v in cols])).alias("e")).select("block", "e.*")
     below = stage(_block_counts_below(long, n_blocks), "below")
-    wide = rows
+    # rows with the same values in the same block count together
+    wide = rows.groupBy("block", *[f"_{v}" for v in cols]).agg(F.count(F.lit(1)).alias("n_rows"))
     for v in cols:
         table = below.where(F.col("var") == v).select(F.col("value").alias(f"_{v}"), "n", F.col("below").alias(f"below_{v}"))
         wide = join_by_value(wide, table, [f"_{v}"])
     size = {r["block"]: r["n"] for r in rows.groupBy("block").agg(F.count(F.lit(1)).alias("n")).collect()}
     times = _multiplicities(n_blocks, draws, seed)
-    center = (np.array([size.get(k, 0) for k in range(n_blocks)]) @ times + 1) / 2 - 0.5
+    # twice the mean rank less a half, in units of half a rank
+    center = np.array([size.get(k, 0) for k in range(n_blocks)], np.int64) @ times.astype(np.int64)
 
     def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((5, draws))
         for batch in batches:
             for lo in range(0, len(batch), CHUNK):
                 part = batch.iloc[lo:lo + CHUNK]
-                weight = times[part["block"].to_numpy()]
-                ra, rb, ry = (np.vstack(part[f"below_{v}"].to_numpy()) @ times - center for v in "aby")
-                for k, (x, z) in enumerate(((ra, ry), (rb, ry), (ra, ra), (rb, rb), (ry, ry))):
-                    total[k] += (weight * x * z).sum(axis=0)
+                at, n_rows = part["block"].to_numpy(), part["n_rows"].to_numpy(float)
+                counts = [np.stack(part[f"below_{v}"].to_numpy()).astype(float) for v in "aby"]
+                for first in range(0, draws, DRAW_CHUNK):
+                    drawn = slice(first, first + DRAW_CHUNK)
+                    m = times[:, drawn].astype(float)
+                    ra, rb, ry = ((c @ m - center[drawn]) / 2 for c in counts)
+                    weight = m[at] * n_rows[:, None]
+                    for k, (x, z) in enumerate(((ra, ry), (rb, ry), (ra, ra), (rb, rb), (ry, ry))):
+                        total[k, drawn] += np.einsum("ij,ij,ij->j", weight, x, z)
         yield pd.DataFrame({"draw": np.arange(draws), "ay": total[0], "by": total[1], "aa": total[2],
                             "bb": total[3], "yy": total[4]})
 
     sums = ["ay", "by", "aa", "bb", "yy"]
-    parts = wide.select("block", "below_a", "below_b", "below_y").mapInPandas(
+    parts = wide.select("block", "n_rows", "below_a", "below_b", "below_y").mapInPandas(
         moments, "draw int, " + ", ".join(f"{s} double" for s in sums))
     drawn = parts.groupBy("draw").agg(*[F.sum(s).alias(s) for s in sums])
     corr = lambda num, d1, d2: ratio(num, F.sqrt(F.col(d1) * F.col(d2)))
