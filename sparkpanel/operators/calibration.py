@@ -1,8 +1,6 @@
 """Calibration, rank-based confidences, error-history lookup and the forecast blend."""
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -13,9 +11,9 @@ from .ranking import join_by_value, positions, running_weight
 HISTORY_COLUMNS = ["err_hist_mean_20", "err_hist_std_20"]
 
 
-def smearing_factor(y: str, pred: str) -> Column:
+def smearing_factor(y: str | Column, pred: str | Column) -> Column:
     """Mean of exp(residual) on the log scale (aggregate)."""
-    return F.avg(F.exp(F.col(y) - F.col(pred)))
+    return F.avg(F.exp(col(y) - col(pred)))
 
 
 def from_log1p(z: str | Column, smear: float | Column) -> Column:
@@ -94,21 +92,35 @@ def gram_table(df: DataFrame, preds: list[str], actual: str) -> DataFrame:
 
 
 def nonnegative_weights(gram: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Non-negative least squares from the normal equations of a few (k <= 12) forecasts.
+    """Non-negative least squares from the normal equations, by an active set.
 
-    With so few columns every support set can be tried; the best feasible one is optimal.
+    The forecast whose weight would lower the error fastest joins the set; where the set's own solution is not positive, the weights
+    move towards it until the first reaches zero and leaves.  Each set is met once, as the error falls.
     """
     k = len(target)
-    best, best_cost = np.zeros(k), 0.0
-    for size in range(1, k + 1):
-        for support in combinations(range(k), size):
-            s = list(support)
-            w = np.linalg.lstsq(gram[np.ix_(s, s)], target[s], rcond=None)[0]
-            cost = w @ gram[np.ix_(s, s)] @ w - 2 * w @ target[s]
-            if (w >= 0).all() and cost < best_cost:
-                best_cost, best = cost, np.zeros(k)
-                best[s] = w
-    return best
+    weights, inside = np.zeros(k), np.zeros(k, bool)
+    least = 1e-12 * max(float(np.abs(target).max(initial=0)), 1e-300)
+    while True:
+        slope = np.where(inside, -np.inf, target - gram @ weights)
+        if not k or inside.all() or slope.max() <= least:
+            return weights
+        joining = int(slope.argmax())
+        inside[joining] = True
+        while True:
+            s = np.flatnonzero(inside)
+            free = np.zeros(k)
+            free[s] = np.linalg.lstsq(gram[np.ix_(s, s)], target[s], rcond=None)[0]
+            below = s[free[s] <= 0]
+            if not len(below):
+                break
+            step = np.min(weights[below] / np.maximum(weights[below] - free[below], 1e-300))
+            weights = weights + step * (free - weights)
+            gone = inside & ((weights <= 1e-15 * max(weights.max(), 1e-300)) & (free <= 0))
+            weights[gone], inside[gone] = 0.0, False
+        if not inside[joining]:
+            # a copy of what is inside: it can lower nothing
+            return weights
+        weights = free
 
 
 def blend_weights(df: DataFrame, preds: list[str], actual: str) -> dict[str, float]:

@@ -5,22 +5,21 @@ imputer with indicators, fitted on its own training rows.
 """
 from __future__ import annotations
 
-import warnings
 from collections.abc import Callable
 
-from py4j.protocol import Py4JJavaError
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..sources.staging import stage
 from .linear import Imputer, fit_imputer, fit_scaler
-from .ranking import quantiles
 
 Predictor = Callable[[DataFrame, str], DataFrame]
 PROB_CLIP = 1e-6
+#: A leaf's quantiles have a rank error of at most one part in so many.
+ACCURACY = 10_000
 
 
 def _assembled(df: DataFrame, columns: list[Column], names: list[str]) -> DataFrame:
@@ -33,44 +32,6 @@ def _result(model_out: DataFrame, df: DataFrame, value: Column, out: str) -> Dat
     return model_out.select(*[c for c in df.columns if c != out], value.alias(out))
 
 
-def _diverged(error: Py4JJavaError) -> bool:
-    """A failed numeric requirement or a singular system, not a lost executor or a full memory."""
-    return any(name in str(error) for name in ("IllegalArgumentException", "AssertionError", "SingularMatrixException"))
-
-
-def fit_glm(train: DataFrame, features: list[str], target: Column, family: str, power: float | None = None,
-            floor: float | None = None, penalties: tuple[float, ...] = (1e-3, 1e-2, 1e-1, 1.0),
-            max_iter: int = 25) -> Predictor:
-    """Log-link gamma / Poisson / Tweedie mean model on standardised inputs.
-
-    Reweighted least squares can diverge on heavy-tailed outcomes; the fit then moves to
-    the next larger penalty, with a warning, and fails only with the last one.  The result's
-    ``penalty`` is the one that was used; any other failure is passed on.
-    """
-    scaler = fit_scaler(train, fit_imputer(train, features, indicators=True))
-    y = F.greatest(target, F.lit(floor)) if floor is not None else target
-    data = _assembled(train.withColumn("_y", y), scaler.columns(), scaler.imputer.names).select("_features", "_y")
-    data = stage(data, "glm-train")
-    kind = {"family": "tweedie", "variancePower": power, "linkPower": 0.0} if family == "tweedie" \
-        else {"family": family, "link": "log"}
-    for reg in penalties:
-        learner = GeneralizedLinearRegression(
-            featuresCol="_features", labelCol="_y", predictionCol="_p", regParam=reg, maxIter=max_iter, **kind)
-        try:
-            model = learner.fit(data)
-            break
-        except Py4JJavaError as error:
-            if reg == penalties[-1] or not _diverged(error):
-                raise
-            warnings.warn(f"{family} fit diverges at penalty {reg:g}", RuntimeWarning, stacklevel=2)
-
-    def predict(df: DataFrame, out: str) -> DataFrame:
-        scored = model.transform(_assembled(df, scaler.columns(), scaler.imputer.names))
-        return _result(scored, df, F.greatest("_p", F.lit(0.0)), out)
-    predict.penalty = reg
-    return predict
-
-
 def _tree_features(train: DataFrame, imputer: Imputer, by_symbol: bool):
     """Assembler for trees: imputed columns plus the symbol as a categorical input.
 
@@ -106,31 +67,41 @@ def fit_boosted_trees(train: DataFrame, features: list[str], target: Column, by_
 
 def fit_quantile_forest(train: DataFrame, features: list[str], target: Column, levels: list[float],
                         row_keys: list[str], by_symbol: bool = True, trees: int = 10, depth: int = 5,
-                        min_leaf: int = 20, seed: int = 42) -> Predictor:
-    """Conditional quantiles: exact quantiles of the training outcome in every leaf, averaged over trees."""
+                        min_leaf: int = 20, seed: int = 42, accuracy: int = ACCURACY) -> Predictor:
+    """Conditional quantiles: quantiles of the training outcome in every leaf, averaged over trees.
+
+    A leaf's quantiles come from a summary that tasks build of their own rows and Spark merges, so what is shuffled grows with
+    leaves and tasks, not with rows x trees.  A quantile is an outcome of the leaf whose rank is within n / ``accuracy`` of
+    the wanted one.  The leaf table, trees x 2^depth x levels numbers, is set by the parameters; it goes along as
+    one row, so a prediction is an expression over the row's leaves.
+    """
     assemble, categories = _tree_features(train, fit_imputer(train, features, indicators=True), by_symbol)
     data = stage(assemble(train.withColumn("_y", target)).select("_features", "_y"), "forest-train")
     model = RandomForestRegressor(
         featuresCol="_features", labelCol="_y", leafCol="_leaf", numTrees=trees, maxDepth=depth,
         minInstancesPerNode=min_leaf, seed=seed, maxBins=max(32, categories or 0)).fit(data)
-
-    def leaves(df: DataFrame, keep: list[str]) -> DataFrame:
-        scored = model.transform(df)
-        return scored.select(*keep, F.posexplode(vector_to_array("_leaf")).alias("tree", "leaf"))
-
-    at_leaf = quantiles(leaves(data, ["_y"]), ["tree", "leaf"], "_y", levels)
-    table = stage(
-        at_leaf.groupBy("tree", "leaf").agg(F.transform(
-            F.array_sort(F.collect_list(F.struct("prob", "quantile"))), lambda x: x["quantile"]).alias("_q")),
-        "leaf-quantiles")
+    table = stage(leaf_table(model.transform(data).select(vector_to_array("_leaf").alias("_leaf"), "_y"), levels, accuracy), "leaf-quantiles")
 
     def predict(df: DataFrame, out: str) -> DataFrame:
-        hit = leaves(assemble(df), row_keys).join(table, ["tree", "leaf"])
-        mean = hit.groupBy(*row_keys).agg(F.array(*[F.avg(F.col("_q")[i]) for i in range(len(levels))]).alias(out))
-        return df.join(mean, row_keys, "left")
+        scored = model.transform(assemble(df)).withColumn("_leaves", vector_to_array("_leaf"))
+        hit = F.transform("_leaves", lambda leaf, tree: F.try_element_at(
+            F.try_element_at("_table", tree), leaf.cast("int")))
+        known = F.filter(hit, lambda q: q.isNotNull())
+        mean = F.transform(F.sequence(F.lit(0), F.lit(len(levels) - 1)), lambda i: F.aggregate(
+            known, F.lit(0.0), lambda total, q: total + F.get(q, i), lambda total: total / F.size(known)))
+        return _result(scored.crossJoin(F.broadcast(table)), df, mean, out)
     return predict
 
 
+def leaf_table(leaves: DataFrame, levels: list[float], accuracy: int = ACCURACY) -> DataFrame:
+    """One row with ``_table``, a map from tree to a map from leaf to its quantiles; ``leaves`` has (_leaf, _y)."""
+    placed = leaves.select("_y", F.posexplode("_leaf").alias("tree", "leaf")).where("_y is not null")
+    per_leaf = placed.groupBy("tree", F.col("leaf").cast("int").alias("leaf")).agg(
+        F.percentile_approx("_y", [float(p) for p in levels], accuracy).alias("q"))
+    per_tree = per_leaf.groupBy("tree").agg(F.map_from_entries(F.collect_list(F.struct("leaf", "q"))).alias("at"))
+    return per_tree.agg(F.map_from_entries(F.collect_list(F.struct("tree", "at"))).alias("_table"))
+
+
 def fit_logistic(train: DataFrame, features: list[str], label: str, c: float = 1.0, max_iter: int = 200) -> Predictor:
     """L2 logistic regression on standardised inputs; ``c`` is the inverse penalty of the summed loss."""
     scaler = fit_scaler(train, fit_imputer(train, features, indicators=True))

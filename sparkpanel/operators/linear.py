@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .calendar import chronological_cut
@@ -61,26 +61,48 @@ def fit_imputer(df: DataFrame, features: list[str], indicators: bool = False) ->
     return Imputer(tuple(features), fill, flagged)
 
 
-def cross_products(df: DataFrame, columns: list[Column]) -> np.ndarray:
-    """Z'Z of the given columns over all rows."""
+def column_matrix(batch: pa.RecordBatch) -> np.ndarray:
+    """Rows of numeric columns as a matrix; a missing value is NaN."""
+    return np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]) if batch.num_rows else np.zeros((0, batch.num_columns))
+
+
+def grouped_products(df: DataFrame, columns: list[Column], group: Column, groups: int) -> np.ndarray:
+    """(groups, k, k) cross products Z'Z of the given columns, by a group number; rows without one count nowhere.
+
+    Tasks hold one matrix per group; what reaches the driver is set by columns and groups.
+    """
     k = len(columns)
     upper = np.triu_indices(k)
+    size = len(upper[0])
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((k, k))
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((groups, k, k))
         for batch in batches:
-            if len(batch):
-                z = np.vstack(batch["z"].to_numpy())
-                total += z.T @ z
-        yield pd.DataFrame({"i": upper[0], "j": upper[1], "v": total[upper]})
-
-    cells = df.select(F.array(*columns).alias("z")).mapInPandas(partial, "i int, j int, v double")
-    out = np.zeros((k, k))
-    for r in cells.groupBy("i", "j").agg(F.sum("v").alias("v")).collect():
-        out[r.i, r.j] = out[r.j, r.i] = r.v
+            rows = column_matrix(batch)
+            at, z = rows[:, 0].astype(int), rows[:, 1:]
+            for g in np.unique(at).tolist():
+                part = z[at == g]
+                total[g] += part.T @ part
+        seen = np.flatnonzero(total[:, 0, 0] != 0) if k else np.zeros(0, int)
+        values = total[seen][:, upper[0], upper[1]]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(seen, size).astype(np.int32)), pa.array(np.tile(np.arange(size, dtype=np.int32), len(seen))), pa.array(values.ravel())],
+            names=["g", "at", "v"])
+
+    wide = df.where(group.isNotNull()).select(group.cast("double").alias("_g"), *[c.cast("double").alias(f"_z{i}") for i, c in enumerate(columns)])
+    cells = wide.mapInArrow(partial, "g int, at int, v double").groupBy("g", "at").agg(F.sum("v").alias("v"))
+    out = np.zeros((groups, k, k))
+    for r in cells.collect():
+        i, j = upper[0][r["at"]], upper[1][r["at"]]
+        out[r.g, i, j] = out[r.g, j, i] = r.v
     return out
 
 
+def cross_products(df: DataFrame, columns: list[Column]) -> np.ndarray:
+    """Z'Z of the given columns over all rows; the first column is never 0."""
+    return grouped_products(df, columns, F.lit(0), 1)[0]
+
+
 @dataclass(frozen=True)
 class Products:
     """Cross products of [1, centred features, target] over a set of rows.
@@ -173,3 +195,70 @@ def choose_alpha(df: DataFrame, features: list[str], target: Column, alphas: lis
 
 def fit_ridge_grid(df: DataFrame, features: list[str], target: Column, alphas: list[float]) -> Ridge:
     return fit_ridge(df, features, target, choose_alpha(df, features, target, alphas))
+
+
+# ---- expanding folds in one pass -----------------------------------------------------
+@dataclass(frozen=True)
+class GapProducts:
+    """Cross products of [1, features or 0, gap marks, target], from which those for any fill values follow.
+
+    Features are less a common centre, which keeps the sums well scaled.
+    """
+
+    centre: np.ndarray
+    z: np.ndarray
+
+    def filled(self, fill: np.ndarray) -> Products:
+        """Products of [1, features less their fill value, target] with gaps at the fill value."""
+        k, shift = len(fill), fill - self.centre
+        t = np.zeros((k + 2, 2 * k + 2))
+        t[0, 0] = t[-1, -1] = 1
+        here = np.arange(k)
+        t[1 + here, 1 + here], t[1 + here, 0], t[1 + here, 1 + k + here] = 1, -shift, shift
+        return Products(t @ self.z @ t.T)
+
+    def __sub__(self, other: "GapProducts") -> "GapProducts":
+        return GapProducts(self.centre, self.z - other.z)
+
+
+def medians_up_to(df: DataFrame, columns: list[str], bounds: list) -> np.ndarray:
+    """(bounds, columns) exact medians of the rows up to each date; 0 for a column without any value."""
+    sets = F.explode(F.array_compact(F.array(*[F.when(F.col("pred_date") <= F.lit(b), F.lit(i)) for i, b in enumerate(bounds)])))
+    entries = F.explode(F.array(*[
+        F.struct(F.lit(i).alias("at"), F.col(c).cast("double").alias("value")) for i, c in enumerate(columns)]))
+    long = df.select(sets.alias("upto"), *dict.fromkeys(columns)).select("upto", entries.alias("e")).select("upto", "e.*").where("value is not null")
+    out = np.zeros((len(bounds), len(columns)))
+    for r in quantiles(long, ["upto", "at"], "value", [0.5]).collect():
+        out[r.upto, r["at"]] = r["quantile"]
+    return out
+
+
+def gap_products_up_to(df: DataFrame, features: list[str], target: Column, bounds: list, centre: np.ndarray) -> list[GapProducts]:
+    """Products of the rows up to each of the rising dates: one pass by interval, then running sums."""
+    interval = reduce(lambda later, i: F.when(F.col("pred_date") <= F.lit(bounds[i]), F.lit(i)).otherwise(later),
+                      range(len(bounds) - 1, -1, -1), F.lit(None))
+    present = [F.coalesce(F.col(c).cast("double") - F.lit(float(m)), F.lit(0.0)) for c, m in zip(features, centre)]
+    columns = [F.lit(1.0), *present, *[F.col(c).isNull().cast("double") for c in features], target.cast("double")]
+    return [GapProducts(centre, z) for z in grouped_products(df, columns, interval, len(bounds)).cumsum(0)]
+
+
+def fit_ridge_folds(df: DataFrame, ends: list, features: list[str], target: Column, alphas: list[float],
+                    fraction: float = 0.8) -> list[Ridge]:
+    """``fit_ridge_grid`` on the rows up to each of the rising dates ``ends``, from one pass over all rows.
+
+    Each set's inner cut is one more date, so the sets' early and late rows are differences of running sums.
+    """
+    cuts = [chronological_cut(df.where(F.col("pred_date") <= F.lit(end)), fraction).first().cut.date() for end in ends]
+    bounds = sorted({*ends, *cuts})
+    at = {b: i for i, b in enumerate(bounds)}
+    medians = medians_up_to(df, features, bounds)
+    upto = gap_products_up_to(df, features, target, bounds, medians[-1])
+    models = []
+    for end, cut in zip(ends, cuts):
+        whole, early = upto[at[end]], upto[at[cut]]
+        fit, check = early.filled(medians[at[cut]]), (whole - early).filled(medians[at[cut]])
+        errors = [check.mean_squared_error(*fit.solve(a)) for a in alphas] if check.rows else [0.0] * (len(alphas) - 1) + [-1.0]
+        alpha = alphas[int(np.argmin(errors))]
+        weights, intercept = whole.filled(medians[at[end]]).solve(alpha)
+        models.append(Ridge(Imputer(tuple(features), dict(zip(features, medians[at[end]].tolist()))), weights, intercept, alpha))
+    return models

@@ -8,7 +8,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import calibration as calib, learners, linear
+from ..operators import calibration as calib, glm, learners, linear
 from ..operators.quality import require_finite
 from ..sources.staging import stage
 
@@ -54,16 +54,35 @@ def fit_trailing(train: DataFrame, features: list[str], cfg: MagnitudeConfig) ->
     return lambda df, out: df.withColumn(out, F.col("mag_mean_20"))
 
 
-def _ridge(inputs: Callable[[list[str]], list[str]]):
-    def fit(train: DataFrame, features: list[str], cfg: MagnitudeConfig) -> learners.Predictor:
-        model = linear.fit_ridge_grid(train, inputs(features), F.log1p(TARGET), list(cfg.ridge_alphas))
+@dataclass(frozen=True)
+class RidgeCandidate:
+    """Ridge of log1p(y) with smearing; ``inputs`` picks its columns from the panel's."""
+
+    inputs: Callable[[list[str]], list[str]]
+
+    def __call__(self, train: DataFrame, features: list[str], cfg: MagnitudeConfig) -> learners.Predictor:
+        model = linear.fit_ridge_grid(train, self.inputs(features), F.log1p(TARGET), list(cfg.ridge_alphas))
         return _smeared(train, lambda df, out: df.withColumn(out, model.predict()))
-    return fit
+
+    def over_folds(self, train: DataFrame, folds: list, features: list[str], cfg: MagnitudeConfig) -> learners.Predictor:
+        """The fold's own model for the rows of each fold: all folds are fitted, smeared and applied in one pass each."""
+        ends = [f.train_end for f in folds]
+        models = linear.fit_ridge_folds(train, ends, self.inputs(features), F.log1p(TARGET), list(cfg.ridge_alphas))
+        factors = train.select("pred_date", F.log1p(TARGET).alias("_y"), *[m.predict().alias(f"_p{i}") for i, m in enumerate(models)]).agg(*[
+            calib.smearing_factor("_y", F.when(F.col("pred_date") <= F.lit(end), F.col(f"_p{i}"))).alias(f"s{i}") for i, end in enumerate(ends)]).first()
+
+        def run(df: DataFrame, out: str) -> DataFrame:
+            value = F.lit(None).cast("double")
+            for i, (f, model) in enumerate(zip(folds, models)):
+                mine = F.col("pred_date").between(F.lit(f.predict_start), F.lit(f.predict_end))
+                value = F.when(mine, calib.from_log1p(model.predict(), float(factors[f"s{i}"]))).otherwise(value)
+            return df.withColumn(out, value)
+        return run
 
 
 def _glm(family: str, power: float | None = None, floor: float | None = None):
     def fit(train: DataFrame, features: list[str], cfg: MagnitudeConfig) -> learners.Predictor:
-        return learners.fit_glm(train, features, F.col(TARGET), family, power, floor)
+        return glm.fit_glm(train, features, F.col(TARGET), family, power, floor)
     return fit
 
 
@@ -87,12 +106,12 @@ def candidates(cfg: MagnitudeConfig) -> dict[str, Callable]:
     """name -> fit(train, features, cfg); extend or subset the dictionary to change the tournament."""
     out = {
         BASELINE: fit_trailing,
-        "M1_harx_ridge_smear": _ridge(lambda cols: RIDGE_INPUTS),
+        "M1_harx_ridge_smear": RidgeCandidate(lambda cols: RIDGE_INPUTS),
         "M2_gamma": _glm("gamma", floor=GAMMA_FLOOR),
         "M4_trees_logl2_smear": fit_log_trees,
         "M6_trees_l2_direct": fit_direct_trees,
         "M7_poisson": _glm("poisson"),
-        "M8_harx_full_ridge": _ridge(lambda cols: cols),
+        "M8_harx_full_ridge": RidgeCandidate(lambda cols: cols),
         "S_quantile45_shadow": fit_shadow_quantile,
     }
     for p in cfg.tweedie_powers:
@@ -128,19 +147,25 @@ def oof_forecasts(train: DataFrame, folds: DataFrame, registry: dict[str, Callab
                   cfg: MagnitudeConfig) -> DataFrame:
     """Long out-of-fold forecasts (model, pred_date, symbol, pred, outcome, baseline).
 
-    ``train`` should be a staged table: each fold is a date filter pushed to its scan.
+    ``train`` should be a staged table: each fold is a date filter pushed to its scan.  Candidates that can fit all
+    folds in one pass (``over_folds``) do so.
     """
-    jobs = []
+    jobs, usable, at_once = [], [], {n: f for n, f in registry.items() if hasattr(f, "over_folds")}
     for fold in folds.orderBy("fold").collect():  # a handful of rows: the fold definitions
         past = train.where(F.col("pred_date") <= F.lit(fold.train_end))
         rows = train.where(F.col("pred_date").between(F.lit(fold.predict_start), F.lit(fold.predict_end)))
         if past.count() < cfg.min_train_rows:
             continue
+        usable.append(fold)
         for name, fit in registry.items():
-            jobs.append(lambda past=past, rows=rows, name=name, fit=fit:
-                        _scored(fit(past, features, cfg), rows, name))
-    if not jobs:
+            if name not in at_once:
+                jobs.append(lambda past=past, rows=rows, name=name, fit=fit:
+                            _scored(fit(past, features, cfg), rows, name))
+    if not usable:
         raise ValueError("no fold has enough training rows")
+    ranges = reduce(lambda a, b: a | b, [F.col("pred_date").between(F.lit(f.predict_start), F.lit(f.predict_end)) for f in usable])
+    jobs += [lambda name=name, fit=fit: _scored(fit.over_folds(train, usable, features, cfg), train.where(ranges), name)
+             for name, fit in at_once.items()]
     return _union(_in_parallel(jobs, cfg.parallel_fits))
 
 

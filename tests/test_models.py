@@ -6,7 +6,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from sparkpanel.operators import learners, linear
+from sparkpanel.operators import glm as glms, learners, linear
+from sparkpanel.operators.glm import fit_glm
 from sparkpanel.operators.isotonic import fit_isotonic
 
 
@@ -86,7 +87,7 @@ def test_trees_and_glm_beat_the_mean(data):
     pdf, df = data
     sse = lambda out: out.agg(F.avg((F.col("p") - F.col("y")) ** 2)).first()[0]
     tree = learners.fit_boosted_trees(df, ["a", "b", "c"], F.col("y"), max_iter=5, depth=3)
-    glm = learners.fit_glm(df, ["a", "b", "c"], F.col("y"), "tweedie", 1.5)
+    glm = fit_glm(df, ["a", "b", "c"], F.col("y"), "tweedie", 1.5)
     for fit in (tree, glm):
         out = fit(df, "p")
         assert out.count() == len(pdf) and sse(out) < pdf.y.var() * 0.8
@@ -104,30 +105,91 @@ def test_quantile_forest_is_ordered(data):
     assert 0.65 < inside < 0.95
 
 
-def test_glm_passes_other_failures_on(data, monkeypatch):
-    from py4j.protocol import Py4JJavaError
-
-    class Lost(Py4JJavaError):
-        def __init__(self, text):
-            self.text = text
-
-        def __str__(self):
-            return self.text
-
-    fits = []
-
-    def failing(text):
-        def fit(self, rows):
-            fits.append(self.getRegParam())
-            raise Lost(text)
-        return fit
-
+@pytest.mark.parametrize("power", [1.0, 1.1, 1.5, 2.0])
+def test_glm_is_the_minimum_and_its_deviance_never_rises(data, power):
+    pdf, df = data
+    rng = np.random.default_rng(7)
+    wild = pdf.assign(y=np.where(rng.random(len(pdf)) < 0.1, 0.0 if power < 2 else 1e-4, np.exp(3 * pdf.a.fillna(0) + rng.standard_t(2, len(pdf)))))
+    mean = glms.Mean(power, 1e-4 if power == 2 else None, 0.01)
+    spark = df.sparkSession
+    model = glms.fit_means(spark.createDataFrame(wild[["a", "b", "c", "y"]].astype(object).where(wild[["a", "b", "c", "y"]].notna(), None), "a double, b double, c double, y double"), ["a", "b", "c"], F.col("y"), {"m": mean})["m"]
+    fit = model.fit
+    assert fit.converged and model.penalty == 0.01 and len(fit.deviances) > 2
+    assert all(a >= b for a, b in zip(fit.deviances, fit.deviances[1:]))
+    filled = np.column_stack([wild[c].fillna(wild[c].median()) for c in "abc"] + ([wild.a.isna()] if wild.a.isna().any() else []))
+    z = np.column_stack([np.ones(len(wild)), (filled - filled.mean(0)) / filled.std(0)]).astype(float)
+    y = np.maximum(wild.y.to_numpy(), mean.floor or 0)
+    def cost(w):
+        return glms.unit_deviance(y, np.exp(z @ w), power).sum() + len(y) * 0.01 * (w[1:] ** 2).sum()
+    assert cost(fit.weights) == pytest.approx(fit.deviances[-1], rel=1e-9)
+    for k in range(z.shape[1]):
+        for step in (1e-3, -1e-3):
+            moved = fit.weights.copy()
+            moved[k] += step
+            assert cost(moved) >= cost(fit.weights) * (1 - 1e-9)
+
+
+def test_means_of_a_call_share_their_passes(data):
     _, df = data
-    monkeypatch.setattr(learners.GeneralizedLinearRegression, "fit", failing("ExecutorLostFailure"))
-    with pytest.raises(Py4JJavaError):
-        learners.fit_glm(df, ["a"], F.col("y"), "gamma", floor=0.01, penalties=(0.001, 0.1))
-    assert fits == [0.001]
-    monkeypatch.setattr(learners.GeneralizedLinearRegression, "fit", failing("java.lang.AssertionError: assertion failed"))
-    with pytest.warns(RuntimeWarning), pytest.raises(Py4JJavaError):
-        learners.fit_glm(df, ["a"], F.col("y"), "gamma", floor=0.01, penalties=(0.001, 0.1))
-    assert fits == [0.001, 0.001, 0.1]
+    means = {"poisson": glms.Mean(1.0), "gamma": glms.Mean(2.0, 1e-4)}
+    both = glms.fit_means(df, ["a", "b"], F.col("y"), means)
+    for name, mean in means.items():
+        alone = glms.fit_means(df, ["a", "b"], F.col("y"), {name: mean})[name]
+        assert np.allclose(both[name].fit.weights, alone.fit.weights)
+
+
+def test_leaf_summaries_keep_their_rank_error(spark):
+    rng = np.random.default_rng(4)
+    leaf, y = rng.integers(0, 4, (3000, 2)), rng.normal(size=3000)
+    levels, accuracy = [0.05, 0.5, 0.95], 100
+    rows = spark.createDataFrame([([float(a), float(b)], float(v)) for (a, b), v in zip(leaf, y)], "_leaf array<double>, _y double")
+    table = learners.leaf_table(rows.repartition(5), levels, accuracy).first()._table
+    assert len(table) == 2
+    for tree, at in table.items():
+        assert set(at) == {0, 1, 2, 3}
+        for k, got in at.items():
+            here = np.sort(y[leaf[:, tree] == k])
+            for p, q in zip(levels, got):
+                assert q in here and abs(np.searchsorted(here, q) + 1 - p * len(here)) <= len(here) / accuracy + 1
+
+
+def test_ridge_of_all_folds_in_one_pass(data):
+    pdf, df = data
+    alphas, features = [0.1, 10.0, 1000.0], ["a", "b", "c", "empty"]
+    ends = [date(2024, 1, 1) + timedelta(days=d) for d in (40, 60, 99)]
+    for end, model in zip(ends, linear.fit_ridge_folds(df, ends, features, F.col("y"), alphas)):
+        past = df.where(F.col("pred_date") <= F.lit(end))
+        alone = linear.fit_ridge_grid(past, features, F.col("y"), alphas)
+        assert model.alpha == alone.alpha and model.imputer.fill == pytest.approx(alone.imputer.fill)
+        assert np.allclose(model.weights, alone.weights) and model.intercept == pytest.approx(alone.intercept)
+
+
+def test_non_negative_weights_of_many_forecasts():
+    from itertools import combinations
+
+    from sparkpanel.operators.calibration import nonnegative_weights
+
+    rng = np.random.default_rng(3)
+
+    def exhaustive(gram, target):
+        best, low = np.zeros(len(target)), 0.0
+        for size in range(1, len(target) + 1):
+            for s in map(list, combinations(range(len(target)), size)):
+                w = np.linalg.lstsq(gram[np.ix_(s, s)], target[s], rcond=None)[0]
+                cost = w @ gram[np.ix_(s, s)] @ w - 2 * w @ target[s]
+                if (w >= 0).all() and cost < low:
+                    low, best = cost, np.zeros(len(target))
+                    best[s] = w
+        return best
+
+    for trial in range(60):
+        k = int(rng.integers(1, 7))
+        x, y = rng.normal(size=(50, k)) + rng.normal(), rng.normal(size=50)
+        assert np.allclose(nonnegative_weights(x.T @ x, x.T @ y), exhaustive(x.T @ x, x.T @ y), atol=1e-8)
+    x = np.abs(rng.normal(size=(500, 40)))
+    y = x @ np.r_[np.ones(10), np.zeros(30)] + rng.normal(size=500)
+    w = nonnegative_weights(x.T @ x, x.T @ y)
+    slope = x.T @ y - x.T @ x @ w
+    assert (w >= 0).all() and np.abs(slope[w > 0]).max() < 1e-6 and slope[w == 0].max() < 1e-6
+    twin = np.column_stack([x[:, 0], x[:, 0]])
+    assert nonnegative_weights(twin.T @ twin, twin.T @ y).sum() > 0 and (nonnegative_weights(np.eye(2), -np.ones(2)) == 0).all()
