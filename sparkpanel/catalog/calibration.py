@@ -134,16 +134,37 @@ def blend_gram(spark, sf):
     return rounded(calib.gram_table(train, MODELS, "actual_magnitude_pct"), 2)
 
 
-@query("blend_weights")
+def _descent_sql(k: int, rounds: int) -> str:
+    """Non-negative weights by coordinate descent on the cross products g{i}{j} and t{i} of the CTE ``gram``."""
+    turn = [f"CASE WHEN n % {k} = {i} THEN greatest((t{i} - ({' + '.join(f'g{min(i, j)}{max(i, j)} * w{j}' for j in range(k) if j != i)})) / g{i}{i}, 0) ELSE w{i} END"
+            for i in range(k)]
+    zeros = ", ".join(f"0.0::DOUBLE AS w{i}" for i in range(k))
+    return (f"descent AS (SELECT 0 AS n, {zeros} UNION ALL SELECT n + 1, {', '.join(turn)} FROM descent, gram WHERE n < {rounds})")
+
+
+_GRAM = ", ".join([f"sum({a} * {b}) AS g{i}{j}" for i, a in enumerate(MODELS) for j, b in enumerate(MODELS) if j >= i]
+                  + [f"sum({a} * actual_magnitude_pct) AS t{i}" for i, a in enumerate(MODELS)])
+_COMPLETE = " AND ".join(f"{m} IS NOT NULL" for m in [*MODELS, "actual_magnitude_pct"])
+
+
+@query("blend_weights", with_(FORECASTS + f""",
+gram AS (SELECT {_GRAM} FROM forecasts WHERE split = 'train' AND {_COMPLETE}),
+""" + _descent_sql(len(MODELS), 4_000) + f""",
+w AS (SELECT {", ".join(f"round_even(w{i} / ({' + '.join(f'w{j}' for j in range(len(MODELS)))}), 4) AS w{i}" for i in range(len(MODELS)))}
+  FROM descent WHERE n = 4000)""", f"""
+SELECT {", ".join(f"any_value(w{i}) AS weight_{m}" for i, m in enumerate(MODELS))},
+  round(1 - sum(abs({" + ".join(f"w{i} * {m}" for i, m in enumerate(MODELS))} - actual_magnitude_pct)) / sum(actual_magnitude_pct), 6) AS blend_score,
+  round(1 - sum(abs(mag_mean_20 - actual_magnitude_pct)) / sum(actual_magnitude_pct), 6) AS baseline_score
+FROM forecasts, w WHERE split = 'valid'""").replace("WITH ", "WITH RECURSIVE ", 1))
 def blend_weights(spark, sf):
     """Non-negative weights of the four forecasts and the error of the blend on validation."""
     rows = stage(forecasts(spark, sf), "forecasts")
     weights = calib.blend_weights(rows.where("split = 'train'"), MODELS, "actual_magnitude_pct")
     valid = rows.where("split = 'valid'").withColumn("blend", calib.blended(weights))
-    return valid.agg(
+    return rounded(valid.agg(
         *[F.lit(w).alias(f"weight_{m}") for m, w in weights.items()],
         met.magnitude_score("blend", "actual_magnitude_pct").alias("blend_score"),
-        met.magnitude_score("mag_mean_20", "actual_magnitude_pct").alias("baseline_score"))
+        met.magnitude_score("mag_mean_20", "actual_magnitude_pct").alias("baseline_score")))
 
 
 @query("smearing", with_(FORECASTS + """,

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import calendar as cal, cross_section as cs, intraday, learners, linear, metrics as met, selection
+from ..operators import calendar as cal, cross_section as cs, glm, intraday, learners, linear, metrics as met, selection
 from ..plans import confidence as conf, direction as dirn, final, magnitude as mag
 from ..plans.panel import build_panel, feature_panel
 from ..sources import tables
@@ -12,9 +12,9 @@ from .registry import query, rounded
 from .sql import FACTS_PANEL, SCORED, SESSIONS, round_all, with_
 
 TREE = dict(max_iter=5, depth=3, step=0.2, min_leaf=50)
-FOREST = dict(trees=3, depth=4, min_leaf=50)
+FOREST = dict(trees=20, depth=6, min_leaf=200)
 MCFG = mag.MagnitudeConfig(tree=TREE, forest=FOREST, min_train_rows=1000)
-DCFG = dirn.DirectionConfig(tree=TREE, forest=FOREST, draws=500)
+DCFG = dirn.DirectionConfig(tree=TREE, forest=FOREST | dict(min_leaf=300))
 INPUTS = ["mag_lag_1", "mag_mean_5", "mag_mean_20", "mag_mean_60", "mag_ewm_20", "mag_std_20", "range_pct",
           "close_location", "mkt_ret_oc", "mkt_on_lag_1", "on_mean_20", "cs_rank_range_pct", "history_count"]
 
@@ -157,31 +157,38 @@ def oof_ridge(spark, sf):
 
 @query("oof_glm_family")
 def oof_glm_family(spark, sf):
+    """Gamma, Poisson and three Tweedie means over all folds and inputs."""
     panel = model_panel(spark, sf)
-    registry = mag.candidates(MCFG)
-    names = ["M2_gamma", "M3_tweedie_1.1", "M3_tweedie_1.3", "M3_tweedie_1.5", "M7_poisson"]
-    oof = mag.oof_forecasts(panel.where("split = 'train'"), model_folds(panel, 1), {n: registry[n] for n in names},
-                            INPUTS, MCFG)
+    registry = {n: f for n, f in mag.candidates(MCFG).items() if isinstance(f, mag.MeanCandidate)}
+    oof = mag.oof_forecasts(panel.where("split = 'train'"), model_folds(panel), registry, cs.feature_columns(panel), MCFG)
     return model_report(oof, ["model"])
 
 
+@query("glm_deviance")
+def glm_deviance(spark, sf):
+    """Penalised deviance of each round of the five fits on train; it never rises."""
+    panel = model_panel(spark, sf)
+    means = {n: f.mean for n, f in mag.candidates(MCFG).items() if isinstance(f, mag.MeanCandidate)}
+    fits = glm.fit_means(panel.where("split = 'train'"), INPUTS, F.col(mag.TARGET), means)
+    rows = [(n, m.fit.mean.power, m.penalty, i, float(d), bool(m.fit.converged)) for n, m in fits.items() for i, d in enumerate(m.fit.deviances)]
+    return spark.createDataFrame(rows, "model string, power double, penalty double, round int, deviance double, converged boolean")
+
+
 @query("oof_tree")
 def oof_tree(spark, sf):
     panel = model_panel(spark, sf)
     registry = mag.candidates(MCFG)
     names = ["M4_trees_logl2_smear", "M6_trees_l2_direct", "S_quantile45_shadow"]
-    oof = mag.oof_forecasts(panel.where("split = 'train'"), model_folds(panel, 2), {n: registry[n] for n in names},
+    oof = mag.oof_forecasts(panel.where("split = 'train'"), model_folds(panel), {n: registry[n] for n in names},
                             INPUTS, MCFG)
     return model_report(oof, ["model"])
 
 
 @query("magnitude_tournament")
 def magnitude_tournament(spark, sf):
-    """Candidates, non-negative blend and the raw / calibrated validation table with the selected row marked."""
+    """All candidates, non-negative blend and the raw / calibrated validation table with the selected row marked."""
     panel = model_panel(spark, sf)
-    registry = {n: f for n, f in mag.candidates(MCFG).items() if n in (
-        mag.BASELINE, "M1_harx_ridge_smear", "M7_poisson", "M6_trees_l2_direct")}
-    result = mag.tournament(panel, model_folds(panel, 2), registry, INPUTS, MCFG)
+    result = mag.tournament(panel, model_folds(panel), mag.candidates(MCFG), INPUTS, MCFG)
     table = stage(result.table, "tournament")
     best = selection.select_magnitude(table).select("model", "variant", F.lit(True).alias("selected"))
     return table.join(best, ["model", "variant"], "left").na.fill(False, ["selected"])
@@ -213,19 +220,21 @@ def confidence_rows(spark, sf):
 
 @query("logistic_confidence")
 def logistic_confidence(spark, sf):
+    """All seven direction-confidence candidates side by side."""
     rows = confidence_rows(spark, sf)
-    return conf.direction_candidates(rows.where("split = 'train'"), rows.where("split = 'valid'"),
-                                     ["C0_constant", "C2_platt"])[0]
+    rows = rows.withColumns({c: F.lit(None).cast("double") for c in conf.DIRECTION_INPUTS if c not in rows.columns})
+    return conf.direction_candidates(rows.where("split = 'train'"), rows.where("split = 'valid'"))[0]
 
 
 @query("label_calibration")
 def label_calibration(spark, sf):
-    """Platt calibration of the quality label on the document length, with its calibration report."""
+    """Platt calibration of the quality label on the document length, fitted on four fifths of the documents by a hash of their id
+    and reported on the rest."""
     docs = tables.table(spark, sf, "documents").select("doc_id", F.log1p("n_chars").alias("length"))
     rows = tables.table(spark, sf, "labels").join(docs, "doc_id").select(
         "doc_id", "length", F.col("quality").cast("double").alias("quality"))
-    rows = stage(rows, "labels")
-    scored = learners.fit_logistic(rows, ["length"], "quality")(rows, "q")
+    rows = stage(rows.withColumn("rest", F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0), "labels")
+    scored = learners.fit_logistic(rows.where("not rest"), ["length"], "quality")(rows.where("rest"), "q")
     return met.calibration_report(scored, [], "q", "quality")
 
 

@@ -1,6 +1,8 @@
 """Integrity checks, the published interface and fingerprints."""
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions.columns import hash_fraction
@@ -247,33 +249,102 @@ def key_panel_equality(spark, sf):
     return qual.key_differences(rows, rows.where("mag_mean_60 is not null"), ["pred_date", "symbol"])
 
 
-FRACTIONS = {"l_quantity", "l_extendedprice", "l_discount", "l_tax", "p_retailprice", "value"}
-MOMENTS = {"l_shipdate", "ts"}
+# ---- fingerprints ---------------------------------------------------------------------
+def _exact_sql(x: str) -> str:
+    e = f"greatest(floor(log2(abs({x})) + 1e-9), -960)::BIGINT"
+    return (f"CASE WHEN {x} = 0 THEN CAST({x} AS VARCHAR) ELSE concat(CAST(({x} * pow(2.0, 53 - {e})) AS BIGINT), 'p', {e}) END")
+
+
+def _value_sql(c: str, kind: str) -> str:
+    if kind == "double":
+        return _exact_sql(c)
+    if kind == "floats":
+        return f"array_to_string([{_exact_sql('v::DOUBLE')} for v in {c}], ',')"
+    return f"CAST(epoch_us({c}) AS VARCHAR)" if kind == "moment" else f"CAST({c} AS VARCHAR)"
+
 
+def row_hash_sql(columns: dict[str, str]) -> str:
+    text = ", ".join(f"CASE WHEN {c} IS NULL THEN '~' ELSE concat(length({v}), ':', {v}) END"
+                     for c, kind in columns.items() for v in [_value_sql(c, kind)])
+    return f"CAST(('0x' || substr(md5(concat({text})), 1, 15)) AS BIGINT)"
 
-def _fingerprint_sql(table: str, columns: list[str]) -> str:
-    def value(c: str) -> str:
-        if c in FRACTIONS:
-            return f"CAST(CAST({c} AS DECIMAL(38,6)) AS VARCHAR)"
-        return f"CAST(epoch_us({c}) AS VARCHAR)" if c in MOMENTS else f"CAST({c} AS VARCHAR)"
 
-    text = ", ".join(f"CASE WHEN {c} IS NULL THEN '~' ELSE concat(length({value(c)}), ':', {value(c)}) END" for c in columns)
-    return (f"SELECT '{table}' AS \"table\", count(*) AS n_rows, CAST(sum(CAST(('0x' || substr(md5(concat({text})), "
-            f"1, 15)) AS BIGINT)) AS VARCHAR) AS hash_sum FROM {table}")
+def _columns(names: str, **kinds: str) -> dict[str, str]:
+    return {c: kinds.get(c, "plain") for c in names.split()}
 
 
 FINGERPRINTED = {
-    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
-                 "l_returnflag", "l_linestatus", "l_shipdate"],
-    "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"],
-    "events": ["event_id", "ts", "user_id", "event_type", "value", "props"],
+    "region": _columns("r_regionkey r_name"),
+    "nation": _columns("n_nationkey n_name n_regionkey"),
+    "customer": _columns("c_custkey c_name c_nationkey c_acctbal c_mktsegment", c_acctbal="double"),
+    "supplier": _columns("s_suppkey s_name s_nationkey s_acctbal", s_acctbal="double"),
+    "part": _columns("p_partkey p_name p_brand p_type p_size p_retailprice", p_retailprice="double"),
+    "orders": _columns("o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority", o_totalprice="double", o_orderdate="moment"),
+    "lineitem": _columns("l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate",
+                         l_quantity="double", l_extendedprice="double", l_discount="double", l_tax="double", l_shipdate="moment"),
+    "events": _columns("event_id ts user_id event_type value props", ts="moment", value="double"),
+    "documents": _columns("doc_id text lang source n_chars"),
+    "embeddings": _columns("vec_id embedding label", embedding="floats"),
+    "pages": _columns("page_id url html"),
+    "benchmark": _columns("item_id text"),
+    "labels": _columns("doc_id quality toxic"),
+    "conversations": _columns("conv_id turn role text"),
 }
 
 
-@query("dataset_fingerprint", "\nUNION ALL\n".join(_fingerprint_sql(t, c) for t, c in FINGERPRINTED.items()))
+def _fingerprint_sql(table: str, source: str | None = None) -> str:
+    return (f"SELECT '{table}' AS \"table\", count(*) AS n_rows, CAST(sum({row_hash_sql(FINGERPRINTED[table])}) AS VARCHAR) AS hash_sum "
+            f"FROM {source or table}")
+
+
+def fingerprints(spark, sf, names=FINGERPRINTED, **changed):
+    parts = [qual.fingerprint(changed.get(n, tables.table(spark, sf, n)), list(FINGERPRINTED[n])).select(F.lit(n).alias("table"), "*") for n in names]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@query("dataset_fingerprint", "\nUNION ALL\n".join(map(_fingerprint_sql, FINGERPRINTED)))
 def dataset_fingerprint(spark, sf):
-    out = None
-    for name, columns in FINGERPRINTED.items():
-        row = qual.fingerprint(tables.table(spark, sf, name), columns).select(F.lit(name).alias("table"), "*")
-        out = row if out is None else out.unionByName(row)
-    return out
+    """All given tables by the bits of their values."""
+    return fingerprints(spark, sf)
+
+
+LEAF, FAN = 512, 32
+
+
+@query("fingerprint_tree", f"""
+WITH RECURSIVE leaves AS (
+  SELECT CAST(floor(l_orderkey / {LEAF}) AS BIGINT) AS part, count(*) AS n_rows, sum({row_hash_sql(FINGERPRINTED['lineitem'])}) AS s
+  FROM lineitem GROUP BY 1),
+heights AS (SELECT 0 AS level, 1::BIGINT AS width, min(part) AS low, max(part) AS high FROM leaves
+  UNION ALL SELECT level + 1, width * {FAN}, CAST(floor(low / {FAN}) AS BIGINT), CAST(floor(high / {FAN}) AS BIGINT) FROM heights WHERE low < high)
+SELECT level, CAST(floor(part / width) AS BIGINT) AS part, CAST(sum(n_rows) AS BIGINT) AS n_rows, CAST(sum(s) AS VARCHAR) AS hash_sum
+FROM leaves, heights GROUP BY 1, 2""")
+def fingerprint_tree(spark, sf):
+    return qual.fingerprint_tree(tables.table(spark, sf, "lineitem"), list(FINGERPRINTED["lineitem"]), "l_orderkey", LEAF, FAN)
+
+
+def _last_bit(lines):
+    """Line items whose discount is larger by the last bit in one order of every thousand."""
+    touched = (F.col("l_orderkey") % 1000 == 7) & (F.col("l_discount") > 0)
+    return lines.withColumn("l_discount", F.when(touched, F.col("l_discount") * (1 + 2.0 ** -52)).otherwise(F.col("l_discount")))
+
+
+@query("fingerprint_changes", f"""
+SELECT CAST(floor(l_orderkey / {LEAF}) AS BIGINT) AS part, count(*) AS n_rows, count(*) AS stored_rows FROM lineitem
+GROUP BY 1 HAVING count(*) FILTER (l_orderkey % 1000 = 7 AND l_discount > 0) > 0""")
+def fingerprint_changes(spark, sf):
+    """Ranges of orders in which a change of the last bit is found."""
+    lines = tables.table(spark, sf, "lineitem")
+    tree = lambda t: qual.fingerprint_tree(t, list(FINGERPRINTED["lineitem"]), "l_orderkey", LEAF, FAN)
+    return qual.changed_parts(tree(_last_bit(lines)), tree(lines))
+
+
+@query("frozen_inputs", "SELECT t AS \"table\", CASE t WHEN 'lineitem' THEN CASE WHEN (SELECT count(*) FROM lineitem WHERE l_orderkey % 1000 = 7"
+       " AND l_discount > 0) > 0 THEN 'changed' ELSE 'frozen' END WHEN 'orders' THEN 'missing' WHEN 'part' THEN 'not stored'"
+       " ELSE 'frozen' END AS status FROM (SELECT unnest(['region', 'nation', 'events', 'lineitem', 'orders', 'part']) AS t)")
+def frozen_inputs(spark, sf):
+    """Stored fingerprints against tables of which one has changed, one is gone and one is new."""
+    stored = fingerprints(spark, sf, ["region", "nation", "events", "lineitem", "orders"])
+    current = fingerprints(spark, sf, ["region", "nation", "events", "lineitem", "part"],
+                           lineitem=_last_bit(tables.table(spark, sf, "lineitem")))
+    return qual.frozen_status(current, stored)

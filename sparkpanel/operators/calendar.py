@@ -18,10 +18,6 @@ class TestQuarantineError(RuntimeError):
     __test__ = False
 
 
-class DuplicateKeyError(ValueError):
-    """Raised when a lookup table has several rows for one key."""
-
-
 def session_calendar(daily: DataFrame, date_col: str = "date") -> DataFrame:
     """One row per observed session: session, session_idx (0-based), next_session.
 
@@ -41,11 +37,22 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1")
 
 
+def unique_rows(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` with a guard that travels with the plan: a key with several rows fails the job that reads its columns.
+
+    The rows of a key are counted where they are aggregated anyway, before a join on the key; nothing runs here.
+    """
+    rest = [c for c in df.columns if c not in keys]
+    one = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), F.any_value(F.struct(*rest, F.lit(1).alias("_one"))).alias("_row"))
+    names = F.concat_ws(", ", *[F.coalesce(F.col(k).cast("string"), F.lit("missing")) for k in keys])
+    failed = F.raise_error(F.concat(F.lit(f"several rows for {', '.join(keys)}: "), names)).cast(one.schema["_row"].dataType)
+    guarded = one.withColumn("_row", F.when(F.col("_rows") > 1, failed).otherwise(F.col("_row")))
+    return guarded.where("_row._one = 1").select(*[c if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns])
+
+
 def lookup_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Left join that insists on unique keys on the right side."""
-    if not duplicate_keys(right, keys).isEmpty():
-        raise DuplicateKeyError(f"right side is not unique on {keys}")
-    return left.join(right, keys, "left")
+    """Left join that insists on unique keys on the right side, whenever a plan reads one of its columns."""
+    return left.join(unique_rows(right, keys), keys, "left")
 
 
 def overnight_targets(daily: DataFrame, calendar: DataFrame) -> DataFrame:
@@ -57,10 +64,14 @@ def overnight_targets(daily: DataFrame, calendar: DataFrame) -> DataFrame:
     the window partitions are bounded by the number of sessions.
     """
     w = Window.partitionBy("symbol").orderBy("pred_date")
-    panel = daily.withColumnRenamed("date", "pred_date").join(
-        calendar.select(F.col("session").alias("pred_date"), F.col("next_session").alias("target_date")),
-        "pred_date", "left")
-    on_next = F.lead("pred_date").over(w) == F.col("target_date")
+    panel = lookup_join(
+        daily.withColumnRenamed("date", "pred_date"),
+        calendar.select(F.col("session").alias("pred_date"), F.col("next_session").alias("target_date")), ["pred_date"])
+    # the window sees copies of a key side by side
+    copied = F.coalesce(F.lag("pred_date").over(w) == F.col("pred_date"), F.lit(False))
+    refused = F.raise_error(F.concat(
+        F.lit("several rows for symbol, date: "), F.col("symbol"), F.lit(", "), F.col("pred_date").cast("string")))
+    on_next = F.when(copied, refused.cast("boolean")).otherwise(F.lead("pred_date").over(w) == F.col("target_date"))
     panel = panel.select(
         "*",
         F.when(on_next, F.lead("open").over(w)).alias("target_open"),

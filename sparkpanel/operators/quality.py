@@ -154,25 +154,90 @@ def target_mismatches(df: DataFrame, tolerance: float = 1e-12) -> DataFrame:
     return df.agg(F.count_if(bad).alias("mismatches"), F.count(a).alias("n_rows"))
 
 
-def fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Row count and a hash sum that do not depend on row order or partitioning.
+def exact_text(x: Column) -> Column:
+    """Text of a double that differs wherever a bit does: its integer mantissa and its power of two.
+
+    Scaling by a power of two is exact; the exponent comes with a bit to spare, so a logarithm that errs in its last place does
+    not matter.  Zeros keep their sign; what is not finite has its name.
+    """
+    plain = (x == 0) | F.isnan(x) | (F.abs(x) == float("inf"))
+    exponent = F.greatest(F.floor(F.log2(F.abs(x)) + 1e-9), F.lit(-960))
+    return F.when(plain, x.cast("string")).otherwise(F.concat(
+        (x * F.pow(F.lit(2.0), 53 - exponent)).cast("bigint").cast("string"), F.lit("p"), exponent.cast("string")))
+
+
+def row_hash(df: DataFrame, columns: list[str]) -> Column:
+    """A 60-bit number of the row.
 
     Each value's text comes after its length, so that no two rows read alike; a missing value has a mark of its own.
-    Numbers with fractions are taken to six places, moments as microseconds.
+    Numbers with fractions go by their bits, moments as microseconds, arrays entry by entry.
     """
     kinds = dict(df.dtypes)
 
-    def text(c: str) -> Column:
-        if kinds[c] in ("double", "float"):
-            return F.col(c).cast("decimal(38,6)").cast("string")
-        if kinds[c].startswith("timestamp"):
-            return F.unix_micros(F.col(c).cast("timestamp")).cast("string")
-        return F.col(c).cast("string")
-
-    mark = lambda c: F.when(F.col(c).isNull(), "~").otherwise(F.concat(F.length(text(c)), F.lit(":"), text(c)))
-    digest = F.md5(F.concat(*[mark(c) for c in columns]))
-    number = F.conv(F.substring(digest, 1, 15), 16, 10).cast("decimal(20,0)")
-    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(number).cast("string").alias("hash_sum"))
+    def text(value: Column, kind: str) -> Column:
+        if kind.startswith("array<"):
+            return F.array_join(F.transform(value, lambda v: F.coalesce(text(v, kind[6:-1]), F.lit("~"))), ",")
+        if kind in ("double", "float"):
+            return exact_text(value.cast("double"))
+        if kind.startswith("timestamp"):
+            return F.unix_micros(value.cast("timestamp")).cast("string")
+        return value.cast("string")
+
+    def mark(c: str) -> Column:
+        value = text(F.col(c), kinds[c])
+        return F.when(F.col(c).isNull(), "~").otherwise(F.concat(F.length(value), F.lit(":"), value))
+
+    return F.conv(F.substring(F.md5(F.concat(*[mark(c) for c in columns])), 1, 15), 16, 10).cast("decimal(20,0)")
+
+
+def fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Row count and a hash sum that do not depend on row order or partitioning."""
+    return df.select(row_hash(df, columns).alias("_number")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("_number").cast("string").alias("hash_sum"))
+
+
+def fingerprint_tree(df: DataFrame, columns: list[str], key: str, leaf: int = 1 << 10, fan: int = 1 << 5) -> DataFrame:
+    """(level, part, n_rows, hash_sum): fingerprints of ranges of an integer key.
+
+    Level 0 has ranges of ``leaf`` keys, each further level ``fan`` ranges of the one below in one, up to a single part.
+    Sums add up, so a level is an aggregate of the one below and rows are read once; rows without a key are part null.
+    """
+    base = stage(df.select(F.expr(f"floor({key} / {int(leaf)})").alias("part"), row_hash(df, columns).alias("_number")).groupBy("part").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("_number").alias("hash_sum")), "fingerprint-leaves")
+    levels, now, level = [], base, 0
+    while True:
+        levels.append(now.select(F.lit(level).alias("level"), F.col("part").cast("bigint").alias("part"), "n_rows",
+                                 F.col("hash_sum").cast("decimal(38,0)").cast("string").alias("hash_sum")))
+        bounds = now.agg(F.min("part"), F.max("part")).first()
+        if bounds[0] == bounds[1]:
+            break
+        now = stage(now.groupBy(F.expr(f"floor(part / {int(fan)})").alias("part")).agg(
+            F.sum("n_rows").alias("n_rows"), F.sum("hash_sum").alias("hash_sum")), "fingerprint-level")
+        level += 1
+    out = levels[0]
+    for more in levels[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def changed_parts(current: DataFrame, stored: DataFrame, level: int = 0) -> DataFrame:
+    """(part, n_rows, stored_rows) of the parts of a level that differ between two trees; missing on one side counts."""
+    a = current.where(F.col("level") == level).select("part", "n_rows", "hash_sum")
+    b = stored.where(F.col("level") == level).select(
+        F.col("part").alias("_part"), F.col("n_rows").alias("stored_rows"), F.col("hash_sum").alias("stored_sum"))
+    both = a.join(b, F.col("part").eqNullSafe(F.col("_part")), "full")
+    same = (F.col("hash_sum") == F.col("stored_sum")) & (F.col("n_rows") == F.col("stored_rows"))
+    return both.where(~F.coalesce(same, F.lit(False))).select(
+        F.coalesce("part", "_part").alias("part"), F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
+        F.coalesce("stored_rows", F.lit(0)).alias("stored_rows"))
+
+
+def frozen_status(current: DataFrame, stored: DataFrame) -> DataFrame:
+    """(table, status) of fingerprints (table, n_rows, hash_sum): frozen, changed, missing now or not stored."""
+    b = stored.select("table", F.col("n_rows").alias("_rows"), F.col("hash_sum").alias("_sum"))
+    status = F.when(F.col("_rows").isNull(), "not stored").when(F.col("n_rows").isNull(), "missing").when(
+        (F.col("n_rows") == F.col("_rows")) & (F.col("hash_sum").eqNullSafe(F.col("_sum"))), "frozen").otherwise("changed")
+    return current.join(b, "table", "full").select("table", status.alias("status"))
 
 
 class FrozenInputChanged(RuntimeError):

@@ -80,10 +80,14 @@ class RidgeCandidate:
         return run
 
 
-def _glm(family: str, power: float | None = None, floor: float | None = None):
-    def fit(train: DataFrame, features: list[str], cfg: MagnitudeConfig) -> learners.Predictor:
-        return glm.fit_glm(train, features, F.col(TARGET), family, power, floor)
-    return fit
+@dataclass(frozen=True)
+class MeanCandidate:
+    """Log-link mean of y; those of one fold are fitted in shared passes."""
+
+    mean: glm.Mean
+
+    def __call__(self, train: DataFrame, features: list[str], cfg: MagnitudeConfig) -> learners.Predictor:
+        return glm.fit_means(train, features, F.col(TARGET), {"mean": self.mean})["mean"]
 
 
 def fit_log_trees(train: DataFrame, features: list[str], cfg: MagnitudeConfig) -> learners.Predictor:
@@ -107,15 +111,15 @@ def candidates(cfg: MagnitudeConfig) -> dict[str, Callable]:
     out = {
         BASELINE: fit_trailing,
         "M1_harx_ridge_smear": RidgeCandidate(lambda cols: RIDGE_INPUTS),
-        "M2_gamma": _glm("gamma", floor=GAMMA_FLOOR),
+        "M2_gamma": MeanCandidate(glm.Mean(glm.POWERS["gamma"], GAMMA_FLOOR)),
         "M4_trees_logl2_smear": fit_log_trees,
         "M6_trees_l2_direct": fit_direct_trees,
-        "M7_poisson": _glm("poisson"),
+        "M7_poisson": MeanCandidate(glm.Mean(glm.POWERS["poisson"])),
         "M8_harx_full_ridge": RidgeCandidate(lambda cols: cols),
         "S_quantile45_shadow": fit_shadow_quantile,
     }
     for p in cfg.tweedie_powers:
-        out[f"M3_tweedie_{p}"] = _glm("tweedie", power=p)
+        out[f"M3_tweedie_{p}"] = MeanCandidate(glm.Mean(p))
     return out
 
 
@@ -143,6 +147,10 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def _means(past: DataFrame, rows: DataFrame, features: list[str], means: dict[str, glm.Mean]) -> DataFrame:
+    return _union([_scored(model, rows, name) for name, model in glm.fit_means(past, features, F.col(TARGET), means).items()])
+
+
 def oof_forecasts(train: DataFrame, folds: DataFrame, registry: dict[str, Callable], features: list[str],
                   cfg: MagnitudeConfig) -> DataFrame:
     """Long out-of-fold forecasts (model, pred_date, symbol, pred, outcome, baseline).
@@ -151,14 +159,17 @@ def oof_forecasts(train: DataFrame, folds: DataFrame, registry: dict[str, Callab
     folds in one pass (``over_folds``) do so.
     """
     jobs, usable, at_once = [], [], {n: f for n, f in registry.items() if hasattr(f, "over_folds")}
+    means = {n: f.mean for n, f in registry.items() if isinstance(f, MeanCandidate)}
     for fold in folds.orderBy("fold").collect():  # a handful of rows: the fold definitions
         past = train.where(F.col("pred_date") <= F.lit(fold.train_end))
         rows = train.where(F.col("pred_date").between(F.lit(fold.predict_start), F.lit(fold.predict_end)))
         if past.count() < cfg.min_train_rows:
             continue
         usable.append(fold)
+        if means:
+            jobs.append(lambda past=past, rows=rows: _means(past, rows, features, means))
         for name, fit in registry.items():
-            if name not in at_once:
+            if name not in at_once and name not in means:
                 jobs.append(lambda past=past, rows=rows, name=name, fit=fit:
                             _scored(fit(past, features, cfg), rows, name))
     if not usable:
@@ -209,8 +220,11 @@ def tournament(panel: DataFrame, folds: DataFrame, registry: dict[str, Callable]
     """Out-of-fold forecasts inside train, blend weights, then one refit scored on validation."""
     train, valid = panel.where("split = 'train'"), panel.where("split = 'valid'")
     oof = stage(oof_forecasts(train, folds, registry, features, cfg), "magnitude-oof")
+    means = {n: f.mean for n, f in registry.items() if isinstance(f, MeanCandidate)}
     refits = [lambda name=name, fit=fit: _scored(fit(train, features, cfg), valid, name)
-              for name, fit in registry.items()]
+              for name, fit in registry.items() if name not in means]
+    if means:
+        refits.append(lambda: _means(train, valid, features, means))
     scored = _union(_in_parallel(refits, cfg.parallel_fits))
     members = mean_models(list(registry))
     weights: dict[str, float] = {}
