@@ -10,6 +10,7 @@ no padding either.  Each task packs its own rows: no document is shuffled, and a
 from __future__ import annotations
 
 import heapq
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,7 @@ class WordIds(dict):
         self.encode, self.room, self.longest = encode, room, longest
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.asarray(self.encode(" " + word), np.uint16).tobytes()
+        ids = array("H", self.encode(" " + word)).tobytes()
         if len(self) < self.room and len(word) <= self.longest:
             self[word] = ids
         return ids

@@ -58,7 +58,7 @@ def test_windows_have_their_own_sequences(corpus, corpus_rows, tokenizer):
 
 def test_words_are_encoded_like_whole_texts(tokenizer):
     encode = packing.Encoder(RANKS)
-    for text in ["", " a", "a ", "a  b", "a\n b", "a \nb", "a\n\nb c", "<|endoftext|> x", "a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x<|endoftext|>", "a<|endoftext|>  \n<|endoftext", " <|endoftext|> ", "é ü 漢字", "it's we'll 12 3a", " x y", "a b c", "x ' s"]:
+    for text in ["", " a", "a ", "a  b", "a\n b", "a \nb", "a\n\nb c", "<|endoftext|> x", "a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x<|endoftext|>", "a<|endoftext|>  \n<|endoftext", " <|endoftext|> ", 'x and, y', 'x and. y', 'x a\nb y', 'x a,\nb. y', 'x a\n\nb y', 'x \xe9, \xf1; y', "x it's, y", 'x 12, a1, y', 'x a\u2028b y', 'x ,\n. y', "x a\n's y", 'x ...\n,, y', 'x \u01c4, y', 'x a\tb\nc y', 'x , y', 'x a\n, y', "é ü 漢字", "it's we'll 12 3a", " x y", "a b c", "x ' s"]:
         assert encode(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
