@@ -13,8 +13,10 @@ DIRECTION_INPUTS = [
     "mkt_rv", "mkt_ret_disp", "calendar_gap_days", "minute_coverage",
     "history_count", "bench_gap_abs",
 ]
+# fixed values: inputs of the margin model
 MARGIN_INPUTS = ["abs_mu", "p_up_emitted", "mu_over_mag", "q_iqr80", "q_skew",
                  "market_residual_agree", "mkt_ret_disp", "calendar_gap_days"]
+# fixed values: inputs of the reliability models
 MAGNITUDE_INPUTS = [
     "pred_magnitude_pct", "q_iqr80", "q_iqr90", "q_median_abs",
     "mag_mean_20", "mag_std_20", "rv_full_pct", "rv_z_60", "rv_of_rv_20",

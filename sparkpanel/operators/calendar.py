@@ -113,9 +113,9 @@ def split_bounds_table(calendar: DataFrame, train_end: str, valid_end: str, emba
 def split_bounds(calendar: DataFrame, train_end: str, valid_end: str, embargo: int) -> SplitBounds:
     row = split_bounds_table(calendar, train_end, valid_end, embargo).first()
     if row.train_end is None or row.valid_start is None:
-        raise ValueError("not enough sessions after train for the embargo")
+        raise ValueError("the calendar ends inside the embargo that follows the training block")
     if row.valid_end is None or row.valid_end < row.valid_start or row.test_start is None:
-        raise ValueError("not enough sessions after validation for the embargo")
+        raise ValueError("the calendar ends inside the embargo that follows the validation block")
     return SplitBounds(row.train_end, row.valid_start, row.valid_end, row.test_start,
                        tuple(row.train_valid_embargo), tuple(row.valid_test_embargo))
 
@@ -132,7 +132,7 @@ def label_splits(panel: DataFrame, bounds: SplitBounds) -> DataFrame:
 
 def check_mode(mode: str) -> None:
     if mode not in MODES:
-        raise TestQuarantineError(f"unknown mode {mode!r}")
+        raise TestQuarantineError(f"mode is {mode!r}, expected research or final-test")
 
 
 def quarantine(df: DataFrame, mode: str, test_start: date | None = None, date_col: str = "pred_date") -> DataFrame:
@@ -166,9 +166,9 @@ def expanding_folds(train_sessions: DataFrame, n_folds: int, reserve: int, embar
     idx = stage(train_sessions.select("session", (F.row_number().over(w) - 1).alias("i")), "train-sessions")
     n = idx.count()
     if reserve >= n:
-        raise ValueError("reserve_sessions must be smaller than the training block")
+        raise ValueError(f"{reserve} reserved sessions leave nothing of the {n} to train on")
     if n - reserve <= embargo:
-        raise ValueError("fold 1 has too little history for the embargo")
+        raise ValueError(f"the first fold has no session left before an embargo of {embargo}")
     blocks = (
         idx.where(F.col("i") >= n - reserve)
         .withColumn("fold", F.ntile(n_folds).over(w))

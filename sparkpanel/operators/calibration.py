@@ -68,7 +68,7 @@ def attach_error_history(df: DataFrame, history: DataFrame) -> DataFrame:
     keys = ["pred_date", "symbol"]
     missing = [c for c in [*keys, *HISTORY_COLUMNS] if c not in history.columns]
     if missing:
-        raise KeyError(f"error history is missing columns: {missing}")
+        raise KeyError(f"no {', '.join(missing)} in the error history")
     exact = history.groupBy(*keys).agg(*[F.max(c).alias(f"_at_{c}") for c in HISTORY_COLUMNS])
     last = exact.groupBy("symbol").agg(*[
         F.max_by(f"_at_{c}", F.when(F.col(f"_at_{c}").isNotNull(), F.col("pred_date"))).alias(f"_last_{c}")

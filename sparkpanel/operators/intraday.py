@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.columns import flag, pct_change, positive_log, ratio
 
+# fixed values: the session and its buckets
 OPEN_MINUTE = 9 * 60 + 15
 CLOSE_MINUTE = 15 * 60 + 29
 BUCKET_MINUTES = 5

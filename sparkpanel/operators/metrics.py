@@ -242,7 +242,7 @@ def metric_values(df: DataFrame, groups: tuple[str, ...] = ("split",)) -> DataFr
         .join(deciles, keys, "left").join(wide, keys, "left"))
 
 
-# fixed values: metrics whose observation count is not the number of rows
+# metrics whose observation count is not the number of rows
 COUNT_COLUMN = {
     "precision_up": "n_up", "recall_up": "n_actual_up", "rank_ic": "n_days", "rank_ic_t": "n_days",
     "r2_vs_vol": "n_vol", "mae_conf_top_decile": "n_top", "mae_conf_bottom_decile": "n_bottom",
@@ -265,6 +265,7 @@ def statistics_table(df: DataFrame, groups: tuple[str, ...] = ("split",)) -> Dat
 
 
 # ---- robustness and report tables ------------------------------------------------------
+# fixed values: columns of the scored table
 ROBUSTNESS_COLUMNS = {
     "split", "pred_date", "pred_direction", "actual_return_pct", "session_close", "target_open", "target_close",
 }
@@ -274,7 +275,7 @@ def economic_robustness(df: DataFrame) -> DataFrame:
     """Direction score and return of the emitted direction on three targets and two scopes."""
     missing = ROBUSTNESS_COLUMNS - set(df.columns)
     if missing:
-        raise KeyError(f"economic robustness missing columns: {sorted(missing)}")
+        raise KeyError(f"the robustness table needs {', '.join(sorted(missing))}")
     later = lambda c: (ratio(c, "session_close") - 1.0) * 100.0
     targets = F.explode(F.array(*[
         F.struct(F.lit(name).alias("target"), value.cast("double").alias("value")) for name, value in (
