@@ -12,9 +12,9 @@ from .registry import query, rounded
 from .sql import FACTS_PANEL, SCORED, SESSIONS, round_all, with_
 
 TREE = dict(max_iter=5, depth=3, step=0.2, min_leaf=50)
-FOREST = dict(trees=20, depth=6, min_leaf=200)
+FOREST = dict(trees=3, depth=4, min_leaf=50)
 MCFG = mag.MagnitudeConfig(tree=TREE, forest=FOREST, min_train_rows=1000)
-DCFG = dirn.DirectionConfig(tree=TREE, forest=FOREST | dict(min_leaf=300))
+DCFG = dirn.DirectionConfig(tree=TREE, forest=FOREST)
 INPUTS = ["mag_lag_1", "mag_mean_5", "mag_mean_20", "mag_mean_60", "mag_ewm_20", "mag_std_20", "range_pct",
           "close_location", "mkt_ret_oc", "mkt_on_lag_1", "on_mean_20", "cs_rank_range_pct", "history_count"]
 
@@ -157,10 +157,10 @@ def oof_ridge(spark, sf):
 
 @query("oof_glm_family")
 def oof_glm_family(spark, sf):
-    """Gamma, Poisson and three Tweedie means over all folds and inputs."""
+    """Gamma, Poisson and three Tweedie means over all folds."""
     panel = model_panel(spark, sf)
     registry = {n: f for n, f in mag.candidates(MCFG).items() if isinstance(f, mag.MeanCandidate)}
-    oof = mag.oof_forecasts(panel.where("split = 'train'"), model_folds(panel), registry, cs.feature_columns(panel), MCFG)
+    oof = mag.oof_forecasts(panel.where("split = 'train'"), model_folds(panel), registry, INPUTS, MCFG)
     return model_report(oof, ["model"])
 
 
@@ -179,16 +179,18 @@ def oof_tree(spark, sf):
     panel = model_panel(spark, sf)
     registry = mag.candidates(MCFG)
     names = ["M4_trees_logl2_smear", "M6_trees_l2_direct", "S_quantile45_shadow"]
-    oof = mag.oof_forecasts(panel.where("split = 'train'"), model_folds(panel), {n: registry[n] for n in names},
+    oof = mag.oof_forecasts(panel.where("split = 'train'"), model_folds(panel, 2), {n: registry[n] for n in names},
                             INPUTS, MCFG)
     return model_report(oof, ["model"])
 
 
 @query("magnitude_tournament")
 def magnitude_tournament(spark, sf):
-    """All candidates, non-negative blend and the raw / calibrated validation table with the selected row marked."""
+    """Candidates, non-negative blend and the raw / calibrated validation table with the selected row marked."""
     panel = model_panel(spark, sf)
-    result = mag.tournament(panel, model_folds(panel), mag.candidates(MCFG), INPUTS, MCFG)
+    registry = {n: f for n, f in mag.candidates(MCFG).items() if n in (
+        mag.BASELINE, "M1_harx_ridge_smear", "M7_poisson", "M6_trees_l2_direct")}
+    result = mag.tournament(panel, model_folds(panel, 2), registry, INPUTS, MCFG)
     table = stage(result.table, "tournament")
     best = selection.select_magnitude(table).select("model", "variant", F.lit(True).alias("selected"))
     return table.join(best, ["model", "variant"], "left").na.fill(False, ["selected"])
@@ -200,7 +202,7 @@ def leaf_quantiles(spark, sf):
     from ..functions.distribution import prob_up
 
     panel = model_panel(spark, sf)
-    forest = dirn.fit_quantiles(panel.where("split = 'train'"), INPUTS, DCFG)
+    forest = dirn.fit_quantiles(panel.where("split = 'train'"), INPUTS, dirn.DirectionConfig())
     out = forest(panel.where("split = 'valid'").select("pred_date", "symbol", *INPUTS), "q")
     return out.select("pred_date", "symbol", "q", prob_up("q", list(DCFG.levels)).alias("p_up"))
 
