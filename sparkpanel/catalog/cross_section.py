@@ -108,7 +108,7 @@ CS = ["ret_oc_pct", "ret_cc_pct", "range_pct", "close_location", "actual_magnitu
     f"AS cs_rank_{c}" for c in CS) + " FROM facts"))
 def cs_rank(spark, sf):
     rows = stage(facts(spark, sf).select("symbol", "pred_date", *CS), "facts")
-    return rounded(cs.relative_scores(rows, CS).select("symbol", "pred_date", *[f"cs_rank_{c}" for c in CS]))
+    return rounded(cs.session_ranks(rows, CS).select("symbol", "pred_date", *[f"cs_rank_{c}" for c in CS]))
 
 
 @query("cs_zscore", with_(FACTS, "SELECT symbol, pred_date, " + ", ".join(
@@ -116,7 +116,7 @@ def cs_rank(spark, sf):
     + " FROM facts WINDOW d AS (PARTITION BY pred_date)"))
 def cs_zscore(spark, sf):
     rows = stage(facts(spark, sf).select("symbol", "pred_date", *CS), "facts")
-    return rounded(cs.relative_scores(rows, CS).select("symbol", "pred_date", *[f"cs_z_{c}" for c in CS]))
+    return rounded(cs.session_scores(rows, CS).select("symbol", "pred_date", *[f"cs_z_{c}" for c in CS]))
 
 
 @query("demeaned_target", with_(TARGETS, """

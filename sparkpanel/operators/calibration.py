@@ -38,12 +38,10 @@ def ecdf_confidence(df: DataFrame, train: DataFrame, risk: str, row_keys: list[s
     """One minus the share of training risks strictly below the row's risk."""
     mark = lambda t, in_train: t.select(F.col(risk).cast("double").alias("_v"), F.lit(in_train).alias("_t")).where(
         "_v is not null")
-    hist = stage(
-        mark(train, 1).unionAll(mark(df, 0)).groupBy("_v").agg(
-            F.sum("_t").alias("_train"), F.sum(1 - F.col("_t")).alias("n")), "risk-histogram")
-    total = hist.agg(F.sum("_train")).first()[0]
-    below = running_weight(hist, [], "_v", "_train")
-    share = F.least(F.greatest(1.0 - F.col("below") / F.lit(total), F.lit(0.0)), F.lit(1.0))
+    hist = mark(train, 1).unionAll(mark(df, 0)).groupBy("_v").agg(
+        F.sum("_t").alias("_train"), F.sum(1 - F.col("_t")).alias("n"))
+    below = running_weight(hist, [], "_v", "_train", total="_total")
+    share = F.least(F.greatest(1.0 - F.col("below") / F.col("_total"), F.lit(0.0)), F.lit(1.0))
     table = below.where("n > 0").select("_v", "n", share.alias(out))
     rows = df.withColumn("_v", F.col(risk).cast("double"))
     return join_by_value(rows, table, ["_v"]).drop("_v")
@@ -53,9 +51,7 @@ def inverse_rank_confidence(df: DataFrame, value: str, row_keys: list[str], grou
                             out: str = "confidence") -> DataFrame:
     """Position in descending order of ``value`` divided by the number of rows."""
     groups = groups or []
-    placed = positions(df, groups, [-F.col(value), *row_keys], row_keys, "_pos")
-    sizes = stage(df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_size")), "sizes")
-    placed = placed.join(sizes, groups, "left") if groups else placed.crossJoin(sizes)
+    placed = positions(df, groups, [-F.col(value), *row_keys], row_keys, "_pos", "_size")
     return placed.withColumn(out, F.col("_pos") / F.col("_size")).drop("_pos", "_size")
 
 

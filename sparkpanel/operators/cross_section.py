@@ -111,24 +111,28 @@ def market_lags(market: DataFrame) -> DataFrame:
     )
 
 
+def session_ranks(df: DataFrame, columns: list[str] | None = None,
+                  row_keys: tuple[str, ...] = ("symbol", "pred_date")) -> DataFrame:
+    """Add cs_rank_*: average-tie percentile among the non-missing values of a session."""
+    return average_ranks(df, ["pred_date"], columns or RELATIVE_COLUMNS, list(row_keys), prefix="cs_rank_", percent=True)
+
+
+def session_scores(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Add cs_z_*: distance from the session mean in sample standard deviations."""
+    columns = columns or RELATIVE_COLUMNS
+    moments = df.groupBy("pred_date").agg(*[
+        e for c in columns for e in (F.avg(c).alias(f"_mu_{c}"), F.stddev_samp(c).alias(f"_sd_{c}"))])
+    return df.join(moments, "pred_date", "left").select(
+        *[df[c] for c in df.columns],
+        *[ratio(F.col(c) - F.col(f"_mu_{c}"), f"_sd_{c}").alias(f"cs_z_{c}") for c in columns])
+
+
 def relative_scores(df: DataFrame, columns: list[str] | None = None,
                     row_keys: tuple[str, ...] = ("symbol", "pred_date")) -> DataFrame:
-    """Add cs_rank_* (average-tie percentile among non-missing) and cs_z_* per session.
-
-    ``df`` should be a staged table: it is scanned for the ranks, the moments and the result.
-    """
+    """Both of them.  ``df`` should be a staged table: it is scanned for the ranks, the moments and the result."""
     columns = columns or RELATIVE_COLUMNS
-    moments = stage(
-        df.groupBy("pred_date").agg(*[
-            e for c in columns
-            for e in (F.avg(c).alias(f"_mu_{c}"), F.stddev_samp(c).alias(f"_sd_{c}"))]), "moments")
-    ranked = average_ranks(df, ["pred_date"], columns, list(row_keys), prefix="_rk_", count_prefix="_n_")
-    helpers = {f"{p}{c}" for c in columns for p in ("_mu_", "_sd_", "_rk_", "_n_")}
-    return ranked.join(moments, "pred_date", "left").select(
-        *[c for c in ranked.columns if c not in helpers],
-        *[(F.col(f"_rk_{c}") / F.col(f"_n_{c}")).alias(f"cs_rank_{c}") for c in columns],
-        *[ratio(F.col(c) - F.col(f"_mu_{c}"), f"_sd_{c}").alias(f"cs_z_{c}") for c in columns],
-    )
+    return session_ranks(session_scores(df, columns), columns, row_keys).select(
+        *df.columns, *[f"cs_rank_{c}" for c in columns], *[f"cs_z_{c}" for c in columns])
 
 
 def stock_minus_market(df: DataFrame) -> DataFrame:

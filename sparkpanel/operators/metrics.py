@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import ratio, sign_up
 from ..sources.staging import stage
-from .ranking import average_ranks, decile_of, positions
+from .ranking import average_ranks, decile_of, positions, running_weight
 
 # fixed values: metric names in their published order
 POOLED_METRICS = [
@@ -107,17 +107,32 @@ def daily_rank_ic(df: DataFrame, groups: list[str], pred: str, actual: str, row_
 
 def with_decile(df: DataFrame, groups: list[str], value: str, row_keys: list[str], out: str) -> DataFrame:
     """Equal-count decile of ``value`` in its group; ties are ordered by the row keys."""
-    placed = positions(df, groups, [value, *row_keys], row_keys, "_pos")
-    sizes = stage(df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_size")), "sizes")
-    placed = placed.join(sizes, groups, "left") if groups else placed.crossJoin(sizes)
+    placed = positions(df, groups, [value, *row_keys], row_keys, "_pos", "_size")
     return placed.withColumn(out, decile_of(F.col("_pos"), F.col("_size"))).drop("_pos", "_size")
 
 
+def with_deciles(df: DataFrame, groups: list[str], outs: dict[str, str], row_keys: list[str]) -> DataFrame:
+    """``with_decile`` for several (value, name) columns, all placed in one range partition."""
+    keys = [*groups, "_c"]
+    order = F.struct(F.col("_e._v"), *row_keys)
+    long = df.select(*dict.fromkeys([*row_keys, *groups]), F.explode(F.array(*[
+        F.struct(F.lit(out).alias("_c"), F.col(value).cast("double").alias("_v")) for value, out in outs.items()])).alias("_e")
+    ).select("*", "_e._c", order.alias("_k"), F.lit(1).alias("n")).drop("_e")
+    placed = running_weight(long, keys, "_k", out="_pos", total="_size")
+    decile = decile_of(F.col("_pos"), F.col("_size"))
+    wide = placed.groupBy(*row_keys).agg(*[F.max(F.when(F.col("_c") == out, decile)).alias(out) for out in outs.values()])
+    return df.join(wide, row_keys, "left")
+
+
 def decile_gradient(df: DataFrame, groups: list[str], conf: str, err: str, row_keys: list[str]) -> DataFrame:
     """Mean error in the most and least confident decile; a constant confidence uses all rows."""
-    tenths = with_decile(df, groups, conf, row_keys, "_decile")
+    return gradient_of_deciles(with_decile(df, groups, conf, row_keys, "_decile"), groups, conf, err, "_decile")
+
+
+def gradient_of_deciles(tenths: DataFrame, groups: list[str], conf: str, err: str, decile: str) -> DataFrame:
+    """``decile_gradient`` of rows that have the decile of their confidence."""
     varied = F.min(conf) < F.max(conf)
-    top, bottom = F.col("_decile") == 9, F.col("_decile") == 0
+    top, bottom = F.col(decile) == 9, F.col(decile) == 0
     part = lambda cond: F.when(varied, F.avg(F.when(cond, F.col(err)))).otherwise(F.avg(err))
     size = lambda cond: F.when(varied, F.count_if(cond)).otherwise(F.count(err))
     return tenths.groupBy(*groups).agg(
@@ -161,10 +176,10 @@ def reliability_report(df: DataFrame, groups: list[str], conf: str, err: str, ma
     overall = ranked.groupBy(*groups).agg(
         (-rank_correlation(f"_rk_{conf}", f"_rk_{err}", 2)).alias("conf_magnitude_score"),
         rank_correlation(f"_rk_{conf}", f"_rk_{mag}", 2).alias("corr_with_magnitude"))
-    tenths = stage(with_decile(rows, groups, mag, row_keys, "_mag_decile"), "magnitude-deciles")
+    tenths = stage(with_deciles(rows, groups, {mag: "_mag_decile", conf: "_conf_decile"}, row_keys), "deciles")
     within = spearman(tenths, [*groups, "_mag_decile"], conf, err, row_keys, "_rho", 2)
     within = within.groupBy(*groups).agg((-F.avg("_rho")).alias("within_magnitude_decile"))
-    slope = decile_gradient(rows, groups, conf, err, row_keys).select(
+    slope = gradient_of_deciles(tenths, groups, conf, err, "_conf_decile").select(
         *groups, F.col("mae_conf_top_decile").alias("mae_top_decile"),
         F.col("mae_conf_bottom_decile").alias("mae_bottom_decile"), "conf_mag_gradient")
     join = (lambda a, b: a.join(b, groups)) if groups else (lambda a, b: a.crossJoin(b))

@@ -12,21 +12,23 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..sources.staging import stage
 
-def running_weight(hist: DataFrame, groups: list[str], value: str, weight: str = "n", out: str = "below") -> DataFrame:
+
+def running_weight(hist: DataFrame, groups: list[str], value: str, weight: str = "n", out: str = "below",
+                   total: str | None = None) -> DataFrame:
     """Add the summed ``weight`` of strictly smaller ``value`` rows of the same group.
 
-    ``hist`` must have one row per (groups, value).
+    ``hist`` must have one row per (groups, value); it is evaluated for the range bounds and for the slices, which are
+    written once.  With ``total`` the weight of the whole group is added as well.
     """
     before = (Window.unboundedPreceding, -1)
     sliced = stage(
         hist.repartitionByRange(*groups, value).withColumn("_slice", F.spark_partition_id()), "slices")
     local = Window.partitionBy(*groups, "_slice").orderBy(value).rowsBetween(*before)
-    across = Window.partitionBy(*groups).orderBy("_slice").rowsBetween(*before)
-    offsets = (
-        sliced.groupBy(*groups, "_slice").agg(F.sum(weight).alias("_w"))
-        .withColumn("_offset", F.coalesce(F.sum("_w").over(across), F.lit(0)))
-        .drop("_w")
-    )
+    across = Window.partitionBy(*groups).orderBy("_slice")
+    offsets = sliced.groupBy(*groups, "_slice").agg(F.sum(weight).alias("_w")).select(
+        *groups, "_slice", F.coalesce(F.sum("_w").over(across.rowsBetween(*before)), F.lit(0)).alias("_offset"),
+        *([F.sum("_w").over(across.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias(total)]
+          if total else []))
     return (
         sliced.withColumn("_local", F.coalesce(F.sum(weight).over(local), F.lit(0)))
         .join(offsets, [*groups, "_slice"])
@@ -36,10 +38,10 @@ def running_weight(hist: DataFrame, groups: list[str], value: str, weight: str =
 
 
 def value_histogram(df: DataFrame, groups: list[str], value: str | Column, name: str = "value") -> DataFrame:
-    """Staged (groups, value, n) table without missing values."""
+    """(groups, value, n) without missing values."""
     value = F.col(value) if isinstance(value, str) else value
     hist = df.select(*groups, value.alias(name)).where(F.col(name).isNotNull())
-    return stage(hist.groupBy(*groups, name).agg(F.count(F.lit(1)).alias("n")), "histogram")
+    return hist.groupBy(*groups, name).agg(F.count(F.lit(1)).alias("n"))
 
 
 def join_by_value(df: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
@@ -51,12 +53,12 @@ def join_by_value(df: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame
 
 
 def average_ranks(df: DataFrame, groups: list[str], columns: list[str], row_keys: list[str],
-                  prefix: str = "rank_", count_prefix: str | None = None) -> DataFrame:
+                  prefix: str = "rank_", count_prefix: str | None = None, percent: bool = False) -> DataFrame:
     """Add the 1-based average-tie rank of each column within its group; missing stays missing.
 
     All columns are ranked in one pass over the long (group, column, value) form.
-    ``row_keys`` identify a row.  With ``count_prefix`` the number of non-missing
-    values of the group is added as well.
+    ``row_keys`` identify a row.  With ``percent`` ranks are divided by the number of
+    non-missing values of the group, with ``count_prefix`` that number is added.
     """
     long = df.select(
         *row_keys, *[g for g in groups if g not in row_keys],
@@ -65,49 +67,47 @@ def average_ranks(df: DataFrame, groups: list[str], columns: list[str], row_keys
         ])).alias("_e"),
     ).select("*", "_e._c", "_e._v").drop("_e").where(F.col("_v").isNotNull())
     keys = [*groups, "_c"]
-    hist = value_histogram(long, keys, "_v", "_v")
-    ranked = running_weight(hist, keys, "_v").select(
-        *keys, "_v", "n", (F.col("below") + (F.col("n") + 1) / 2.0).alias("_r"))
+    rank = F.col("below") + (F.col("n") + 1) / 2.0
+    ranked = running_weight(value_histogram(long, keys, "_v", "_v"), keys, "_v", total="_t").select(
+        *keys, "_v", "n", (rank / F.col("_t") if percent else rank).alias("_r"))
     ranks = join_by_value(long, ranked, [*keys, "_v"])
     wide = ranks.groupBy(*row_keys).agg(
         *[F.max(F.when(F.col("_c") == c, F.col("_r"))).alias(f"{prefix}{c}") for c in columns])
     out = df.join(wide, row_keys, "left")
     if count_prefix is not None:
-        sizes = hist.groupBy(*groups).agg(*[
-            F.sum(F.when(F.col("_c") == c, F.col("n"))).alias(f"{count_prefix}{c}") for c in columns])
-        out = out.join(stage(sizes, "sizes"), groups, "left") if groups else out.crossJoin(stage(sizes, "sizes"))
+        sizes = stage(df.groupBy(*groups).agg(*[F.count(c).alias(f"{count_prefix}{c}") for c in columns]), "sizes")
+        out = out.join(sizes, groups, "left") if groups else out.crossJoin(sizes)
     return out
 
 
 def positions(df: DataFrame, groups: list[str], order: list[Column | str], row_keys: list[str],
-              out: str = "position") -> DataFrame:
-    """Add the 0-based position of each row in its group under a unique ordering."""
+              out: str = "position", total: str | None = None) -> DataFrame:
+    """Add the 0-based position of each row in its group under a unique ordering, with ``total`` the group's size too."""
     cols = [F.col(o) if isinstance(o, str) else o for o in order]
     key = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(cols)])
-    table = stage(
-        df.select(*dict.fromkeys([*row_keys, *groups]), key.alias("_k"), F.lit(1).alias("n")), "positions")
-    placed = running_weight(table, groups, "_k", out=out)
-    return df.join(placed.select(*row_keys, F.col(out).cast("bigint").alias(out)), row_keys, "left")
+    table = df.select(*dict.fromkeys([*row_keys, *groups]), key.alias("_k"), F.lit(1).alias("n"))
+    placed = running_weight(table, groups, "_k", out=out, total=total)
+    return df.join(placed.select(
+        *row_keys, F.col(out).cast("bigint").alias(out), *([total] if total else [])), row_keys, "left")
 
 
 def quantiles(df: DataFrame, groups: list[str], value: str | Column, probs: list[float]) -> DataFrame:
-    """Exact linear-interpolation quantiles: one row (groups, prob, quantile) per group and prob."""
-    hist = value_histogram(df, groups, value, "_v")
-    below = running_weight(hist, groups, "_v")
-    totals = stage(hist.groupBy(*groups).agg(F.sum("n").alias("_total")), "totals")
-    wanted = totals.select("*", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob")).select(
-        "*",
-        (F.col("prob") * (F.col("_total") - 1)).alias("_at")).select(
-        "*", F.floor("_at").alias("_lo"),
-        F.least(F.floor("_at") + 1, F.col("_total") - 1).alias("_hi"))
-    wanted = stage(wanted, "wanted")
-    joined = below.join(wanted, groups) if groups else below.crossJoin(wanted)
-    inside = lambda k: (F.col("below") <= F.col(k)) & (F.col(k) < F.col("below") + F.col("n"))
-    picked = joined.where(inside("_lo") | inside("_hi")).groupBy(*groups, "prob").agg(
-        F.max(F.when(inside("_lo"), F.col("_v"))).alias("_a"),
-        F.max(F.when(inside("_hi"), F.col("_v"))).alias("_b"),
-        F.max(F.col("_at") - F.col("_lo")).alias("_f"))
-    return picked.select(*groups, "prob", (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f")).alias("quantile"))
+    """Exact linear-interpolation quantiles: one row (groups, prob, quantile) per group and prob.
+
+    A value keeps only the probs whose lower or upper neighbour it is, two values at most for each of them.
+    """
+    below = running_weight(value_histogram(df, groups, value, "_v"), groups, "_v", total="_total")
+    at = lambda p: p * (F.col("_total") - 1)
+    low = lambda p: F.floor(at(p))
+    high = lambda p: F.least(low(p) + 1, F.col("_total") - 1)
+    inside = lambda k: (F.col("below") <= k) & (k < F.col("below") + F.col("n"))
+    wanted = F.filter(F.array(*[F.lit(float(p)) for p in probs]), lambda p: inside(low(p)) | inside(high(p)))
+    p = F.col("prob")
+    return below.select("*", F.explode(wanted).alias("prob")).groupBy(*groups, "prob").agg(
+        F.max(F.when(inside(low(p)), F.col("_v"))).alias("_a"),
+        F.max(F.when(inside(high(p)), F.col("_v"))).alias("_b"),
+        F.max(at(p) - low(p)).alias("_f"),
+    ).select(*groups, "prob", (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f")).alias("quantile"))
 
 
 def decile_of(position: Column, size: Column, bins: int = 10) -> Column:
