@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..operators import bootstrap as boot
 from ..sources import tables
 from .registry import query, rounded
+from .scoring import RIVALS, rival
 from .sql import SCORED, bucket, with_
 
 DRAWS = 2000
@@ -18,7 +19,7 @@ def blocks_sql(name: str, where: str, terms: str) -> str:
       SELECT pred_date, {terms} FROM scored WHERE {where} GROUP BY pred_date)) GROUP BY block)"""
 
 
-def interval_sql(name: str, seed: int, diff: str, label: str = "") -> str:
+def interval_sql(name: str, seed: int, diff: str, label: str = "", draws: int = DRAWS) -> str:
     return f"""
 SELECT {label}round(avg(diff), 6) AS mean, round(quantile_cont(diff, 0.025), 6) AS ci_low,
   round(quantile_cont(diff, 0.975), 6) AS ci_high
@@ -26,7 +27,7 @@ FROM (
   SELECT draw, {diff} AS diff
   FROM (SELECT draw, sum(na) AS na, sum(nb) AS nb, sum(den) AS den
         FROM (SELECT d.draw, {bucket(seed, f"(SELECT count(*) FROM {name}_blocks)", "d.draw", "s.slot")} AS block
-              FROM range({DRAWS}) d(draw), range((SELECT count(*) FROM {name}_blocks)) s(slot)) p
+              FROM range({draws}) d(draw), range((SELECT count(*) FROM {name}_blocks)) s(slot)) p
         JOIN {name}_blocks b ON b.block = p.block GROUP BY draw))"""
 
 
@@ -55,6 +56,38 @@ def bootstrap_magnitude(spark, sf):
         rows, F.col("pred_magnitude_pct"), F.col("mag_mean_60"), F.col("actual_magnitude_pct"), draws=DRAWS, seed=44))
 
 
+def _weighted_rank(v: str) -> str:
+    return (f"sum(w) OVER (PARTITION BY draw ORDER BY {v} RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) "
+            f"- (sum(w) OVER (PARTITION BY draw, {v}) - 1) / 2.0")
+
+
+def _weighted_corr(x: str, y: str) -> str:
+    cov = lambda a, b: f"(sum(w * {a} * {b}) - sum(w * {a}) * sum(w * {b}) / sum(w))"
+    return f"{cov(x, y)} / sqrt({cov(x, x)} * {cov(y, y)})"
+
+
+def spearman_sql(name: str, split: str, seed: int) -> str:
+    """CTEs that end in ``{name}_ranked``: weighted ranks of every row in every draw."""
+    return f"""{name}_base AS (
+  SELECT (dense_rank() OVER (ORDER BY pred_date) - 1) // 5 AS block, conf_magnitude AS a, -pred_magnitude_pct AS b,
+    -abs(pred_magnitude_pct - actual_magnitude_pct) AS y FROM scored WHERE split = '{split}'),
+{name}_n AS (SELECT max(block) + 1 AS n FROM {name}_base),
+{name}_times AS (
+  SELECT draw, block, count(*) AS w
+  FROM (SELECT d.draw, {bucket(seed, f'(SELECT n FROM {name}_n)', 'd.draw', 's.slot')} AS block
+        FROM range({DRAWS}) d(draw), range((SELECT n FROM {name}_n)) s(slot)) GROUP BY ALL),
+{name}_copies AS (SELECT t.draw, t.w, b.a, b.b, b.y FROM {name}_times t JOIN {name}_base b ON b.block = t.block),
+{name}_ranked AS (
+  SELECT draw, w, {_weighted_rank('a')} AS ra, {_weighted_rank('b')} AS rb, {_weighted_rank('y')} AS ry FROM {name}_copies)"""
+
+
+def spearman_interval_sql(name: str, label: str = "") -> str:
+    return f"""
+SELECT {label}round(avg(diff), 6) AS mean, round(quantile_cont(diff, 0.025), 6) AS ci_low,
+  round(quantile_cont(diff, 0.975), 6) AS ci_high
+FROM (SELECT draw, {_weighted_corr('ra', 'ry')} - {_weighted_corr('rb', 'ry')} AS diff FROM {name}_ranked GROUP BY draw)"""
+
+
 def table_sql() -> str:
     ctes, selects = [], []
     for i, split in enumerate(("valid", "test")):
@@ -66,6 +99,8 @@ def table_sql() -> str:
             ctes.append(blocks_sql(f"{split}_{k}", f"split = '{split}'{where}", terms))
             selects.append(interval_sql(f"{split}_{k}", 42 + 10 * i + k, diff,
                                         f"'{split}' AS split, '{name}' AS comparison, "))
+        ctes.append(spearman_sql(split, split, 45 + 10 * i))
+        selects.append(spearman_interval_sql(split, f"'{split}' AS split, 'confidence_vs_neg_magnitude' AS comparison, "))
     return with_(SCORED + ",\n" + ",\n".join(ctes), "\nUNION ALL\n".join(selects))
 
 
@@ -74,32 +109,26 @@ def bootstrap_table(spark, sf):
     return rounded(boot.comparison_table(tables.scored_frame(spark, sf), draws=DRAWS))
 
 
-def _weighted_rank(v: str) -> str:
-    return (f"sum(w) OVER (PARTITION BY draw ORDER BY {v} RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) "
-            f"- (sum(w) OVER (PARTITION BY draw, {v}) - 1) / 2.0")
+def systems_sql() -> str:
+    both = """,
+pairs AS (
+  SELECT f.pred_date, f.actual_return_pct, f.universe_mean_pct, f.pred_direction AS d, e.pred_direction AS r
+  FROM systems f JOIN systems e USING (pred_date, symbol) WHERE f.system = 'fresh' AND e.system = 'existing')"""
+    parts, selects = [], []
+    for name, target in (("pooled", "actual_return_pct"), ("residual", RESIDUAL)):
+        sums = f"sum(d * {target}) AS na, sum(r * {target}) AS nb, sum(abs({target})) AS den"
+        parts.append(blocks_sql(name, "true", sums).replace("FROM scored", "FROM pairs"))
+        selects.append(interval_sql(name, 42, RATIO, f"'{name}' AS comparison, ", 1000))
+    return with_(RIVALS + both + ",\n" + ",\n".join(parts), "\nUNION ALL\n".join(selects))
 
 
-def _weighted_corr(x: str, y: str) -> str:
-    cov = lambda a, b: f"(sum(w * {a} * {b}) - sum(w * {a}) * sum(w * {b}) / sum(w))"
-    return f"{cov(x, y)} / sqrt({cov(x, x)} * {cov(y, y)})"
+@query("bootstrap_systems", systems_sql())
+def bootstrap_systems(spark, sf):
+    valid = tables.scored_frame(spark, sf).where("split = 'valid'")
+    return rounded(boot.system_intervals(valid, rival(valid)))
 
 
-@query("bootstrap_spearman", with_(SCORED + f""",
-base AS (
-  SELECT (dense_rank() OVER (ORDER BY pred_date) - 1) // 5 AS block, conf_magnitude AS a, -pred_magnitude_pct AS b,
-    -abs(pred_magnitude_pct - actual_magnitude_pct) AS y FROM scored WHERE split = 'valid'),
-n_blocks AS (SELECT max(block) + 1 AS n FROM base),
-times AS (
-  SELECT draw, block, count(*) AS w
-  FROM (SELECT d.draw, {bucket(45, '(SELECT n FROM n_blocks)', 'd.draw', 's.slot')} AS block
-        FROM range({DRAWS}) d(draw), range((SELECT n FROM n_blocks)) s(slot)) GROUP BY ALL),
-copies AS (SELECT t.draw, t.w, b.a, b.b, b.y FROM times t JOIN base b ON b.block = t.block),
-ranked AS (
-  SELECT draw, w, {_weighted_rank('a')} AS ra, {_weighted_rank('b')} AS rb, {_weighted_rank('y')} AS ry FROM copies)""",
-    f"""
-SELECT round(avg(diff), 6) AS mean, round(quantile_cont(diff, 0.025), 6) AS ci_low,
-  round(quantile_cont(diff, 0.975), 6) AS ci_high
-FROM (SELECT draw, {_weighted_corr('ra', 'ry')} - {_weighted_corr('rb', 'ry')} AS diff FROM ranked GROUP BY draw)"""))
+@query("bootstrap_spearman", with_(SCORED + ",\n" + spearman_sql("v", "valid", 45), spearman_interval_sql("v")))
 def bootstrap_spearman(spark, sf):
     m, err = F.col("pred_magnitude_pct"), F.abs(F.col("pred_magnitude_pct") - F.col("actual_magnitude_pct"))
     rows = tables.scored_frame(spark, sf).where("split = 'valid'").select(

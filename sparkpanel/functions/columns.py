@@ -55,8 +55,9 @@ def hash_fraction(seed: int | str, *keys: str | Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
-def hash_bucket(seed: int | str, buckets: int | Column, *keys: str | Column) -> Column:
+def hash_bucket(seed: int | str | Column, buckets: int | Column, *keys: str | Column) -> Column:
     """Uniform integer in [0, buckets) from the same hash."""
-    text = F.concat_ws("|", F.lit(str(seed)), *[col(k).cast("string") for k in keys])
+    first = seed.cast("string") if isinstance(seed, Column) else F.lit(str(seed))
+    text = F.concat_ws("|", first, *[col(k).cast("string") for k in keys])
     n = F.lit(buckets) if isinstance(buckets, int) else buckets
     return F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint"), n.cast("bigint"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import hash_bucket, ratio
 from ..sources.staging import stage
+from .metrics import common_rows
 from .ranking import join_by_value
 
 #: Rows and draws of one matrix product.
@@ -30,43 +32,76 @@ def session_blocks(df: DataFrame, block_sessions: int) -> DataFrame:
     return days.withColumn("block", F.floor((F.row_number().over(w) - 1) / block_sessions).cast("int"))
 
 
-def block_sums(df: DataFrame, terms: dict[str, Column], block_sessions: int) -> DataFrame:
-    """Sums of the terms per block, by way of sums per session."""
-    days = df.groupBy("pred_date").agg(*[F.sum(v).alias(k) for k, v in terms.items()])
-    w = Window.orderBy("pred_date")
-    days = days.withColumn("block", F.floor((F.row_number().over(w) - 1) / block_sessions).cast("int"))
-    return days.groupBy("block").agg(*[F.sum(k).alias(k) for k in terms])
-
+@dataclass(frozen=True)
+class Comparison:
+    """Two scores that are ratios of sums with one denominator; the interval is that of their difference.
 
-def _interval(diffs: DataFrame) -> DataFrame:
-    """Mean and central 95 % interval; one row per draw goes in."""
+    Rows that do not meet ``where`` count nowhere; sessions without other rows are in no block.  ``seed`` may be an
+    expression over the group.
+    """
+    name: str
+    first: Column
+    second: Column
+    den: Column
+    seed: int | Column
+    where: Column | None = None
+
+    @staticmethod
+    def of_direction(name: str, a: Column, b: Column, target: Column, seed: int | Column, where: Column | None = None) -> Comparison:
+        """Direction scores of two direction forecasts."""
+        return Comparison(name, a * target, b * target, F.abs(target), seed, where)
+
+    @staticmethod
+    def of_magnitude(name: str, a: Column, b: Column, actual: Column, seed: int | Column, where: Column | None = None) -> Comparison:
+        """Magnitude scores of two magnitude forecasts, one minus the error share each."""
+        return Comparison(name, F.abs(b - actual), F.abs(a - actual), actual, seed, where)
+
+
+def ratio_intervals(df: DataFrame, groups: list[str], comparisons: list[Comparison], block_sessions: int = 5,
+                    draws: int = 2000) -> DataFrame:
+    """(groups, comparison, mean, ci_low, ci_high): all comparisons in all groups from one scan of the rows.
+
+    The rows become sums per session, these one table of blocks.  Draws are dealt by (group, comparison, draw), so
+    the sums of a draw need no further shuffle.
+    """
+    sums = ("first", "second", "den")
+    kept = lambda c, x: x if c.where is None else F.when(c.where, x)
+    days = df.groupBy(*groups, "pred_date").agg(*[
+        e for k, c in enumerate(comparisons) for e in (
+            *[F.sum(kept(c, getattr(c, s)).cast("double")).alias(f"_{s}{k}") for s in sums],
+            F.count(kept(c, F.lit(1))).alias(f"_rows{k}"))])
+    entries = F.array(*[
+        F.struct(F.lit(c.name).alias("comparison"), (c.seed if isinstance(c.seed, Column) else F.lit(c.seed)).alias("seed"),
+                 *[F.col(f"_{s}{k}").alias(s) for s in sums], F.col(f"_rows{k}").alias("rows"))
+        for k, c in enumerate(comparisons)])
+    keys = [*groups, "comparison"]
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy("pred_date"))
+    days = days.select(*groups, "pred_date", F.explode(entries).alias("_e")).select(*groups, "pred_date", "_e.*").where(
+        "rows > 0").withColumn("block", F.floor((number - 1) / block_sessions))
+    blocks = stage(days.groupBy(*keys, "seed", "block").agg(*[F.sum(s).alias(s) for s in sums]), "blocks")
+    drawn = blocks.groupBy(*keys, "seed").agg((F.max("block") + 1).alias("_n")).select(
+        "*", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).repartition(*keys, "draw")
+    picks = drawn.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)).alias("slot")).select(
+        *keys, "draw", hash_bucket(F.col("seed"), F.col("_n"), "draw", "slot").alias("block"))
+    total = picks.join(blocks.drop("seed"), [*keys, "block"]).groupBy(*keys, "draw").agg(*[F.sum(s).alias(s) for s in sums])
+    return _interval(total.select(*keys, (ratio("first", "den") - ratio("second", "den")).alias("diff")), keys)
+
+
+def _interval(diffs: DataFrame, groups: list[str] | tuple[()] = ()) -> DataFrame:
+    """Mean and central 95 % interval of each group; one row per draw goes in."""
     q = F.percentile("diff", F.array(F.lit(0.025), F.lit(0.975)))
-    return diffs.agg(F.avg("diff").alias("mean"), q.alias("_q")).select(
-        "mean", F.col("_q")[0].alias("ci_low"), F.col("_q")[1].alias("ci_high"))
-
+    return diffs.groupBy(*groups).agg(F.avg("diff").alias("mean"), q.alias("_q")).select(
+        *groups, "mean", F.col("_q")[0].alias("ci_low"), F.col("_q")[1].alias("ci_high"))
 
-def bootstrap_ratio(df: DataFrame, terms: dict[str, Column], diff: Column, block_sessions: int = 5,
-                    draws: int = 2000, seed: int = 42) -> DataFrame:
-    """Interval of ``diff``, an expression over the resampled sums of ``terms``."""
-    blocks = stage(block_sums(df, terms, block_sessions), "block-sums")
-    n = blocks.count()
-    slots = df.sparkSession.range(draws * n).select(
-        F.floor(F.col("id") / n).alias("draw"), (F.col("id") % n).alias("slot"))
-    picks = slots.withColumn("block", hash_bucket(seed, n, "draw", "slot").cast("int"))
-    sums = picks.join(blocks, "block").groupBy("draw").agg(*[F.sum(k).alias(k) for k in terms])
-    return _interval(sums.select(diff.alias("diff")))
 
+def direction_diff(df: DataFrame, a: Column, b: Column, target: Column, seed: int = 42, **kw) -> DataFrame:
+    """Difference of the direction scores of two direction forecasts: one row."""
+    return ratio_intervals(df, [], [Comparison.of_direction("diff", a, b, target, seed)], **kw).drop("comparison")
 
-def direction_diff(df: DataFrame, a: Column, b: Column, target: Column, **kw) -> DataFrame:
-    """Difference of the direction scores of two direction forecasts."""
-    terms = {"num_a": a * target, "num_b": b * target, "den": F.abs(target)}
-    return bootstrap_ratio(df, terms, ratio("num_a", "den") - ratio("num_b", "den"), **kw)
 
-
-def magnitude_diff(df: DataFrame, a: Column, b: Column, actual: Column, **kw) -> DataFrame:
-    """Difference of the magnitude scores of two magnitude forecasts."""
-    terms = {"err_a": F.abs(a - actual), "err_b": F.abs(b - actual), "den": actual}
-    return bootstrap_ratio(df, terms, ratio("err_b", "den") - ratio("err_a", "den"), **kw)
+def magnitude_diff(df: DataFrame, a: Column, b: Column, actual: Column, seed: int = 42, **kw) -> DataFrame:
+    """Difference of the magnitude scores of two magnitude forecasts: one row."""
+    return ratio_intervals(df, [], [Comparison.of_magnitude("diff", a, b, actual, seed)], **kw).drop("comparison")
 
 
 def _multiplicities(n_blocks: int, draws: int, seed: int) -> np.ndarray:
@@ -190,27 +225,38 @@ def spearman_diff(df: DataFrame, a: str, b: str, outcome: str, row_keys: list[st
 
 
 def comparison_table(df: DataFrame, splits: tuple[str, ...] = ("valid", "test"), block_sessions: int = 5,
-                     draws: int = 2000, seed: int = 42, with_spearman: bool = False) -> DataFrame:
-    """The uncertainty table: every standard comparison on every split, each with its own seed."""
+                     draws: int = 2000, seed: int = 42, with_spearman: bool = True) -> DataFrame:
+    """The uncertainty table: every standard comparison on every split, each with its own seed.
+
+    ``with_spearman`` adds the confidence against the negative magnitude, both as Spearman scores against small errors.
+    """
     kw = dict(block_sessions=block_sessions, draws=draws)
     d, a, m = F.col("pred_direction"), F.col("actual_return_pct"), F.col("pred_magnitude_pct")
-    resid = a - F.col("universe_mean_pct")
-    out = None
-    for i, split in enumerate(splits):
-        rows = df.where(F.col("split") == split)
-        base = seed + 10 * i
-        runs = {
-            "residual_vs_zero": direction_diff(rows, d, F.lit(0.0), resid, seed=base, **kw),
-            "pooled_vs_always_up": direction_diff(rows, d, F.lit(1.0), a, seed=base + 1, **kw),
-            "magnitude_vs_trailing": magnitude_diff(
-                rows.where("vol_baseline_20 is not null"), m, F.col("vol_baseline_20"),
-                F.col("actual_magnitude_pct"), seed=base + 2, **kw),
-        }
-        if with_spearman:
-            scored = rows.withColumn("_neg_m", -m).withColumn("_neg_err", -F.abs(m - F.col("actual_magnitude_pct")))
-            runs["confidence_vs_neg_magnitude"] = spearman_diff(
-                scored, "conf_magnitude", "_neg_m", "_neg_err", ["pred_date", "symbol"], seed=base + 3, **kw)
-        for name, result in runs.items():
-            row = result.select(F.lit(split).alias("split"), F.lit(name).alias("comparison"), "*")
-            out = row if out is None else out.unionByName(row)
+    base = F.element_at(F.create_map(*[
+        F.lit(x) for i, split in enumerate(splits) for x in (split, seed + 10 * i)]), F.col("split"))
+    out = ratio_intervals(df.where(F.col("split").isin(*splits)), ["split"], [
+        Comparison.of_direction("residual_vs_zero", d, F.lit(0.0), a - F.col("universe_mean_pct"), base),
+        Comparison.of_direction("pooled_vs_always_up", d, F.lit(1.0), a, base + 1),
+        Comparison.of_magnitude("magnitude_vs_trailing", m, F.col("vol_baseline_20"), F.col("actual_magnitude_pct"),
+                                base + 2, F.col("vol_baseline_20").isNotNull()),
+    ], **kw)
+    for i, split in enumerate(splits if with_spearman else ()):
+        scored = df.where(F.col("split") == split).withColumns({
+            "_neg_m": -m, "_neg_err": -F.abs(m - F.col("actual_magnitude_pct"))})
+        result = spearman_diff(
+            scored, "conf_magnitude", "_neg_m", "_neg_err", ["pred_date", "symbol"], seed=seed + 10 * i + 3, **kw)
+        out = out.unionByName(result.select(
+            F.lit(split).alias("split"), F.lit("confidence_vs_neg_magnitude").alias("comparison"), "*"))
     return out
+
+
+def system_intervals(a: DataFrame, b: DataFrame, block_sessions: int = 5, draws: int = 1000, seed: int = 42) -> DataFrame:
+    """(comparison, mean, ci_low, ci_high): direction of one system against another on their common rows, pooled and residual."""
+    keys = ["pred_date", "symbol"]
+    first, second = common_rows(a, b)
+    rows = first.join(second.select(*keys, F.col("pred_direction").alias("_rival")), keys)
+    d, rival, target = F.col("pred_direction"), F.col("_rival"), F.col("actual_return_pct")
+    return ratio_intervals(rows, [], [
+        Comparison.of_direction("pooled", d, rival, target, seed),
+        Comparison.of_direction("residual", d, rival, target - F.col("universe_mean_pct"), seed),
+    ], block_sessions=block_sessions, draws=draws)
