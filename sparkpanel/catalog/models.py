@@ -97,6 +97,35 @@ def intraday_feature_panel(spark, sf):
         "cs_rank_bench_gap_pct", "cs_z_close_vs_vwap_pct"))
 
 
+def research_panel(spark, sf):
+    """Scorable rows before the test block."""
+    return build_panel(tables.daily_bars(spark, sf), None, tables.TRAIN_END, tables.VALID_END).panel
+
+
+MARKET_COLUMNS = ["mkt_ret_oc", "mkt_ret_cc", "mkt_breadth_up", "mkt_near_high", "mkt_on_lag_1"]
+
+
+@query("market_frame", with_(FACTS_PANEL, f"""
+SELECT pred_date, round(avg(actual_return_pct), 6) AS mkt_target,
+  {", ".join(f"round(max({c}), 6) AS {c}" for c in MARKET_COLUMNS)}
+FROM final_panel GROUP BY pred_date"""))
+def market_frame(spark, sf):
+    """What the market leg is fitted on: one row per session."""
+    return rounded(dirn.market_frame(research_panel(spark, sf), MARKET_COLUMNS))
+
+
+@query("trailing_baseline", with_(FACTS_PANEL, """
+SELECT split, count(*) AS n_rows, round(1 - sum(abs(pred - actual)) / sum(actual), 6) AS magnitude_score,
+  round(sqrt(avg(pow(pred - actual, 2))), 6) AS rmse, round(avg(pred), 6) AS mean_pred, round(min(pred), 6) AS min_pred
+FROM (SELECT split, actual_magnitude_pct AS actual, coalesce(mag_mean_20, mag_mean_5, mag_lag_1, 0) AS pred FROM final_panel)
+GROUP BY split"""))
+def trailing_baseline(spark, sf):
+    """The candidate every other is held against, on all scorable rows of training and validation."""
+    panel = with_baseline(research_panel(spark, sf))
+    forecast = mag.fit_trailing(panel, [], MCFG)
+    return rounded(model_report(forecast(panel, "pred"), ["split"]))
+
+
 @query("feature_registry")
 def feature_registry(spark, sf):
     """Model inputs with a mark for those that survive without the benchmark basis, and their coverage."""
