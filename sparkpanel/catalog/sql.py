@@ -147,12 +147,13 @@ agg AS (
     max(close) FILTER (bucket = 11) AS cfirst,
     arg_max(bucket, row(high, -bucket)) / 74.0 AS high_time_fraction,
     arg_min(bucket, row(low, bucket)) / 74.0 AS low_time_fraction,
-    regr_slope(ln(close), bucket / 74.0) * 100.0 AS trend_slope_pct,
+    CASE WHEN count(*) FILTER (close > 0) > 1
+      THEN regr_slope(CASE WHEN close > 0 THEN ln(close) END, bucket / 74.0) END * 100.0 AS trend_slope_pct,
     count(*) FILTER (minute_count < 5) AS incomplete_5m_buckets
   FROM rets GROUP BY symbol, date),
 sessions AS (
   SELECT *, dollar_volume / nullif(total_volume, 0) AS vwap,
-    (session_close / (dollar_volume / nullif(total_volume, 0)) - 1.0) * 100.0 AS close_vs_vwap_pct,
+    (session_close / nullif(dollar_volume / nullif(total_volume, 0), 0) - 1.0) * 100.0 AS close_vs_vwap_pct,
     abs(session_close - session_open) / nullif(path_length, 0) AS path_efficiency,
     sqrt(pos) * 100.0 AS rsv_positive, sqrt(neg) * 100.0 AS rsv_negative,
     (pos - neg) / nullif(pos + neg, 0) AS semivariance_imbalance,
