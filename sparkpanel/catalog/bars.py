@@ -188,7 +188,7 @@ def session_bar_counts(spark, sf):
 bars AS (
   SELECT symbol, CAST(ts AS DATE) AS pred_date, arg_max(price, row(ts, event_id)) AS close FROM ticks GROUP BY ALL)""", """
 SELECT b.symbol, b.pred_date, b.close, s.session_close, round(s.rv_full_pct, 6) AS rv_full_pct,
-       round((s.session_close / b.close - 1.0) * 100.0, 6) AS bench_gap_pct
+       round((s.session_close / nullif(b.close, 0) - 1.0) * 100.0, 6) + 0.0 AS bench_gap_pct
 FROM bars b LEFT JOIN sessions s ON b.symbol = s.symbol AND b.pred_date = s.pred_date""", symbol="user_id"))
 def session_feature_join(spark, sf):
     """Daily bars of all-day ticks with their session features and the close-to-last-trade gap."""

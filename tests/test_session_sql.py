@@ -35,7 +35,7 @@ ODD = [
 ]
 
 
-@pytest.mark.parametrize("name", ["session_trend", "session_features_by_user"])
+@pytest.mark.parametrize("name", ["session_trend", "session_features_by_user", "session_feature_join"])
 def test_zero_prices(spark, tmp_path, name):
     got, want = both(spark, tmp_path, ODD, name)
     assert got == want
