@@ -70,3 +70,14 @@ def test_a_million_rising_points_stay_in_their_slices(spark):
     sent.append(blocks.groupBy("slice").count().count())
     assert blocks.count() == 1_000_000 and sent[0] >= 2
     assert blocks.where("hi <> lo or s <> 2 * lo").isEmpty()
+
+
+def test_reading_a_curve_takes_no_frame_that_ends_with_the_slice(spark):
+    """Such a frame is summed anew for every row, in quadratic time."""
+    knots = spark.createDataFrame([(float(10 * i), float(i * i)) for i in range(40)], "x double, value double")
+    rows = spark.range(-50, 500).select(F.col("id").cast("double").alias("v"))
+    out = isotonic.read_curve(rows, "v", knots, "c")
+    plan = out._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "unboundedpreceding" in plan and "unboundedfollowing" not in plan
+    got = out.orderBy("v").toPandas()
+    assert np.allclose(got["c"], np.interp(got["v"], 10.0 * np.arange(40), np.arange(40.0) ** 2))
