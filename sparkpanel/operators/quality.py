@@ -154,46 +154,65 @@ def target_mismatches(df: DataFrame, tolerance: float = 1e-12) -> DataFrame:
     return df.agg(F.count_if(bad).alias("mismatches"), F.count(a).alias("n_rows"))
 
 
-def exact_text(x: Column) -> Column:
-    """Text of a double that differs wherever a bit does: its integer mantissa and its power of two.
+def _exponent(x: Column) -> Column:
+    """The power of two that goes with a double's mantissa, with a bit to spare; missing for zeros and what is not finite.
 
-    Scaling by a power of two is exact; the exponent comes with a bit to spare, so a logarithm that errs in its last place does
-    not matter.  Zeros keep their sign; what is not finite has its name.
+    Scaling by a power of two is exact, so a logarithm that errs in its last place does not matter.
     """
     plain = (x == 0) | F.isnan(x) | (F.abs(x) == float("inf"))
-    exponent = F.greatest(F.floor(F.log2(F.abs(x)) + 1e-9), F.lit(-960))
-    return F.when(plain, x.cast("string")).otherwise(F.concat(
+    return F.when(~plain, F.greatest(F.floor(F.log2(F.abs(x)) + 1e-9), F.lit(-960)))
+
+
+def _exact_text(x: Column, exponent: Column) -> Column:
+    """Text of a double that differs wherever a bit does: its integer mantissa and its power of two.
+
+    Zeros keep their sign; what is not finite has its name.
+    """
+    return F.when(exponent.isNull(), x.cast("string")).otherwise(F.concat(
         (x * F.pow(F.lit(2.0), 53 - exponent)).cast("bigint").cast("string"), F.lit("p"), exponent.cast("string")))
 
 
-def row_hash(df: DataFrame, columns: list[str]) -> Column:
-    """A 60-bit number of the row.
+def row_numbers(df: DataFrame, columns: list[str], *keep: Column) -> DataFrame:
+    """The columns ``keep`` and a 60-bit number of each row, in halves of 30 bits (_high, _low) that add up as integers.
 
     Each value's text comes after its length, so that no two rows read alike; a missing value has a mark of its own.
-    Numbers with fractions go by their bits, moments as microseconds, arrays entry by entry.
+    Numbers with fractions go by their bits, moments as microseconds, arrays entry by entry.  Exponents, texts, marks and
+    the number are projections of their own: each is worked out once, while an expression that holds the others would
+    repeat them wherever it names them.
     """
     kinds = dict(df.dtypes)
+    fractions = [c for c in columns if kinds[c] in ("double", "float")]
 
     def text(value: Column, kind: str) -> Column:
         if kind.startswith("array<"):
             return F.array_join(F.transform(value, lambda v: F.coalesce(text(v, kind[6:-1]), F.lit("~"))), ",")
         if kind in ("double", "float"):
-            return exact_text(value.cast("double"))
+            return _exact_text(value.cast("double"), _exponent(value.cast("double")))
         if kind.startswith("timestamp"):
             return F.unix_micros(value.cast("timestamp")).cast("string")
         return value.cast("string")
 
-    def mark(c: str) -> Column:
-        value = text(F.col(c), kinds[c])
-        return F.when(F.col(c).isNull(), "~").otherwise(F.concat(F.length(value), F.lit(":"), value))
+    kept = [k.alias(f"_k{i}") for i, k in enumerate(keep)]
+    names = [f"_k{i}" for i in range(len(keep))]
+    rows = df.select(*kept, *columns, *[_exponent(F.col(c).cast("double")).alias(f"_e_{c}") for c in fractions])
+    texts = rows.select(*names, *[
+        (_exact_text(F.col(c).cast("double"), F.col(f"_e_{c}")) if c in fractions else text(F.col(c), kinds[c])).alias(f"_t{i}")
+        for i, c in enumerate(columns)])
+    marks = [F.coalesce(F.concat(F.length(f"_t{i}"), F.lit(":"), f"_t{i}"), F.lit("~")) for i in range(len(columns))]
+    number = F.conv(F.substring(F.md5(F.concat(*marks)), 1, 15), 16, 10).cast("bigint").alias("_number")
+    return texts.select(*names, number).select(
+        *names, F.shiftright("_number", 30).alias("_high"), F.col("_number").bitwiseAND((1 << 30) - 1).alias("_low"))
+
 
-    return F.conv(F.substring(F.md5(F.concat(*[mark(c) for c in columns])), 1, 15), 16, 10).cast("decimal(20,0)")
+def _hash_sum() -> Column:
+    """Sum of the numbers from the sums of their halves, which fit a long up to 2^33 rows."""
+    whole = lambda c: F.sum(c).cast("decimal(19,0)")
+    return (whole("_high") * F.lit(1 << 30).cast("decimal(10,0)") + whole("_low")).cast("decimal(38,0)")
 
 
 def fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
     """Row count and a hash sum that do not depend on row order or partitioning."""
-    return df.select(row_hash(df, columns).alias("_number")).agg(
-        F.count(F.lit(1)).alias("n_rows"), F.sum("_number").cast("string").alias("hash_sum"))
+    return row_numbers(df, columns).agg(F.count(F.lit(1)).alias("n_rows"), _hash_sum().cast("string").alias("hash_sum"))
 
 
 def fingerprint_tree(df: DataFrame, columns: list[str], key: str, leaf: int = 1 << 10, fan: int = 1 << 5) -> DataFrame:
@@ -202,8 +221,8 @@ def fingerprint_tree(df: DataFrame, columns: list[str], key: str, leaf: int = 1
     Level 0 has ranges of ``leaf`` keys, each further level ``fan`` ranges of the one below in one, up to a single part.
     Sums add up, so a level is an aggregate of the one below and rows are read once; rows without a key are part null.
     """
-    base = stage(df.select(F.expr(f"floor({key} / {int(leaf)})").alias("part"), row_hash(df, columns).alias("_number")).groupBy("part").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.sum("_number").alias("hash_sum")), "fingerprint-leaves")
+    base = stage(row_numbers(df, columns, F.expr(f"floor({key} / {int(leaf)})")).groupBy(F.col("_k0").alias("part")).agg(
+        F.count(F.lit(1)).alias("n_rows"), _hash_sum().alias("hash_sum")), "fingerprint-leaves")
     levels, now, level = [], base, 0
     while True:
         levels.append(now.select(F.lit(level).alias("level"), F.col("part").cast("bigint").alias("part"), "n_rows",
@@ -211,7 +230,9 @@ def fingerprint_tree(df: DataFrame, columns: list[str], key: str, leaf: int = 1
         bounds = now.agg(F.min("part"), F.max("part")).first()
         if bounds[0] == bounds[1]:
             break
-        now = stage(now.groupBy(F.expr(f"floor(part / {int(fan)})").alias("part")).agg(
+        # parts -1 and 0 lie on both sides of zero, which no division brings together
+        above = "if(part is null, null, 0)" if tuple(bounds) == (-1, 0) else f"floor(part / {int(fan)})"
+        now = stage(now.groupBy(F.expr(above).cast("bigint").alias("part")).agg(
             F.sum("n_rows").alias("n_rows"), F.sum("hash_sum").alias("hash_sum")), "fingerprint-level")
         level += 1
     out = levels[0]
@@ -221,7 +242,7 @@ def fingerprint_tree(df: DataFrame, columns: list[str], key: str, leaf: int = 1
 
 
 def changed_parts(current: DataFrame, stored: DataFrame, level: int = 0) -> DataFrame:
-    """(part, n_rows, stored_rows) of the parts of a level that differ between two trees; missing on one side counts."""
+    """(part, n_rows, stored_rows) of the parts of a level that differ between two trees, in their order; missing on one side counts."""
     a = current.where(F.col("level") == level).select("part", "n_rows", "hash_sum")
     b = stored.where(F.col("level") == level).select(
         F.col("part").alias("_part"), F.col("n_rows").alias("stored_rows"), F.col("hash_sum").alias("stored_sum"))
@@ -229,7 +250,7 @@ def changed_parts(current: DataFrame, stored: DataFrame, level: int = 0) -> Data
     same = (F.col("hash_sum") == F.col("stored_sum")) & (F.col("n_rows") == F.col("stored_rows"))
     return both.where(~F.coalesce(same, F.lit(False))).select(
         F.coalesce("part", "_part").alias("part"), F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
-        F.coalesce("stored_rows", F.lit(0)).alias("stored_rows"))
+        F.coalesce("stored_rows", F.lit(0)).alias("stored_rows")).orderBy(F.asc_nulls_last("part"))
 
 
 def frozen_status(current: DataFrame, stored: DataFrame) -> DataFrame:
