@@ -75,3 +75,39 @@ def test_odd_rows(odd, repeated, empty):
     kept = qr.passing(repeated)
     assert kept.columns == repeated.columns
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(2 * [d for d, r in got.items() if d is not None and r.kept])
+
+
+def plain_excess(words):
+    """The first length whose later copies hold too many characters."""
+    for length, pct in ((5, 15), (6, 14), (7, 13), (8, 12), (9, 11), (10, 10)):
+        seen, later = set(), set()
+        for i in range(len(words) - length + 1):
+            run = tuple(words[i:i + length])
+            if run in seen:
+                later.update(range(i, i + length))
+            seen.add(run)
+        if 100 * sum(len(words[i]) for i in later) > pct * sum(map(len, words)):
+            return length
+    return 0
+
+
+def test_later_copies_reject_texts_that_pass_the_base_rules(spark, corpus, corpus_rows):
+    passage, line = " ".join(f"unusual{i}" for i in range(15)), "a b c d e f g h i"
+    plain = " ".join(f"w{i}" for i in range(70))
+    overlapping = " ".join(["one two three four five"] * 4)
+    rows = [(1, f"{passage} {plain} {passage}"), (2, f"{line} {plain} {line}"), (3, plain),
+            (4, f"{plain} {overlapping}"), (5, f"{passage} {plain} {passage}".replace("u", "\u6f22"))]
+    got = rows_of(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert not any(r.base_failed for r in got.values())
+    assert {d: r.kept for d, r in got.items()} == {1: False, 2: True, 3: True, 4: False, 5: False}
+    assert {d: r.excess_length for d, r in got.items()} == {d: plain_excess(WORD.findall(t)) for d, t in rows}
+    for d, r in rows_of(corpus).items():
+        words = WORD.findall(dict(corpus_rows)[d])
+        assert r.excess_length == plain_excess(words)
+        assert r.kept == (not r.base_failed and not r.excess_length), d
+
+
+def test_passing_follows_the_verdict(spark):
+    passage, plain = " ".join(f"unusual{i}" for i in range(15)), " ".join(f"w{i}" for i in range(70))
+    docs = spark.createDataFrame([(1, f"{passage} {plain} {passage}"), (2, plain)], "doc_id long, text string")
+    assert [r.doc_id for r in qr.passing(docs).collect()] == [2]
