@@ -22,9 +22,10 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies: five-word shingles, Jaccard 0.8 or more.
+    """The document with the smallest id of each group of near copies: five-word shingles, Jaccard 0.8 or more (operator 2).
 
-    The 3 bits of operator 2 on three-word shingles bind its query alone; most near copies differ by more.
+    Candidates come from covering SimHash masks.  The 3 bits of 64 on three-word shingles bind operator 2's query alone; most
+    near copies differ by more, so the stage has longer fingerprints.
     """
     return near_copies.keep_one_per_group(docs)
 

@@ -20,8 +20,8 @@ BITS = 64
 BLOCK = 4096
 
 
-def covering_masks(radius: int = 3) -> list[int]:
-    vectors = [i % ((1 << radius + 1) - 1) + 1 for i in range(BITS)]
+def covering_masks(radius: int = 3, bits: int = BITS) -> list[int]:
+    vectors = [i % ((1 << radius + 1) - 1) + 1 for i in range(bits)]
     return [sum(1 << i for i, c in enumerate(vectors) if (c & v).bit_count() & 1) for v in range(1, 1 << radius + 1)]
 
 

@@ -1,4 +1,7 @@
 import random
+from itertools import combinations
+
+import numpy as np
 
 import corpus_pipeline
 from sparkpanel.llm import near_copies
@@ -53,3 +56,46 @@ def test_groups(spark, corpus, corpus_rows, odd, empty):
             assert {-(1 << 63) if d is None else d: -(1 << 63) if c is None else c
                     for d, c in found.items()} == brute_force(rows)
     assert near_copies.near_copies(empty).collect() == []
+
+
+def flipped(rng, prints, bits):
+    out = np.unpackbits(prints.view(np.uint8), bitorder="little")
+    out[bits] ^= 1
+    return np.packbits(out, bitorder="little").view(np.uint64)
+
+
+def test_covering_masks_meet_within_their_radius():
+    """Up to 4 * PARTS - 1 differing bits always leave a part within three bits, whose masks cover them."""
+    rng, ones = np.random.default_rng(7), np.ones(1, np.int64)
+    for _ in range(300):
+        mine = rng.integers(0, 1 << 64, near_copies.WORDS, np.uint64, endpoint=False)
+        bits = rng.choice(near_copies.PARTS * near_copies.WIDTH, 4 * near_copies.PARTS - 1, replace=False)
+        a, b = (near_copies.buckets(x[None], ones) for x in (mine, flipped(rng, mine, bits)))
+        assert a.shape == (1, 15 * near_copies.PARTS) and len(set(a[0].tolist())) == a.size
+        assert (a == b).any()
+
+
+def test_sets_at_the_limit_meet():
+    rng = np.random.default_rng(8)
+    ones = np.ones(1, np.int64)
+    for mine, other, both in ((9, 9, 8), (90, 90, 80), (500, 400, 400)):
+        for _ in range(300):
+            h = rng.integers(0, 1 << 64, mine + other - both, np.uint64, endpoint=False)
+            a, b = near_copies.fingerprint(h[:mine]), near_copies.fingerprint(h[mine - both:])
+            assert (near_copies.buckets(a[None], ones) == near_copies.buckets(b[None], ones)).any()
+            assert np.bitwise_count(a[-3:] ^ b[-3:]).sum() <= near_copies.farthest(0.8)
+
+
+def test_connected_rows_against_all_pairs():
+    for seed in range(100):
+        rng = np.random.default_rng(seed)
+        n = int(rng.integers(1, 120))
+        place = np.sort(rng.integers(0, 200, n))
+        checks = rng.integers(0, 1 << 63, (4, 3)).astype(np.uint64)[rng.integers(0, 4, n)] ^ (
+            np.uint64(1) << rng.integers(0, 64, (n, 3)).astype(np.uint64))
+        window, most, group = int(rng.integers(0, 40)), int(rng.integers(0, 7)), list(range(n))
+        for i, j in combinations(range(n), 2):
+            if place[j] - place[i] <= window and np.bitwise_count(checks[i] ^ checks[j]).sum() <= most and group[i] != group[j]:
+                low, high = sorted((group[i], group[j]))
+                group = [low if g == high else g for g in group]
+        assert near_copies.connected(place, checks, window, most).tolist() == group
