@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.confidence import MAGNITUDE_INPUTS
 from ..operators import calendar as cal, cross_section as cs, glm, intraday, learners, linear, metrics as met, selection
 from ..plans import confidence as conf, direction as dirn, final, magnitude as mag
 from ..plans.panel import build_panel, feature_panel
@@ -276,16 +277,21 @@ def label_calibration(spark, sf):
 
 @query("two_stage_reliability")
 def two_stage_reliability(spark, sf):
-    """All magnitude-confidence candidates on validation: rank report per candidate."""
+    """All magnitude-confidence candidates on validation: rank report per candidate.
+
+    The forecast is the trailing mean of every scorable row.  The models have all their inputs and the library's own settings; the
+    quantile widths come from forests that did not see the row, and are missing before the first fold.
+    """
     from ..operators import calibration as calib, rolling
 
-    features = ["pred_magnitude_pct", "mag_mean_60", "mag_std_20", "mag_median_20", "history_count",
-                "err_hist_mean_20", "err_hist_std_20"]
-    rows = tables.scored_frame(spark, sf).withColumn(
-        "oof_abs_error", F.abs(F.col("pred_magnitude_pct") - F.col("actual_magnitude_pct")))
+    panel = model_panel(spark, sf)
+    widths = dirn.quantile_features(panel, model_folds(panel), cs.feature_columns(panel), FULL_DCFG)
+    rows = panel.join(widths, mag.KEYS, "left").withColumn("pred_magnitude_pct", F.col("mag_mean_20"))
+    rows = stage(rows.select(*mag.KEYS, "split", mag.TARGET, *[c for c in MAGNITUDE_INPUTS if c in rows.columns],
+                             F.abs(F.col("pred_magnitude_pct") - F.col(mag.TARGET)).alias("oof_abs_error")), "reliability-rows")
     train = stage(rolling.error_history(rows.where("split = 'train'")), "reliability-train")
     valid = stage(calib.attach_error_history(rows.where("split = 'valid'"), train), "reliability-valid")
-    out = conf.magnitude_confidences(train, valid, features=features, max_iter=5)
+    out = conf.magnitude_confidences(train, valid)
     return conf.magnitude_candidates(stage(out, "confidences"))
 
 

@@ -120,6 +120,22 @@ def research(panel: DataFrame, folds: DataFrame, features: list[str],
                      stage(direction_store(valid_legs, lam, cfg), "direction-valid"), table, lam)
 
 
+def quantile_features(panel: DataFrame, folds: DataFrame, features: list[str],
+                      cfg: DirectionConfig = DirectionConfig()) -> DataFrame:
+    """Distribution features of every row that comes after a fit: out of fold within train, by the fit on train in validation."""
+    train = panel.where("split = 'train'")
+    blocks = [(train.where(F.col("pred_date") <= F.lit(f.train_end)),
+               train.where(F.col("pred_date").between(F.lit(f.predict_start), F.lit(f.predict_end))))
+              for f in folds.orderBy("fold").collect()]  # a handful of rows: the fold definitions
+    blocks.append((train, panel.where("split = 'valid'")))
+
+    def applied(past: DataFrame, rows: DataFrame) -> DataFrame:
+        out = fit_quantiles(past, features, cfg)(rows, "q_raw").withColumn("q", rearranged("q_raw"))
+        found = distribution_features("q", list(cfg.levels))
+        return stage(out.select(*KEYS, *[v.alias(k) for k, v in found.items()]), "quantile-features")
+    return _union(_in_parallel([lambda past=past, rows=rows: applied(past, rows) for past, rows in blocks], cfg.parallel_fits))
+
+
 def benchmark_ablation(panel: DataFrame, features: list[str], lam: float,
                        cfg: DirectionConfig = DirectionConfig()) -> DataFrame:
     """Validation diagnostics with and without the benchmark-basis columns and their paired intervals."""

@@ -107,3 +107,43 @@ def test_tree_learners_have_as_many_tasks_as_their_cells_ask_for(panel, monkeypa
     assert learners._in_whole_tasks(data, 10).rdd.getNumPartitions() == 4
     monkeypatch.setattr(learners, "TASK_CELLS", 1)
     assert learners._in_whole_tasks(data, 10).rdd.getNumPartitions() == 6
+
+
+def test_two_stage_reliability_has_all_inputs_rows_and_rounds(spark, panel, monkeypatch):
+    seen, rounds = {}, []
+    widths = panel.where("pred_date >= '2020-03-01'").select(
+        *mag.KEYS, F.lit(1.0).alias("q_iqr80"), F.lit(2.0).alias("q_iqr90"), F.lit(3.0).alias("q_median_abs"))
+
+    def quantile_features(rows, folds, features, cfg):
+        seen.update(folds=folds, features=features, cfg=cfg)
+        return widths
+
+    def confidences(train, rows, *args, **settings):
+        seen.update(train=train, valid=rows, args=args, settings=settings)
+        raise Stop
+
+    def boosted(train, features, *args, max_iter, **settings):
+        rounds.append((features, max_iter))
+        return lambda df, out: df.withColumn(out, F.lit(0.0))
+
+    monkeypatch.setattr(models, "model_panel", lambda spark, sf: panel)
+    monkeypatch.setattr(dirn, "quantile_features", quantile_features)
+    monkeypatch.setattr(conf, "magnitude_confidences", confidences)
+    with pytest.raises(Stop):
+        models.two_stage_reliability(spark, "unused")
+    assert seen["folds"].count() == 5 and seen["features"] == cs.feature_columns(panel) and seen["cfg"].forest == dirn.DirectionConfig().forest
+    assert set(MAGNITUDE_INPUTS) <= set(seen["train"].columns) and set(MAGNITUDE_INPUTS) <= set(seen["valid"].columns)
+    assert seen["train"].count() == 3 * TRAIN and seen["valid"].count() == 3 * VALID
+    monkeypatch.setattr(learners, "fit_boosted_trees", boosted)
+    conf.fit_two_stage(seen["train"], True, *seen["args"], **seen["settings"])
+    assert rounds == [(MAGNITUDE_INPUTS, 100)]
+
+
+def test_quantile_features_come_from_forests_that_did_not_see_the_row(spark, panel):
+    cfg = dirn.DirectionConfig(forest=dict(trees=2, depth=2, min_leaf=20))
+    folds = models.model_folds(panel, 2, 400)
+    out = dirn.quantile_features(panel, folds, ["mag_mean_20", "mag_std_20"], cfg).toPandas()
+    first = min(r.predict_start for r in folds.collect())
+    want = panel.where(F.col("pred_date") >= F.lit(first)).count()
+    assert len(out) == want == 3 * (400 + VALID) and not out.duplicated(mag.KEYS).any()
+    assert np.isfinite(out.q_iqr80).all() and (out.q_iqr90 >= out.q_iqr80).all()
