@@ -1,6 +1,8 @@
 """Model jobs on the daily panel; small ensembles keep the runs short, the rows are always all rows."""
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from ..functions.confidence import MAGNITUDE_INPUTS
@@ -285,7 +287,8 @@ def two_stage_reliability(spark, sf):
     from ..operators import calibration as calib, rolling
 
     panel = model_panel(spark, sf)
-    widths = dirn.quantile_features(panel, model_folds(panel), cs.feature_columns(panel), FULL_DCFG)
+    # the driver plans 127 inputs for each forest: two at a time
+    widths = dirn.quantile_features(panel, model_folds(panel), cs.feature_columns(panel), replace(FULL_DCFG, parallel_fits=2))
     rows = panel.join(widths, mag.KEYS, "left").withColumn("pred_magnitude_pct", F.col("mag_mean_20"))
     rows = stage(rows.select(*mag.KEYS, "split", mag.TARGET, *[c for c in MAGNITUDE_INPUTS if c in rows.columns],
                              F.abs(F.col("pred_magnitude_pct") - F.col(mag.TARGET)).alias("oof_abs_error")), "reliability-rows")
